@@ -85,7 +85,12 @@ def _treatment_array(fixed_effects: list[str]) -> Column:
         F.when(F.size(t["components"]) == 0, F.lit(REFERENCE))
         .otherwise(F.concat_ws("", t["component_levels"])).alias("treatment"),
     ))
-    return F.array_sort(named)
+    ordered = F.array_sort(named)
+    names = F.transform(ordered, lambda t: t["treatment"])
+    # joined level names can coincide; then spell out the components instead
+    spelled = F.transform(ordered, lambda t: t.withField("treatment", F.when(
+        F.size(t["components"]) == 0, F.lit(REFERENCE)).otherwise(F.concat_ws("*", t["components"]))))
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), spelled).otherwise(ordered)
 
 
 def treatments(level_table: DataFrame, fixed_effects: list[str]) -> DataFrame:
@@ -113,20 +118,18 @@ def subsets(components: Column) -> Column:
 def effect_pairs(treatment_table: DataFrame) -> DataFrame:
     """Which effects apply to which treatment, with the inclusion-exclusion sign.
 
-    An effect applies when its components are a subset of the treatment's, so
-    the pairs are listed by opening subsets and no join is needed.
+    An effect applies when its components are a subset of the treatment's. The
+    subsets are opened and looked up by equality, so no pairwise test is needed.
     """
-    # component_levels run parallel to components, so subset names follow the same pattern
-    zipped = F.arrays_zip(F.col("components"), F.col("component_levels"))
-    return (
-        treatment_table.select("treatment", F.size("components").alias("_n"), F.explode(subsets(zipped)).alias("s"))
-        .select(
-            "treatment",
-            F.when(F.size("s") == 0, F.lit(REFERENCE))
-            .otherwise(F.concat_ws("", F.transform("s", lambda c: c["component_levels"])))
-            .alias("effect"),
-            F.when((F.col("_n") - F.size("s")) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"),
-        )
+    effects = treatment_table.select(
+        F.col("components").alias("_s"), F.col("treatment").alias("effect"), F.size("components").alias("_m")
+    )
+    listed = treatment_table.select(
+        "treatment", F.size("components").alias("_n"), F.explode(subsets(F.col("components"))).alias("_s")
+    )
+    return listed.join(effects, "_s").select(
+        "treatment", "effect",
+        F.when((F.col("_n") - F.col("_m")) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"),
     )
 
 

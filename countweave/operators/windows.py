@@ -25,19 +25,11 @@ def _frames(order: WindowSpec, ws: int) -> tuple[WindowSpec, WindowSpec, WindowS
     )
 
 
-def rolling_loglik(df: DataFrame, keys: list[str], value: str, ws: int, split: bool, name: str,
-                   order_by: str = "bin", fill_edges: bool = True) -> DataFrame:
-    """Rolling normal log likelihood around each position.
-
-    ``split`` fits each half of the window on its own. Windows without spread
-    score 1. Positions that have no full window get the sum over the full
-    windows divided by the series length.
-    """
+def _full_window_score(keys: list[str], value: str, ws: int, split: bool, order_by: str) -> Column:
+    """Score of every position that has a full window around it, NULL elsewhere."""
     if ws < 2:
         raise ValueError("the window must hold at least 2 positions")
-    order = Window.partitionBy(*keys).orderBy(order_by)
-    whole = Window.partitionBy(*keys)
-    full, left, right = _frames(order, ws)
+    full, left, right = _frames(Window.partitionBy(*keys).orderBy(order_by), ws)
     half = ws // 2
     if split:
         a, b = F.var_pop(value).over(left), F.var_pop(value).over(right)
@@ -46,27 +38,49 @@ def rolling_loglik(df: DataFrame, keys: list[str], value: str, ws: int, split: b
     else:
         v = F.var_pop(value).over(full)
         flat, fitted = v <= ZERO_VARIANCE, _normal_fit(ws, v)
-    in_full = F.count(value).over(full) == ws
-    raw = f"_{name}_raw"
-    out = df.withColumn(raw, F.when(in_full, F.when(flat, F.lit(ZERO_VARIANCE_SCORE)).otherwise(fitted)))
-    if not fill_edges:
-        return out.withColumnRenamed(raw, name)
+    return F.when(F.count(value).over(full) == ws, F.when(flat, F.lit(ZERO_VARIANCE_SCORE)).otherwise(fitted))
+
+
+def _edges_filled(keys: list[str], raw: str) -> Column:
+    """Positions without a full window get the sum over the full ones / series length."""
+    whole = Window.partitionBy(*keys)
     edge = F.coalesce(F.sum(raw).over(whole), F.lit(0.0)) / F.count(F.lit(1)).over(whole)
-    return out.withColumn(name, F.coalesce(F.col(raw), edge)).drop(raw)
+    return F.coalesce(F.col(raw), edge)
 
 
-def loglik_ratio(df: DataFrame, keys: list[str], value: str, ws: int, name: str, order_by: str = "bin") -> DataFrame:
-    """Split minus unsplit rolling log likelihood: large where a change point fits well."""
-    out = rolling_loglik(df, keys, value, ws, False, f"_{name}_n", order_by)
-    out = rolling_loglik(out, keys, value, ws, True, f"_{name}_s", order_by)
-    return out.withColumn(name, F.col(f"_{name}_s") - F.col(f"_{name}_n")).drop(f"_{name}_s", f"_{name}_n")
+def rolling_loglik(df: DataFrame, keys: list[str], value: str, ws: int, split: bool, name: str,
+                   order_by: str = "bin", fill_edges: bool = True) -> DataFrame:
+    """Rolling normal log likelihood around each position.
+
+    ``split`` fits each half of the window on its own. Windows without spread
+    score 1. Positions that have no full window get the sum over the full
+    windows divided by the series length.
+    """
+    out = df.withColumn("_raw", _full_window_score(keys, value, ws, split, order_by))
+    filled = _edges_filled(keys, "_raw") if fill_edges else F.col("_raw")
+    return out.withColumn(name, filled).drop("_raw")
+
+
+def loglik_ratios(df: DataFrame, keys: list[str], value: str, windows: dict[str, int],
+                  order_by: str = "bin") -> DataFrame:
+    """Split minus unsplit rolling log likelihood, one column per named window length.
+
+    All frames of all lengths share one partitioning, one sort and one window
+    operator; the edge fill adds one more operator over the same rows.
+    """
+    parts = {(n, split): f"_{n}_{int(split)}" for n in windows for split in (False, True)}
+    raw = df.select("*", *[
+        _full_window_score(keys, value, windows[n], split, order_by).alias(c) for (n, split), c in parts.items()
+    ])
+    filled = raw.select(*df.columns, *[_edges_filled(keys, c).alias(c) for c in parts.values()])
+    return filled.select(*df.columns, *[
+        (F.col(parts[n, True]) - F.col(parts[n, False])).alias(n) for n in windows
+    ])
 
 
 def ratio_scales(df: DataFrame, keys: list[str], value: str, ws: int, order_by: str = "bin") -> DataFrame:
-    """Ratios r1, r2, r4 at ws, 2 ws and 4 ws; one partitioning and one sort serve all frames."""
-    for factor in (1, 2, 4):
-        df = loglik_ratio(df, keys, value, ws * factor, f"r{factor}", order_by)
-    return df
+    """Ratios r1, r2, r4 at ws, 2 ws and 4 ws."""
+    return loglik_ratios(df, keys, value, {"r1": ws, "r2": 2 * ws, "r4": 4 * ws}, order_by)
 
 
 def trailing_mean(df: DataFrame, keys: list[str], value: str, ws: int, name: str, order_by: str = "bin") -> DataFrame:
