@@ -41,7 +41,8 @@ def cell_sums(tokens: DataFrame) -> DataFrame:
 
 
 def sums_levels(sums: DataFrame) -> tuple[DataFrame, list[str]]:
-    effects = [c for c in sums.columns if c not in ("ran", "parent", "child", "bin", "total", "n_tokens")]
+    known_columns = ("ran", "parent", "child", "bin", "total", "n_tokens", "replicate")
+    effects = [c for c in sums.columns if c not in known_columns]
     return design.levels(sums, ["ran", "parent", "child", *effects]), effects
 
 
@@ -50,13 +51,13 @@ def bin_count(sums: DataFrame) -> int:
     return int(sums.agg(F.max("bin")).first()[0])
 
 
-def fill_none(sums: DataFrame) -> DataFrame:
+def fill_none(sums: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Reference fill per (parent, child, fixed effects, bin) from the observed cells."""
     _, effects = sums_levels(sums)
     total = F.col("total")
     return (
         sums.where(F.col("n_tokens") > 0)
-        .groupBy("parent", "child", *effects, "bin")
+        .groupBy(*extra, "parent", "child", *effects, "bin")
         .agg(
             F.round(F.round(F.expm1(F.avg(F.log1p(total))), 9), 0).alias("fill_log"),
             F.round(F.round(F.avg(total), 9), 0).alias("fill_mean"),
@@ -89,7 +90,17 @@ def series(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool
     if n_bins is None:
         n_bins = bin_count(sums)
     level_table, effects = sums_levels(sums)
-    keys = ["ran", "parent", "child", *effects]
+    out = on_grid(sums, design.series_grid(level_table, effects), effects, n_bins, log_fill)
+    if strict:
+        require_pools(out)
+    return out
+
+
+def on_grid(sums: DataFrame, frame: DataFrame, effects: list[str], n_bins: int, log_fill: bool = True,
+            extra: tuple[str, ...] = ()) -> DataFrame:
+    """Put cell sums on every series of ``frame`` and fill its reference series."""
+    keys = [*extra, "ran", "parent", "child", *effects]
+    reference_keys = [k for k in keys if k != "ran"]
     entries = F.collect_list(F.struct("bin", "total", "n_tokens"))
     seen = (
         sums.where(F.col("n_tokens") > 0)
@@ -100,28 +111,23 @@ def series(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool
     )
     fill = "fill_log" if log_fill else "fill_mean"
     filled = (
-        fill_none(sums)
-        .groupBy("parent", "child", *effects)
+        fill_none(sums, extra)
+        .groupBy(*reference_keys)
         .agg(F.collect_list(F.struct("bin", F.col(fill).alias("total"))).alias("e"))
-        .select("parent", "child", *effects, _on_bins(F.col("e"), n_bins, "total").alias("count"))
+        .select(*reference_keys, _on_bins(F.col("e"), n_bins, "total").alias("count"))
     )
-    frame = design.series_grid(level_table, effects)
     empty = F.array_repeat(F.lit(None).cast("double"), n_bins)
     no_tokens = F.array_repeat(F.lit(None).cast("bigint"), n_bins)
+    names = [*extra, "ran", "parent", "child", "treatment", *effects]
     measured = frame.where(F.col("ran") != NO_RANDOM_EFFECT).join(seen, keys, "left").select(
-        "ran", "parent", "child", "treatment", *effects,
-        F.coalesce("n_tokens", no_tokens).alias("n_tokens"), F.coalesce("count", empty).alias("count"),
+        *names, F.coalesce("n_tokens", no_tokens).alias("n_tokens"), F.coalesce("count", empty).alias("count"),
     )
     reference = (
         frame.where(F.col("ran") == NO_RANDOM_EFFECT)
-        .join(filled, ["parent", "child", *effects], "left")
-        .select("ran", "parent", "child", "treatment", *effects,
-                no_tokens.alias("n_tokens"), F.coalesce("count", empty).alias("count"))
+        .join(filled, reference_keys, "left")
+        .select(*names, no_tokens.alias("n_tokens"), F.coalesce("count", empty).alias("count"))
     )
-    out = measured.unionByName(reference)
-    if strict:
-        require_pools(out)
-    return out
+    return measured.unionByName(reference)
 
 
 def require_pools(series_table: DataFrame) -> None:

@@ -10,14 +10,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import SPAN, hash32
+
 BUCKETS = 128
 
 
-def _bucket_edges(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    """Per key an array of cut values from a mergeable, bounded quantile sketch."""
+def _with_edges(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Add per key an array of cut values from a mergeable, bounded quantile sketch."""
     cuts = [i / buckets for i in range(1, buckets)]
-    return df.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 10000).alias("_edges")
+    sketch = F.percentile_approx(value, cuts, 10000).alias("_edges")
+    if not keys:
+        return df.withColumn("_edges", df.agg(sketch).scalar())
+    return df.join(df.groupBy(*keys).agg(sketch), keys)
+
+
+def _offsets(sizes: DataFrame, keys: list[str], bucket: list[str], total: str) -> DataFrame:
+    """Rows before each range of a key, and rows of the key; works on range totals only."""
+    by = keys or [F.lit(0)]
+    run = Window.partitionBy(*by).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        *keys, *bucket, F.coalesce(F.sum("_size").over(run), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(*by)).alias(total),
     )
 
 
@@ -35,57 +48,48 @@ def _below(edges: Column, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, halve, lambda s: s["lo"])
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, ties: list[str], name: str = "rank",
+def ranked(df: DataFrame, keys: list[str], value: str, tie: Column, tie_chunk: float, name: str = "rank",
            buckets: int = BUCKETS) -> DataFrame:
-    """1-based ascending rank of ``value`` within ``keys``.
+    """1-based ascending rank of ``value`` within ``keys``; equal values go by ``tie``.
 
-    Equal values are ordered by the md5 of ``ties``, which must tell rows of a
-    key apart. Values that fill several ranges on their own are spread over
-    those ranges by the same hash. Adds ``name`` and ``<name>_total``.
+    ``tie`` is a number that tells equal values apart; values common enough to
+    be a cut value are split again into ranges of ``tie_chunk`` ties. Adds
+    ``name`` and ``<name>_total``.
     """
-    edges = _bucket_edges(df, keys, value, buckets)
-    tie_hash = F.md5(F.concat_ws(":", *[F.col(t).cast("string") for t in ties]))
     placed = (
-        df.join(edges, keys)
-        .withColumn("_tie", tie_hash)
-        .withColumn("_first", _below(F.col("_edges"), F.col(value)))
-        .withColumn("_copies", F.size(F.filter(F.slice("_edges", F.col("_first") + 1, F.lit(buckets)),
-                                               lambda e: e == F.col(value))))
-        .withColumn("_part", F.conv(F.substring("_tie", 1, 8), 16, 10).cast("bigint") / float(2**32))
-        .withColumn("_bucket", F.col("_first") + F.floor(F.col("_part") * F.col("_copies")).cast("int"))
-        .drop("_edges", "_first", "_copies", "_part")
-    )
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    # at most `buckets` rows per key
-    run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_size").over(run), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias(f"{name}_total"),
+        _with_edges(df.where(F.col(value).isNotNull()), keys, value, buckets)
+        .withColumn("_tie", tie)
+        .withColumn("_range", _below(F.col("_edges"), F.col(value)))
+        .withColumn("_part", F.when(F.get("_edges", F.col("_range")) == F.col(value),
+                                    F.floor(F.col("_tie") / tie_chunk)).otherwise(F.lit(-1)))
+        .drop("_edges")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value, "_tie")
+    where = ["_range", "_part"]
+    sizes = placed.groupBy(*keys, *where).agg(F.count(F.lit(1)).alias("_size"))
+    inside = Window.partitionBy(*keys, *where).orderBy(value, "_tie")
     return (
         placed.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        .join(_offsets(sizes, keys, where, f"{name}_total"), [*keys, *where])
         .withColumn(name, F.col("_before") + F.col("_at"))
-        .drop("_bucket", "_tie", "_before", "_at")
+        .drop(*where, "_tie", "_before", "_at")
     )
 
 
+def hash_tie(columns: list[str]) -> tuple[Column, float]:
+    """Tie number and chunk for rows that only have a compound key."""
+    return hash32(*columns), SPAN / 64
+
+
 def distinct_positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Distinct values per key with the 0-based sorted positions [first, last] they fill."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    edges = _bucket_edges(counted, keys, value, buckets)
-    placed = counted.join(edges, keys).withColumn("_bucket", _below(F.col("_edges"), F.col(value))).drop("_edges")
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
-    run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_size").over(run), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("total"),
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    placed = _with_edges(counted, keys, value, buckets).withColumn(
+        "_range", _below(F.col("_edges"), F.col(value))).drop("_edges")
+    sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.withColumn("_upto", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets, [*keys, "_bucket"])
+        placed.withColumn("_upto", F.sum("_n").over(inside))
+        .join(_offsets(sizes, keys, ["_range"], "total"), [*keys, "_range"])
         .select(*keys, value, (F.col("_before") + F.col("_upto") - F.col("_n")).alias("first"),
                 (F.col("_before") + F.col("_upto") - 1).alias("last"), "total")
     )
