@@ -1,0 +1,248 @@
+"""Objective and gradient of one child's curves, vectorised over a block of series.
+
+Used inside tasks only: a block is whatever part of a child Spark hands over,
+and values and gradients of blocks add up.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from .special import STIRLING
+
+BAD = 1e100
+SHIFT = 8
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    z = x + SHIFT
+    series = sum(c / z ** (2 * i + 1) for i, c in enumerate(STIRLING))
+    shifted = np.prod([x + k for k in range(SHIFT)], axis=0)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(shifted)
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    z = x + SHIFT
+    series = sum((2 * i + 1) * c / z ** (2 * i + 2) for i, c in enumerate(STIRLING))
+    return np.log(z) - 0.5 / z - series - sum(1.0 / (x + k) for k in range(SHIFT))
+
+
+def warp(v, bound, w):
+    """Warped value and its derivatives by value and by warp."""
+    rate = w * w / bound
+    up = w > 0
+    x = np.where(up, -rate * v, -rate * (bound - v))
+    e, e1 = np.exp(x), np.expm1(x)
+    value = np.where(up, v - e1 * (bound - v), v + e1 * v)
+    by_v = 1 + e1 + rate * e * np.where(up, bound - v, v)
+    by_w = 2 * w / bound * v * (bound - v) * e * np.where(up, 1.0, -1.0)
+    return value, by_v, by_w
+
+
+def gamma_poisson_log(y, r, dispersion):
+    """Log probability of y at log rate r, and its derivative by r."""
+    p = np.expm1(r)
+    v = (p + dispersion * p * p) / (p + 1) ** 2
+    dv = (1 - p + 2 * dispersion * p) / (p + 1) ** 2
+    s, q = r * r / v, r / v
+    ds, dq = 2 * r / v - s * dv / v, 1 / v - q * dv / v
+    value = s * np.log(q) + log_gamma(y + s) - log_gamma(y + 1) - log_gamma(s) - (y + s) * np.log1p(q)
+    by_s = np.log(q) + digamma(y + s) - digamma(s) - np.log1p(q)
+    return value, by_s * ds + (s / q - (y + s) / (q + 1)) * dq
+
+
+class ParentBlock:
+    """Series of one parent: which parameters feed which component, and the observed counts."""
+
+    def __init__(self, design, treat, warp_at, log_counts, dispersion, bounds, n_bins, buffer):
+        self.design = design  # per component: 0/1 matrix [treatment, k, parameter]
+        self.treat = treat  # treatment of each series
+        self.warp_at = warp_at  # per component: parameter index of the warp, -1 for none
+        self.y = log_counts
+        self.seen = ~np.isnan(log_counts)
+        self.dispersion = dispersion
+        self.bounds, self.n_bins, self.buffer = bounds, n_bins, buffer
+        self.bins = np.arange(1, n_bins + 1, dtype=float)
+
+    def components(self, theta):
+        out = {}
+        for name, matrix in self.design.items():
+            at = self.warp_at[name]
+            w = np.where(at >= 0, theta[np.maximum(at, 0)], 0.0)[:, None]
+            out[name] = warp((matrix @ theta)[self.treat], self.bounds[name], w)
+        return out
+
+    def pull_back(self, parts, grads, n):
+        """Gradient by component values to gradient by parameters."""
+        g = np.zeros(n)
+        for name, matrix in self.design.items():
+            _, by_v, by_w = parts[name]
+            by_treat = np.zeros(matrix.shape[:2])
+            np.add.at(by_treat, self.treat, grads[name] * by_v)
+            g += np.tensordot(by_treat, matrix, axes=2)
+            at = self.warp_at[name]
+            if by_w.shape[1]:
+                np.add.at(g, at[at >= 0], (grads[name] * by_w).sum(axis=1)[at >= 0])
+        return g
+
+    def distances(self, parts):
+        rates, slopes, points = (parts[c][0] for c in ("Rt", "tslope", "tpoint"))
+        if points.shape[1] == 0:
+            return np.concatenate([rates], axis=1)
+        ends = np.concatenate(
+            [np.zeros((len(points), 1)), points, np.full((len(points), 1), float(self.n_bins))], axis=1)
+        return np.concatenate([slopes, np.diff(ends, axis=1) - self.buffer, rates], axis=1)
+
+    def spread_distance_gradient(self, parts, by_distance):
+        k = parts["tpoint"][0].shape[1]
+        if k == 0:
+            return {"Rt": by_distance, "tslope": by_distance[:, :0], "tpoint": by_distance[:, :0]}
+        gaps = by_distance[:, k:2 * k + 1]
+        return {"tslope": by_distance[:, :k], "tpoint": gaps[:, :-1] - gaps[:, 1:], "Rt": by_distance[:, 2 * k + 1:]}
+
+    def likelihood(self, parts):
+        """Negative log likelihood and its gradient by component values; None when infeasible."""
+        rates, slopes, points = (parts[c][0] for c in ("Rt", "tslope", "tpoint"))
+        offset = self.bins[None, :, None] - points[:, None, :]
+        x = slopes[:, None, :] * offset
+        small = np.exp(-np.abs(x))
+        step = np.where(x > 0, 1.0, small) / (1.0 + small)
+        jump = np.diff(rates, axis=1)
+        r = rates[:, :1] + (step * jump[:, None, :]).sum(axis=2)
+        seen = r[self.seen]
+        if not np.all(np.isfinite(seen)) or np.any(seen < 0):
+            return None
+        value, by_r = np.zeros_like(r), np.zeros_like(r)
+        spread = np.broadcast_to(self.dispersion[:, None], r.shape)[self.seen]
+        value[self.seen], by_r[self.seen] = gamma_poisson_log(self.y[self.seen], seen, spread)
+        if not np.all(np.isfinite(value)):
+            return None
+        by_r = -by_r
+        by_step = by_r[:, :, None] * jump[:, None, :] * step * (1 - step)
+        by_jump = (by_r[:, :, None] * step).sum(axis=1)
+        by_rate = np.zeros_like(rates)
+        by_rate[:, 0] += by_r.sum(axis=1)
+        by_rate[:, 1:] += by_jump
+        by_rate[:, :-1] -= by_jump
+        grads = {"Rt": by_rate, "tslope": (by_step * offset).sum(axis=1),
+                 "tpoint": -(by_step.sum(axis=1)) * slopes}
+        return -value.sum(), grads
+
+
+class Block:
+    """A set of series of one child."""
+
+    def __init__(self, parents: list[ParentBlock], n_params: int):
+        self.parents, self.n = parents, n_params
+        self.coefficients = None
+
+    def start_penalty(self, theta, scale):
+        """Fix the penalty so that every distance weighs the same at ``theta``."""
+        with np.errstate(divide="ignore"):
+            self.coefficients = [scale / p.distances(p.components(theta)) for p in self.parents]
+
+    def value(self, theta):
+        """Objective, likelihood and gradient."""
+        total, nll, g = 0.0, 0.0, np.zeros(self.n)
+        with np.errstate(all="ignore"):
+            for i, p in enumerate(self.parents):
+                parts = p.components(theta)
+                fitted = p.likelihood(parts)
+                if fitted is None:
+                    return BAD, BAD, np.zeros(self.n)
+                nll += fitted[0]
+                total += fitted[0]
+                g += p.pull_back(parts, fitted[1], self.n)
+                if self.coefficients is not None:
+                    a, d = self.coefficients[i], p.distances(parts)
+                    d = np.where(np.isnan(d), 0.0, d)
+                    safe = np.where(d <= 0, 1e-30, d)
+                    total += (1.0 / (a * safe) ** 2).sum()
+                    by_d = np.where(d > 0, -2.0 / (a * a * safe**3), 0.0)
+                    g += p.pull_back(parts, p.spread_distance_gradient(parts, by_d), self.n)
+        if not np.isfinite(total) or total > BAD:
+            return BAD, BAD, np.zeros(self.n)
+        return total, nll, g
+
+    def closest(self, theta):
+        """Smallest distance to a constraint and its gradient."""
+        best, g = np.inf, np.zeros(self.n)
+        with np.errstate(all="ignore"):
+            for p in self.parents:
+                parts = p.components(theta)
+                d = p.distances(parts)
+                d = np.where(np.isnan(d), 0.0, d)
+                if d.size and d.min() < best:
+                    best = float(d.min())
+                    mark = np.zeros_like(d)
+                    mark[np.unravel_index(d.argmin(), d.shape)] = 1.0
+                    g = p.pull_back(parts, p.spread_distance_gradient(parts, mark), self.n)
+        return best, g
+
+    def nonnegative(self, theta):
+        """Whether no predicted log rate is negative, observed or not."""
+        with np.errstate(all="ignore"):
+            for p in self.parents:
+                rates, slopes, points = (p.components(theta)[c][0] for c in ("Rt", "tslope", "tpoint"))
+                x = slopes[:, None, :] * (p.bins[None, :, None] - points[:, None, :])
+                small = np.exp(-np.abs(x))
+                step = np.where(x > 0, 1.0, small) / (1.0 + small)
+                r = rates[:, :1] + (step * np.diff(rates, axis=1)[:, None, :]).sum(axis=2)
+                if not np.all(r >= 0):
+                    return False
+        return True
+
+
+def minimise(evaluate, theta, tolerance, max_evals, memory=10, enough=None):
+    """Limited-memory quasi-Newton descent with backtracking.
+
+    ``evaluate(theta)`` gives (value, gradient). Returns theta, value, status,
+    evaluations; status 2 = reached ``enough``, 3 = value settled within the
+    tolerance, 4 = no further step possible, 5 = out of evaluations.
+    """
+    f, g = evaluate(theta)
+    evals, pairs = 1, []
+    while evals < max_evals:
+        if enough is not None and f <= enough:
+            return theta, f, 2, evals
+        q = g.copy()
+        used = []
+        for s, y, rho in reversed(pairs):
+            a = rho * s.dot(q)
+            used.append(a)
+            q -= a * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            q *= s.dot(y) / y.dot(y)
+        else:
+            q /= max(np.linalg.norm(g), 1e-12)
+        for (s, y, rho), a in zip(pairs, reversed(used)):
+            q += (a - rho * y.dot(q)) * s
+        slope = -g.dot(q)
+        if slope >= 0:
+            if not pairs:
+                return theta, f, 4, evals
+            pairs = []
+            continue
+        length, moved = 1.0, False
+        while evals < max_evals and length > 1e-14:
+            trial = theta - length * q
+            ft, gt = evaluate(trial)
+            evals += 1
+            if ft <= f + 1e-4 * length * slope:
+                moved = True
+                break
+            length *= 0.5
+        if not moved:
+            if pairs and evals < max_evals:
+                pairs = []
+                continue
+            return theta, f, 5 if evals >= max_evals else 4, evals
+        s, y = trial - theta, gt - g
+        if s.dot(y) > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            pairs = (pairs + [(s, y, 1.0 / s.dot(y))])[-memory:]
+        settled = abs(f - ft) <= tolerance * abs(ft)
+        theta, f, g = trial, ft, gt
+        if settled:
+            return theta, f, 3, evals
+    return theta, f, 5, evals

@@ -46,7 +46,8 @@ def warped_series(series_keys: DataFrame, params: DataFrame, pairs: DataFrame, n
 
     ``series_keys`` may carry further columns; they are kept.
     """
-    with_values = series_keys.join(_series_values(params, pairs, extra), GROUP)
+    shared = [c for c in extra if c in series_keys.columns]
+    with_values = series_keys.join(_series_values(params, pairs, extra), [*shared, *GROUP])
     joined = with_values.join(_series_warps(params, extra), [*extra, "ran", "child"], "left")
     bounds = {"Rt": ("rate", settings.unbounded), "tslope": ("slope", settings.unbounded),
               "tpoint": ("point", float(n_bins))}
@@ -56,7 +57,7 @@ def warped_series(series_keys: DataFrame, params: DataFrame, pairs: DataFrame, n
         w = F.when(F.col("ran") == NO_RANDOM_EFFECT, F.lit(0.0)).otherwise(F.col(f"w_{kind}"))
         return F.transform(component, lambda v: model.warp(v, bound, w))
 
-    rest = [c for c in series_keys.columns]
+    rest = [c for c in series_keys.columns if c not in extra]
     return joined.select(*extra, *rest, *[warped(c).alias(c) for c in COMPONENTS])
 
 
