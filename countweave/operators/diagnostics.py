@@ -186,8 +186,7 @@ def draw_traces(draws: DataFrame, points: int = 1000, high: float = 20.0, low_sa
     """
     walk = draws.where(~F.col("is_full_fit"))
     means = walk.groupBy("param_idx").agg(
-        F.avg("value").alias("_mean"), F.avg(F.abs("value")).alias("_size"),
-        F.min("draw_id").alias("_first"), F.max("draw_id").alias("_last"),
+        F.avg("value").alias("_mean"), F.avg(F.abs("value")).alias("_size"), F.count(F.lit(1)).alias("_n"),
     ).withColumn("level", F.when(F.col("_mean") > high, "high").otherwise("low"))
     # one row per parameter; the top-k is pruned before the shuffle
     pick = Window.partitionBy("level").orderBy(hash32(seed, "param_idx"), "param_idx")
@@ -196,11 +195,11 @@ def draw_traces(draws: DataFrame, points: int = 1000, high: float = 20.0, low_sa
     by_size = Window.partitionBy("level").orderBy(F.desc("_size"), "param_idx")
     low = low.withColumn("order", F.row_number().over(by_size)).drop("_r")
     kept = low.unionByName(means.where(F.col("level") == "high").withColumn("order", F.lit(None).cast("int")))
-    n = F.col("_last") - F.col("_first") + 1
-    step = F.floor(1 + F.col("_j") * (n - 1) / float(points - 1))
+    step = F.floor(1 + F.col("_j") * (F.col("_n") - 1) / float(points - 1))
     wanted = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_j")).select(
-        "param_idx", "level", "order", step.alias("step"), (F.col("_first") + step - 1).alias("draw_id"))
-    return wanted.join(walk.select("param_idx", "draw_id", "value"), ["param_idx", "draw_id"]).select(
+        "param_idx", "level", "order", step.alias("step"))
+    placed = ordering.ranked(walk, ["param_idx"], "draw_id", F.lit(0.0), 1.0, "step")
+    return wanted.join(placed.select("param_idx", "step", "value"), ["param_idx", "step"]).select(
         "level", "param_idx", "order", "step", "value")
 
 
@@ -248,15 +247,15 @@ def normality(draws: DataFrame, resamples: int = 100, size: int = SHAPIRO_SIZE,
     only ``resamples x size`` rows per parameter move.
     """
     keys = ["source", "param_idx"]
-    placed = ordering.ranked(draws, keys, "draw_id", F.lit(0.0), 1.0, "_at").withColumn("_at", F.col("_at") - 1)
+    placed = ordering.ranked(draws, keys, "draw_id", F.lit(0.0), 1.0, "_spot").withColumn("_spot", F.col("_spot") - 1)
     sizes = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     slots = sizes.select(
         *keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples * size - 1))).alias("_slot")
     ).select(
         *keys, F.floor(F.col("_slot") / size).alias("_sample"),
-        (hash32(seed, "source", "param_idx", "_slot") % F.col("_n")).alias("_at"),
+        (hash32(seed, "source", "param_idx", "_slot") % F.col("_n")).alias("_spot"),
     )
-    samples = slots.join(placed.select(*keys, "_at", "value"), [*keys, "_at"]).groupBy(*keys, "_sample").agg(
+    samples = slots.join(placed.select(*keys, "_spot", "value"), [*keys, "_spot"]).groupBy(*keys, "_sample").agg(
         F.array_sort(F.collect_list("value")).alias("_v"))
     return samples.select(*keys, shapiro_p(F.col("_v"), size).alias("p")).groupBy(*keys).agg(
         F.when(F.count("p") == resamples, F.avg("p")).alias("normality"))

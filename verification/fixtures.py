@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countweave.operators import cells as cells_
+from countweave.operators import changepoints, curve, design, effects
 from countweave.schema import ModelSettings, Variables, select_model_columns
+from countweave.sources.storage import materialize
 
 N_BINS = 40
 FIXED_EFFECTS = ["disc", "tax"]
@@ -83,3 +86,112 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("token_id"),
     )
     return select_model_columns(e, Variables(token_id="token_id"))
+
+
+def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(cells_.cell_sums(tokens(spark, sf_dir)))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_.cells(tokens(spark, sf_dir), N_BINS)
+
+
+def levels_and_treatments(spark: SparkSession, sf_dir: str):
+    level_table, effects_found = cells_.sums_levels(sums(spark, sf_dir))
+    return level_table, design.treatments(level_table, effects_found)
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.ratio_table(cells(spark, sf_dir), N_BINS, WS)
+
+
+def simple_points(ratio_table: DataFrame) -> DataFrame:
+    """Change points that SQL can state: the best bin of each half of every complete series."""
+    half = F.when(F.col("bin").between(9, 20), 0).when(F.col("bin").between(21, 32), 1)
+    return ratio_table.withColumn("k", half).where("k is not null").groupBy(*design.SERIES, "k").agg(
+        (F.max_by("bin", "r1") - 1).alias("bin0"))
+
+
+class SimpleModel:
+    """Parameters SQL can state: real block rates, simple change points, slopes by rank."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        sum_table = sums(spark, sf_dir)
+        self.levels, fixed = cells_.sums_levels(sum_table)
+        self.treatments = design.treatments(self.levels, fixed)
+        self.pairs = design.effect_pairs(self.treatments)
+        self.series = materialize(cells_.series(sum_table, N_BINS))
+        self.cells = cells_.open_bins(self.series)
+        self.points = simple_points(changepoints.ratio_table(self.cells, N_BINS, WS))
+        self.treatment_points = changepoints.treatment_points(self.points)
+        self.profiles = effects.profiles(cells_.log_means(self.cells))
+        self.estimates = effects.block_estimates(
+            self.profiles, self.treatment_points, N_BINS, SETTINGS.rise_threshold_factor)
+        fixed_runs = self.estimates.withColumn("runs", F.transform("points", lambda p, k: (k + 1) * 3))
+        self.values = effects.component_values(fixed_runs, SETTINGS.min_initial_slope)
+        self.split = effects.split_effects(self.values, self.pairs, ["parent", "child", "component", "k"])
+        self.warps = effects.initial_warps(
+            self.series.select("ran", "child").distinct(), SETTINGS.rng_seed)
+        self.dispersion = cells_.dispersion(self.cells)
+
+    @property
+    def params(self) -> DataFrame:
+        return effects.parameter_table(self.split, self.warps, self.treatments)
+
+    def ready(self) -> "SimpleModel":
+        """Materialise the parameters before they feed several branches."""
+        self.held = materialize(self.params)
+        self.warped = curve.warped_series(
+            self.series.select(*design.SERIES), self.held, self.pairs, N_BINS, SETTINGS)
+        self.predicted = curve.predicted_cells(self.series, self.held, self.pairs, N_BINS, SETTINGS)
+        self.distances = curve.boundary_distances(self.warped, N_BINS, SETTINGS.buffer(N_BINS))
+        self.nll = curve.likelihood(self.predicted, self.dispersion, ["child"])
+        return self
+
+    def coefficients(self) -> DataFrame:
+        return curve.penalty_coefficients(self.distances, self.nll, SETTINGS.max_penalty_at_distance_factor)
+
+    def scaled_draws(self, n: int = 3) -> DataFrame:
+        draw = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return self.held.withColumn("draw_id", draw).withColumn("value", F.col("value") * (1 + 0.01 * F.col("draw_id")))
+
+
+def mean_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells predicted by their group's mean log count."""
+    c = cells(spark, sf_dir)
+    mean = cells_.log_means(c).withColumnRenamed("mean_log", "pred_log")
+    return c.join(mean, ["parent", "child", "treatment", "bin"]).withColumn("pred", F.expm1("pred_log"))
+
+
+def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A draws table without a fit, and its parameters."""
+    li = table(spark, sf_dir, "lineitem")
+    p = (F.col("l_suppkey") % 12).cast("bigint")
+    d = li.groupBy(
+        F.when(F.col("l_linenumber") % 2 == 0, "chain").otherwise("bootstrap").alias("source"), p.alias("param_idx"),
+        F.col("l_orderkey").alias("draw_id"),
+    ).agg(F.avg((F.col("l_discount") - 0.05) * 10 + p * 0.05).alias("value"))
+    full = d.groupBy("source", "param_idx").agg((F.avg("value") * 1.1 + 0.0137).alias("value")).select(
+        "source", "param_idx", F.lit(-1).cast("bigint").alias("draw_id"), "value", F.lit(True).alias("is_full_fit"))
+    i = F.col("param_idx")
+    params = d.select("param_idx").distinct().select(
+        "param_idx", F.when(i < 9, "beta").otherwise("wfactor").alias("kind"),
+        F.when(i < 3, "Rt").when(i < 6, "tslope").when(i < 9, "tpoint").when(i == 9, "point").when(i == 10, "rate")
+        .otherwise("slope").alias("component"),
+        F.when(i < 9, "p").alias("parent"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("child"),
+        F.when(i >= 9, "s0").alias("ran"), F.when(i < 9, "d1").alias("treatment"),
+        F.when(i < 9, (i % 3).cast("int")).alias("k"), F.concat(F.lit("par_"), i.cast("string")).alias("name"),
+    )
+    return d.withColumn("is_full_fit", F.lit(False)).unionByName(full), params
+
+
+def boot_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d, p = draws(spark, sf_dir)
+    return materialize(d.where(F.col("source") == "bootstrap")), p
+
+
+def draw_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("draw_id"), F.when(F.col("o_orderkey") % 20 == 0, 5).otherwise(3).alias("status"),
+        F.col("o_totalprice").alias("objective"), (F.col("o_totalprice") * 0.9).alias("neg_loglik"),
+        (F.col("o_orderkey") % 1000).cast("int").alias("evals"))
