@@ -179,6 +179,18 @@ class Block:
                     g = p.pull_back(parts, p.spread_distance_gradient(parts, mark), self.n)
         return best, g
 
+    def shortfall(self, theta, target):
+        """Summed squared amounts by which distances stay below ``target``; blocks add up."""
+        total, g = 0.0, np.zeros(self.n)
+        with np.errstate(all="ignore"):
+            for p in self.parents:
+                parts = p.components(theta)
+                d = p.distances(parts)
+                lack = np.maximum(target - np.where(np.isnan(d), 0.0, d), 0.0)
+                total += (lack**2).sum()
+                g += p.pull_back(parts, p.spread_distance_gradient(parts, -2 * lack), self.n)
+        return total, g
+
     def nonnegative(self, theta):
         """Whether no predicted log rate is negative, observed or not."""
         with np.errstate(all="ignore"):

@@ -87,8 +87,8 @@ def beta_log_density(x, shape) -> Column:
 
 
 def gamma_poisson_log(y: Column, mean: Column, variance: Column) -> Column:
-    """Log probability of y when a Poisson rate is itself gamma distributed."""
-    shape, rate = mean * mean / variance, mean / variance
+    """Log probability of y when a Poisson rate is itself gamma distributed; NULL without variance."""
+    shape, rate = F.try_divide(mean * mean, variance), F.try_divide(mean, variance)
     return (
         shape * F.ln(rate) + log_gamma(y + shape)
         - log_gamma(y + 1.0) - log_gamma(shape) - (y + shape) * F.log1p(rate)

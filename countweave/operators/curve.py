@@ -139,7 +139,10 @@ def smallest_distance(distances: DataFrame, keys: list[str]) -> DataFrame:
 
 def penalty_coefficients(start_distances: DataFrame, start_nll: DataFrame, factor: float,
                          extra: tuple[str, ...] = ()) -> DataFrame:
-    """Coefficients that make the whole penalty ``factor`` x likelihood at the starting point."""
+    """Coefficients that make the whole penalty ``factor`` x likelihood at the starting point.
+
+    A distance that starts at 0 has none and adds no penalty.
+    """
     totals = start_distances.groupBy(*extra, *([] if extra else [F.lit(0).alias("_one")])).agg(
         F.count(F.lit(1)).alias("_n"))
     nll = start_nll.groupBy(*extra, *([] if extra else [F.lit(0).alias("_one")])).agg(
@@ -148,7 +151,7 @@ def penalty_coefficients(start_distances: DataFrame, start_nll: DataFrame, facto
         "_scale", F.sqrt(F.col("_n") / (F.col("_nll") * F.lit(factor)))).drop("_n", "_nll")
     keyed = start_distances if extra else start_distances.withColumn("_one", F.lit(0))
     return keyed.join(scale, list(extra) or ["_one"]).select(
-        *extra, *SERIES, "what", "k", (F.col("_scale") / F.col("distance")).alias("coefficient")
+        *extra, *SERIES, "what", "k", F.try_divide("_scale", "distance").alias("coefficient")
     )
 
 

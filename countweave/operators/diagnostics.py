@@ -292,26 +292,24 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = 512) -> Da
     group brings at most 2 x ``points`` weights to the smoothing step.
     """
     grid = 2 * points
-    wide = bandwidths(df, keys, value)
+    wide = bandwidths(df, keys, value).select(
+        *keys, F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("bw").alias("_bw"))
     # grid reaches 7 bandwidths beyond the data, output 3
-    left, right = F.col("lo") - 7 * F.col("bw"), F.col("hi") + 7 * F.col("bw")
+    left, right = F.col("_lo") - 7 * F.col("_bw"), F.col("_hi") + 7 * F.col("_bw")
     at = (F.col(value) - left) / ((right - left) / (points - 1))
     cell = F.floor(at)
-    spread = df.join(wide, keys).select(*keys, "n", "lo", "hi", "bw", F.explode(F.array(
-        F.struct(cell.alias("g"), (1 - (at - cell)).alias("w")),
-        F.struct((cell + 1).alias("g"), (at - cell).alias("w")),
-    )).alias("e"))
-    weights = spread.groupBy(*keys, F.col("e.g").alias("g")).agg(
-        F.sum("e.w").alias("w"), F.first("n").alias("n"), F.first("lo").alias("lo"),
-        F.first("hi").alias("hi"), F.first("bw").alias("bw"))
+    spread = df.join(wide, keys).select(*keys, "_n", "_lo", "_hi", "_bw", F.explode(F.array(
+        F.struct(cell.alias("at"), (1 - (at - cell)).alias("w")),
+        F.struct((cell + 1).alias("at"), (at - cell).alias("w")),
+    )).alias("_e"))
+    weights = spread.groupBy(*keys, F.col("_e.at").alias("_at")).agg(
+        F.sum("_e.w").alias("_w"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi", "_bw")])
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        bw, lo, hi = (float(pdf[c].iloc[0]) for c in ("bw", "lo", "hi"))
+        n, lo, hi, bw = (float(pdf[c].iloc[0]) for c in ("_n", "_lo", "_hi", "_bw"))
         y = np.zeros(grid)
-        inside = pdf[pdf["g"] < points]
-        y[inside["g"].to_numpy(dtype=int)] = inside["w"].to_numpy(dtype=float)
-        y /= float(pdf["n"].iloc[0])
+        y[pdf["_at"].to_numpy(dtype=int)] = pdf["_w"].to_numpy(dtype=float) / n
         start, stop = lo - 7 * bw, hi + 7 * bw
         lag = np.arange(grid)
         lag = np.minimum(lag, grid - lag) * (stop - start) / (points - 1)

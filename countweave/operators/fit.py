@@ -78,18 +78,25 @@ def build_block(series: pd.DataFrame, params: pd.DataFrame, n_bins: int, setting
     return Block(blocks, n), params["value"].to_numpy(dtype=float)
 
 
-def _reach_feasible(closest, nonnegative, theta, settings: ModelSettings):
-    """Move a start that breaks a constraint inside; keep it when that fails."""
-    distance, _ = closest(theta)
-    if distance >= 0 and nonnegative(theta):
-        return theta
+def _reach_feasible(block, theta, is_warp: np.ndarray, settings: ModelSettings):
+    """Move a start that breaks a constraint inside; keep it when that fails.
 
-    def downhill(t):
-        d, g = closest(t)
-        return -d, -g
+    The summed squared shortfall of all distances is brought down until each
+    is at least FEASIBLE_AT; unlike the smallest distance it is smooth and adds
+    up over blocks. Warps are held at first: a large one flattens every point
+    onto its bound, and there is no way back from there.
+    """
+    if block.closest(theta)[0] >= 0 and block.nonnegative(theta):
+        return theta
+    for free in (~is_warp, np.ones_like(is_warp)):
+        def downhill(t, free=free):
+            f, g = block.shortfall(t, 2 * FEASIBLE_AT)
+            return f, np.where(free, g, 0.0)
 
-    moved, value, _, _ = minimise(downhill, theta, settings.ctol, settings.max_evals, enough=-FEASIBLE_AT)
-    return moved if -value > 0 else theta
+        moved, _, _, _ = minimise(downhill, theta, 0.0, settings.max_evals, enough=FEASIBLE_AT**2)
+        if block.closest(moved)[0] > 0:
+            return moved
+    return theta
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -118,7 +125,7 @@ def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: M
             return pd.DataFrame({"replicate": [], "param_idx": [], "value": []})
         p = p.sort_values("param_idx")
         block, theta = build_block(s, p, n_bins, settings)
-        theta = _reach_feasible(block.closest, block.nonnegative, theta, settings)
+        theta = _reach_feasible(block, theta, (p["kind"] == "wfactor").to_numpy(), settings)
         return pd.DataFrame({"replicate": p["replicate"].to_numpy(), "param_idx": p["param_idx"].to_numpy(),
                              "value": theta})
 
@@ -128,7 +135,7 @@ def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: M
     for child in large:
         for part in _by_replicate(series, params, child):
             far = SpreadObjective(part, n_bins, settings)
-            theta = _reach_feasible(far.closest, far.nonnegative, far.start, settings)
+            theta = _reach_feasible(far, far.start, (far.params["kind"] == "wfactor").to_numpy(), settings)
             moved = moved.unionByName(far.table(theta).select("replicate", "param_idx", "value"))
     return params.drop("value").join(moved, ["replicate", "param_idx"])
 
@@ -167,25 +174,33 @@ class SpreadObjective:
                     block.start_penalty(start, scale)
                 f, nll, g = block.value(theta)
             elif what == "closest":
-                f, g = block.closest(theta)
-                nll = 0.0
+                (f, g), nll = block.closest(theta), 0.0
+            elif what == "shortfall":
+                (f, g), nll = block.shortfall(theta, 2 * FEASIBLE_AT), 0.0
             else:
                 f, nll, g = float(not block.nonnegative(theta)), 0.0, np.zeros(1)
             return pd.DataFrame({"f": [f], "nll": [nll], "g": [g]})
 
         return self.series.groupBy("_block").applyInPandas(run, "f double, nll double, g array<double>")
 
+    def shortfall(self, theta, _target):
+        f, _, g = self._added_up(theta, "shortfall")
+        return f, g
+
     def value(self, theta):
-        parts = self._over_blocks(theta, "value")
+        f, nll, g = self._added_up(theta, "value")
+        if f >= curve.BAD_OBJECTIVE:
+            return curve.BAD_OBJECTIVE, curve.BAD_OBJECTIVE, np.zeros_like(g)
+        return f, nll, g
+
+    def _added_up(self, theta, what):
+        parts = self._over_blocks(theta, what)
         # the gradient is summed per parameter before it reaches the driver
         rows = parts.select("f", "nll", F.posexplode("g").alias("i", "d")).groupBy("i").agg(
             F.sum("d").alias("d"), F.sum("f").alias("f"), F.sum("nll").alias("nll")).toPandas()
         g = np.zeros(len(self.params))
         g[rows["i"]] = rows["d"]
-        f, nll = float(rows["f"].iloc[0]), float(rows["nll"].iloc[0])
-        if f >= curve.BAD_OBJECTIVE:
-            return curve.BAD_OBJECTIVE, curve.BAD_OBJECTIVE, np.zeros_like(g)
-        return f, nll, g
+        return float(rows["f"].iloc[0]), float(rows["nll"].iloc[0]), g
 
     def closest(self, theta):
         row = self._over_blocks(theta, "closest").orderBy("f").limit(1).first()
