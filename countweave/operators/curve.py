@@ -71,10 +71,20 @@ def predict(warped: DataFrame, n_bins: int, extra: tuple[str, ...] = ()) -> Data
     )
 
 
+def with_dispersion(series_table: DataFrame, dispersion: DataFrame) -> DataFrame:
+    """Attach the dispersion of (parent, child) to series rows."""
+    on = [c for c in dispersion.columns if c in series_table.columns and c not in ("count", "n_tokens")]
+    return series_table.join(dispersion.select(*on, "dispersion"), on)
+
+
 def predicted_cells(series_table: DataFrame, params: DataFrame, pairs: DataFrame, n_bins: int,
                     settings: ModelSettings, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Cells with their predictions; the join moves series rows, not cells."""
-    keyed = series_table.select(*SERIES, "n_tokens", "count")
+    """Cells with their predictions; the joins move series rows, not cells.
+
+    A ``dispersion`` column of the series is carried along.
+    """
+    carried = ["dispersion"] if "dispersion" in series_table.columns else []
+    keyed = series_table.select(*SERIES, *carried, "n_tokens", "count")
     opened = cells.open_bins(warped_series(keyed, params, pairs, n_bins, settings, extra))
     return (
         opened.withColumn("pred_log", model.step_curve(
@@ -84,21 +94,21 @@ def predicted_cells(series_table: DataFrame, params: DataFrame, pairs: DataFrame
     )
 
 
-def likelihood(predicted: DataFrame, dispersion: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+def likelihood(predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Negative log likelihood over observed cells, per ``keys``.
 
-    Any negative, missing or infinite prediction makes it 1e100.
+    Needs ``dispersion`` on the cells (see :func:`with_dispersion`). Any
+    negative, missing or infinite prediction makes it 1e100.
     """
-    held = dispersion.select(*extra, "parent", "child", "dispersion") if set(extra) <= set(dispersion.columns) \
-        else dispersion.select("parent", "child", "dispersion")
-    on = [c for c in held.columns if c != "dispersion"]
-    rows = predicted.where(F.col("observed") & F.col("count").isNotNull()).join(held, on)
     p = F.col("pred_log")
     bad = p.isNull() | F.isnan(p) | (p < 0) | (F.abs(p) == float("inf"))
     term = model.cell_log_likelihood(F.col("count_log"), p, F.col("dispersion"))
-    off = bad | term.isNull() | F.isnan(term) | (F.abs(term) == float("inf"))
+    rows = predicted.where(F.col("observed") & F.col("count").isNotNull()).select(
+        *keys, F.when(~bad, term).alias("_term"))
+    off = F.col("_term").isNull() | F.isnan("_term") | (F.abs("_term") == float("inf"))
     out = rows.groupBy(*keys).agg(
-        F.sum(F.when(~off, -term)).alias("_nll"), F.bool_or(off).alias("_bad"), F.count(F.lit(1)).alias("n_cells")
+        F.sum(F.when(~off, -F.col("_term"))).alias("_nll"), F.bool_or(off).alias("_bad"),
+        F.count(F.lit(1)).alias("n_cells"),
     )
     value = F.when(F.col("_bad") | (F.col("_nll") > BAD_OBJECTIVE), F.lit(BAD_OBJECTIVE)).otherwise(F.col("_nll"))
     return out.select(*keys, value.alias("neg_loglik"), "n_cells")
@@ -143,15 +153,16 @@ def penalty_coefficients(start_distances: DataFrame, start_nll: DataFrame, facto
 
     A distance that starts at 0 has none and adds no penalty.
     """
-    totals = start_distances.groupBy(*extra, *([] if extra else [F.lit(0).alias("_one")])).agg(
-        F.count(F.lit(1)).alias("_n"))
-    nll = start_nll.groupBy(*extra, *([] if extra else [F.lit(0).alias("_one")])).agg(
-        F.sum("neg_loglik").alias("_nll"))
-    scale = totals.join(nll, list(extra) or ["_one"]).withColumn(
-        "_scale", F.sqrt(F.col("_n") / (F.col("_nll") * F.lit(factor)))).drop("_n", "_nll")
-    keyed = start_distances if extra else start_distances.withColumn("_one", F.lit(0))
-    return keyed.join(scale, list(extra) or ["_one"]).select(
-        *extra, *SERIES, "what", "k", F.try_divide("_scale", "distance").alias("coefficient")
+    n, nll = F.count(F.lit(1)), F.sum("neg_loglik")
+    if extra:
+        scale = start_distances.groupBy(*extra).agg(n.alias("_n")).join(
+            start_nll.groupBy(*extra).agg(nll.alias("_nll")), list(extra))
+        keyed, per_nll = start_distances.join(scale, list(extra)), F.col("_n") / (F.col("_nll") * factor)
+    else:
+        keyed = start_distances
+        per_nll = start_distances.agg(n).scalar() / (start_nll.agg(nll).scalar() * factor)
+    return keyed.select(
+        *extra, *SERIES, "what", "k", F.try_divide(F.sqrt(per_nll), F.col("distance")).alias("coefficient")
     )
 
 
@@ -187,11 +198,11 @@ def score_draws(series_table: DataFrame, draws: DataFrame, pairs: DataFrame, dis
 
     Everything is summed to (draw, child) before anything else touches it.
     """
-    keyed = series_table.select(*SERIES, "n_tokens", "count")
+    keyed = with_dispersion(series_table, dispersion).select(*SERIES, "dispersion", "n_tokens", "count")
     warped = warped_series(keyed, draws, pairs, n_bins, settings, draw_keys)
     opened = cells.open_bins(warped).withColumn("pred_log", model.step_curve(
         F.col("bin").cast("double"), F.col("Rt"), F.col("tslope"), F.col("tpoint")))
     keys = [*draw_keys, *by]
-    nll = likelihood(opened, dispersion, keys, draw_keys)
+    nll = likelihood(opened, keys)
     distances = boundary_distances(warped, n_bins, settings.buffer(n_bins), draw_keys)
     return objective(nll, penalties(distances, coefficients, keys), keys)

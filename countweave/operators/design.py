@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..schema import NO_RANDOM_EFFECT, REFERENCE
 
 SERIES = ("ran", "parent", "child", "treatment")
+LEVELS_PER_BLOCK = 128
 
 
 def levels(df: DataFrame, factors: list[str]) -> DataFrame:
@@ -133,16 +134,39 @@ def effect_pairs(treatment_table: DataFrame) -> DataFrame:
     )
 
 
+def effect_map(pairs: DataFrame) -> Column:
+    """Effect -> [(treatment, sign, number of subsets of the treatment)] as one value.
+
+    A scalar subquery: it holds treatments only, so tables that carry a
+    treatment per row look it up in place and are not shuffled by treatment.
+    """
+    subsets_of = Window.partitionBy("treatment")
+    counted = pairs.withColumn("need", F.count(F.lit(1)).over(subsets_of))
+    per_effect = counted.groupBy("effect").agg(F.collect_list(F.struct("treatment", "sign", "need")).alias("to"))
+    return per_effect.agg(F.map_from_entries(F.collect_list(F.struct("effect", "to")))).scalar()
+
+
+def treatment_order(treatment_table: DataFrame) -> Column:
+    """Treatment -> index as one value (see :func:`effect_map`)."""
+    return treatment_table.agg(
+        F.map_from_entries(F.collect_list(F.struct("treatment", "treatment_idx")))).scalar()
+
+
 def series_grid(level_table: DataFrame, fixed_effects: list[str]) -> DataFrame:
     """One row per (ran, parent, child, treatment), ``none`` included; no bins."""
     arrays = level_arrays(level_table, ["ran", "parent", "child", *fixed_effects])
-    spread = arrays.withColumn("treatments", _treatment_array(fixed_effects)).select(
-        "parent_levels", "treatments",
-        F.explode(F.concat(F.array(F.lit(NO_RANDOM_EFFECT)), F.col("ran_levels"))).alias("ran"),
-        "child_levels",
-    ).select("parent_levels", "treatments", "ran", F.explode("child_levels").alias("child"))
+    # one row becomes one row per block of ran x child levels; those are spread before they open
+    blocks = (
+        arrays.withColumn("treatments", _treatment_array(fixed_effects))
+        .select("parent_levels", "treatments", "child_levels", F.posexplode(_blocks(
+            F.concat(F.array(F.lit(NO_RANDOM_EFFECT)), F.col("ran_levels")))).alias("_r", "rans"))
+        .select("parent_levels", "treatments", "_r", "rans",
+                F.posexplode(_blocks(F.col("child_levels"))).alias("_c", "children"))
+        .repartition("_r", "_c")
+    )
     return (
-        spread.repartition("ran", "child")
+        blocks.select("parent_levels", "treatments", "children", F.explode("rans").alias("ran"))
+        .select("ran", "parent_levels", "treatments", F.explode("children").alias("child"))
         .select("ran", "child", "treatments", F.explode("parent_levels").alias("parent"))
         .select("ran", "parent", "child", F.explode("treatments").alias("t"))
         .select("ran", "parent", "child", "t.treatment",
@@ -150,6 +174,12 @@ def series_grid(level_table: DataFrame, fixed_effects: list[str]) -> DataFrame:
     )
 
 
+def _blocks(levels_: Column, size: int = LEVELS_PER_BLOCK) -> Column:
+    """Cut an array into arrays of at most ``size``."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(levels_), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda i: F.slice(levels_, i, F.lit(size)))
+
+
 def grid(level_table: DataFrame, fixed_effects: list[str], n_bins: int | Column) -> DataFrame:
     """Complete ran x parent x child x treatment x bin grid."""
     stop = F.lit(n_bins) if isinstance(n_bins, int) else n_bins

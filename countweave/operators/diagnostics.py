@@ -35,7 +35,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int, peak_normal
     bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
     counted = (
-        known.join(ends, keys)
+        ordering.attach(known, ends, keys)
         .groupBy(*keys, bucket.cast("int").alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     )
@@ -51,7 +51,7 @@ def effect_histograms(draws: DataFrame, params: DataFrame, bins: int = 75) -> Da
     family = F.when(F.col("kind") == "wfactor", F.concat(F.lit("wfactor_"), F.col("component"))).otherwise(
         F.concat(F.lit("beta_"), F.col("component")))
     named = params.where(F.col("kind").isin("wfactor", "beta")).select("param_idx", family.alias("family"))
-    return histogram(draws.join(named, "param_idx"), ["family"], "value", bins, peak_normalised=True)
+    return histogram(ordering.attach(draws, named, ["param_idx"]), ["family"], "value", bins, peak_normalised=True)
 
 
 def residual_groups(cell_table: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def quantile_pairs(residuals: DataFrame, value: str = "residual_log") -> DataFra
     spread = residuals.groupBy("grouping").agg(F.stddev_samp(value).alias("_sd"))
     i, n = F.col("i"), F.col("i_total")
     a = F.when(n <= 10, F.lit(3 / 8)).otherwise(F.lit(0.5))
-    return placed.join(spread, "grouping").select(
+    return ordering.attach(placed, spread, ["grouping"]).select(
         "grouping", "i", F.col(value).alias("sample"),
         normal_quantile((i - a) / (n + 1 - 2 * a)).alias("normal"),
         (normal_quantile((i - 0.5) / n) * F.col("_sd")).alias("convolved"),
@@ -207,7 +207,7 @@ def objective_traces(diagnostics: DataFrame, by: tuple[str, ...] = ("source",))
     """Objective and likelihood of every draw relative to the full-data fit."""
     full = diagnostics.where("is_full_fit").select(
         *by, F.col("objective").alias("_o"), F.col("neg_loglik").alias("_n"))
-    return diagnostics.where(~F.col("is_full_fit")).join(full, list(by)).select(
+    return ordering.attach(diagnostics.where(~F.col("is_full_fit")), full, list(by)).select(
         *by, "draw_id", (F.col("objective") / F.col("_o")).alias("objective"),
         (F.col("neg_loglik") / F.col("_n")).alias("neg_loglik"))
 
@@ -298,7 +298,7 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = 512) -> Da
     left, right = F.col("_lo") - 7 * F.col("_bw"), F.col("_hi") + 7 * F.col("_bw")
     at = (F.col(value) - left) / ((right - left) / (points - 1))
     cell = F.floor(at)
-    spread = df.join(wide, keys).select(*keys, "_n", "_lo", "_hi", "_bw", F.explode(F.array(
+    spread = ordering.attach(df, wide, keys).select(*keys, "_n", "_lo", "_hi", "_bw", F.explode(F.array(
         F.struct(cell.alias("at"), (1 - (at - cell)).alias("w")),
         F.struct((cell + 1).alias("at"), (at - cell).alias("w")),
     )).alias("_e"))

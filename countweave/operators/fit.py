@@ -20,6 +20,7 @@ from ..functions.likelihood import Block, ParentBlock, minimise
 from ..schema import COMPONENTS, NO_RANDOM_EFFECT, ModelSettings
 from ..sources.storage import materialize
 from . import curve
+from .design import effect_map
 
 CELLS_PER_TASK = 4_000_000
 FEASIBLE_AT = 0.01
@@ -43,8 +44,8 @@ def series_for_fit(series: DataFrame, dispersion: DataFrame, replicate: bool) ->
 
 def params_for_fit(params: DataFrame, pairs: DataFrame, replicate: bool) -> DataFrame:
     """Parameters with the treatments they apply to."""
-    applies = pairs.groupBy("effect").agg(F.collect_list("treatment").alias("applies_to"))
-    out = params.join(applies, params["treatment"] == applies["effect"], "left")
+    out = params.withColumn("_to", effect_map(pairs)[F.col("treatment")]).withColumn(
+        "applies_to", F.transform("_to", lambda e: e["treatment"]))
     rep = F.col("replicate").cast("int") if replicate else F.lit(FULL_FIT)
     return out.select(rep.alias("replicate"), "child", "param_idx", "kind", "component", "parent", "ran",
                       "treatment", "k", "applies_to", "value")
@@ -313,29 +314,45 @@ def _walk(block, theta, prior_on, steps, every, step_size, prior_sd, rng):
 
 
 def chains(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings,
-           steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1) -> DataFrame:
+           steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1,
+           cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """Draws of independent chains, one task per (chain, child).
 
+    A child too large for one task walks with every proposal evaluated as a
+    Spark job over its blocks.
+
     ``params`` holds the starting point (usually the full-data fit). Children
     walk separately: the posterior is a product over them.
     """
+    names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")]
+
+    def draw(block, theta, chain, child, p: pd.DataFrame) -> pd.DataFrame:
+        prior_on = ~((p["kind"] == "baseline") & (p["component"] == "tpoint")).to_numpy()
+        rng = np.random.default_rng([settings.rng_seed, int(chain), *str(child).encode()])
+        kept = _walk(block, theta, prior_on, steps, every, step_size, prior_sd, rng)
+        return pd.concat([pd.DataFrame({
+            "chain": chain, "child": child, "draw_id": i, "param_idx": p["param_idx"].to_numpy(), "value": t,
+            "objective": f, "neg_loglik": nll, "acceptance": a, "proposals": n,
+        }) for i, (t, f, nll, a, n) in enumerate(kept)])[names]
+
     def sample(key, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")]
         if len(s) == 0 or len(p) == 0:
             return pd.DataFrame({c: [] for c in names})
         p = p.sort_values("param_idx")
         block, theta = build_block(s, p, n_bins, settings)
         block.start_penalty(theta, float(p["scale"].iloc[0]))
-        prior_on = ~((p["kind"] == "baseline") & (p["component"] == "tpoint")).to_numpy()
-        seed = [settings.rng_seed, int(key[0]), *str(key[1]).encode()]
-        kept = _walk(block, theta, prior_on, steps, every, step_size, prior_sd, np.random.default_rng(seed))
-        out = [pd.DataFrame({
-            "chain": key[0], "child": key[1], "draw_id": i, "param_idx": p["param_idx"].to_numpy(), "value": t,
-            "objective": f, "neg_loglik": nll, "acceptance": a, "proposals": n,
-        }) for i, (t, f, nll, a, n) in enumerate(kept)]
-        return pd.concat(out)[names]
+        return draw(block, theta, key[0], key[1], p)
 
     copies = F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1))).alias("chain")
-    left = series.select(copies, "*")
-    right = params.join(scales, "replicate").select(copies, "*")
-    return _cogrouped(left, right, ["chain", "child"], sample, CHAIN_SCHEMA)
+    large = _sizes(series, n_bins, cells_per_task)
+    keep = ~F.col("child").isin(*large) if large else F.lit(True)
+    scaled = params.join(scales, "replicate")
+    out = _cogrouped(series.where(keep).select(copies, "*"), scaled.where(keep).select(copies, "*"),
+                     ["chain", "child"], sample, CHAIN_SCHEMA)
+    for child in large:
+        for part in _by_replicate(series, scaled, child):
+            far = SpreadObjective(part, n_bins, settings, float(part[1].select("scale").first()[0]))
+            for chain in range(n_chains):
+                walk = draw(far, far.start, chain, child, far.params)
+                out = out.unionByName(series.sparkSession.createDataFrame(walk, CHAIN_SCHEMA))
+    return out

@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from ..functions.hashing import SPAN, hash32
 
 BUCKETS = 128
+SALTS = 32
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], copies: int = SALTS) -> DataFrame:
+    """Join facts of a key (one row per key) to its rows, however many a key has.
+
+    Rows of a key are dealt to ``copies`` join keys and the facts are repeated
+    as often, so no task takes a whole hot key.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(copies))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+    repeated = small.select("*", F.explode(salts).alias("_salt"))
+    return df.withColumn("_salt", salt).join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def _with_edges(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
@@ -21,7 +34,7 @@ def _with_edges(df: DataFrame, keys: list[str], value: str, buckets: int) -> Dat
     sketch = F.percentile_approx(value, cuts, 10000).alias("_edges")
     if not keys:
         return df.withColumn("_edges", df.agg(sketch).scalar())
-    return df.join(df.groupBy(*keys).agg(sketch), keys)
+    return attach(df, df.groupBy(*keys).agg(sketch), keys)
 
 
 def _offsets(sizes: DataFrame, keys: list[str], bucket: list[str], total: str) -> DataFrame:
@@ -108,7 +121,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, targets: DataFrame | d
         wanted = positions.select("*", *[F.lit(p).alias(f"_p_{n}") for n, p in targets.items()])
     else:
         names = [c for c in targets.columns if c not in keys]
-        wanted = positions.join(targets.select(*keys, *[F.col(n).alias(f"_p_{n}") for n in names]), keys)
+        wanted = attach(positions, targets.select(*keys, *[F.col(n).alias(f"_p_{n}") for n in names]), keys)
     out = []
     for n in names:
         at = (F.col("total") - 1) * F.col(f"_p_{n}")

@@ -55,7 +55,7 @@ def p_values(draws: DataFrame, estimates: DataFrame, include_full_fit: bool = Tr
     at = centre.join(estimates.select("param_idx", "estimate"), "param_idx")
     x = F.col("value") - F.col("_mean")
     share = lambda limit: F.avg((x <= limit).cast("double"))
-    return used.join(at, "param_idx").groupBy("param_idx").agg(
+    return ordering.attach(used, at, ["param_idx"]).groupBy("param_idx").agg(
         (1 - share(F.abs("estimate")) + share(-F.abs("estimate"))).alias("p_value")
     )
 

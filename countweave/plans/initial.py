@@ -70,8 +70,9 @@ def start_coefficients(model: InitialModel) -> tuple[DataFrame, DataFrame, DataF
     """Warped series, cells with predictions, and penalty coefficients at the initial parameters."""
     keyed = model.series.select("ran", "parent", "child", "treatment")
     warped = curve.warped_series(keyed, model.params, model.pairs, model.n_bins, model.settings)
-    predicted = curve.predicted_cells(model.series, model.params, model.pairs, model.n_bins, model.settings)
-    nll = curve.likelihood(predicted, model.dispersion, ["child"])
+    ready = curve.with_dispersion(model.series, model.dispersion)
+    predicted = curve.predicted_cells(ready, model.params, model.pairs, model.n_bins, model.settings)
+    nll = curve.likelihood(predicted, ["child"])
     distances = curve.boundary_distances(warped, model.n_bins, model.settings.buffer(model.n_bins))
     coefficients = curve.penalty_coefficients(
         distances, nll, model.settings.max_penalty_at_distance_factor

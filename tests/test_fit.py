@@ -66,8 +66,9 @@ def test_column_and_block_objectives_agree(start, fitted):
     params = fitted[1][1].drop("replicate")
     keys = start.series.select("ran", "parent", "child", "treatment")
     warped = curve.warped_series(keys, params, start.pairs, fx.N_BINS, fx.SETTINGS)
-    predicted = curve.predicted_cells(start.series, params, start.pairs, fx.N_BINS, fx.SETTINGS)
-    nll = curve.likelihood(predicted, start.dispersion, ["child"])
+    ready = curve.with_dispersion(start.series, start.dispersion)
+    predicted = curve.predicted_cells(ready, params, start.pairs, fx.N_BINS, fx.SETTINGS)
+    nll = curve.likelihood(predicted, ["child"])
     distances = curve.boundary_distances(warped, fx.N_BINS, 2.0)
     coefficients = curve.penalty_coefficients(distances, nll, fx.SETTINGS.max_penalty_at_distance_factor)
     row = curve.objective(nll, curve.penalties(distances, coefficients, ["child"]), ["child"]).where("child = 'A'").first()

@@ -143,9 +143,10 @@ class SimpleModel:
         self.held = materialize(self.params)
         self.warped = curve.warped_series(
             self.series.select(*design.SERIES), self.held, self.pairs, N_BINS, SETTINGS)
-        self.predicted = curve.predicted_cells(self.series, self.held, self.pairs, N_BINS, SETTINGS)
+        self.predicted = curve.predicted_cells(
+            curve.with_dispersion(self.series, self.dispersion), self.held, self.pairs, N_BINS, SETTINGS)
         self.distances = curve.boundary_distances(self.warped, N_BINS, SETTINGS.buffer(N_BINS))
-        self.nll = curve.likelihood(self.predicted, self.dispersion, ["child"])
+        self.nll = curve.likelihood(self.predicted, ["child"])
         return self
 
     def coefficients(self) -> DataFrame:
