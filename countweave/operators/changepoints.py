@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
 from . import windows
 from .design import SERIES
 
@@ -198,9 +199,12 @@ def clamp(at: Column, n_bins: int, ws: int) -> Column:
 
 
 def change_points(cell_table: DataFrame, n_bins: int, ws: int, cutoff: float) -> DataFrame:
-    """Change points of every complete series: keys, k, bin0."""
-    ratios = ratio_table(cell_table, n_bins, ws)
-    curves = mean_curves(ratios)
+    """Change points of every complete series: keys, k, bin0.
+
+    Ratios and mean curves are each read twice, so both are materialised.
+    """
+    ratios = materialize(ratio_table(cell_table, n_bins, ws))
+    curves = materialize(mean_curves(ratios))
     points = peaks(curves, GROUP, list(SCALES), ws, cutoff)
     return project(ratios, curves, points, n_bins, ws)
 

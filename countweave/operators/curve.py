@@ -120,20 +120,35 @@ def boundary_distances(warped: DataFrame, n_bins: int, buffer: float, extra: tup
     Slopes and rates must be positive; 0, the transition points and n_bins must
     keep ``buffer`` between neighbours. Undefined distances are 0.
     """
+    d = F.col("d.distance")
+    return warped.select(*extra, *SERIES, F.explode(_distances(n_bins, buffer)).alias("d")).select(
+        *extra, *SERIES, "d.what", "d.k", d.alias("distance")
+    )
+
+
+KINDS = ("slope", "gap", "rate")
+
+
+def _distances(n_bins: int, buffer: float) -> Column:
+    """All distances of a warped series: slopes, then gaps, then rates, as (what, k, distance)."""
     def entries(column, what):
-        return F.transform(column, lambda x, k: F.struct(F.lit(what).alias("what"), k.alias("k"), x.alias("distance")))
+        return F.transform(column, lambda x, k: F.struct(
+            F.lit(what).alias("what"), k.alias("k"),
+            F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x).alias("distance")))
 
     ends = F.concat(F.array(F.lit(0.0)), F.col("tpoint"), F.array(F.lit(float(n_bins))))
     gaps = F.transform(F.sequence(F.lit(1), F.size("tpoint") + 1),
                        lambda k: F.get(ends, k) - F.get(ends, k - 1) - F.lit(buffer))
     some = F.size("tpoint") > 0
-    empty = F.array().cast("array<double>")
-    all_ = F.concat(entries(F.col("tslope"), "slope"), entries(F.when(some, gaps).otherwise(empty), "gap"),
-                    entries(F.col("Rt"), "rate"))
-    d = F.col("d.distance")
-    return warped.select(*extra, *SERIES, F.explode(all_).alias("d")).select(
-        *extra, *SERIES, "d.what", "d.k", F.when(d.isNull() | F.isnan(d), F.lit(0.0)).otherwise(d).alias("distance")
-    )
+    parts = (F.col("tslope"), F.when(some, gaps).otherwise(F.array().cast("array<double>")), F.col("Rt"))
+    return F.concat(*[entries(c, what) for c, what in zip(parts, KINDS)])
+
+
+def _coefficient_arrays(coefficients: DataFrame) -> DataFrame:
+    """Per series its penalty coefficients in the order of :func:`_distances`."""
+    order = F.array_position(F.array(*[F.lit(w) for w in KINDS]), F.col("what"))
+    entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), "k", "coefficient")))
+    return coefficients.groupBy(*SERIES).agg(F.transform(entries, lambda e: e["coefficient"]).alias("_a"))
 
 
 def crowded(distances: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,13 +211,34 @@ def score_draws(series_table: DataFrame, draws: DataFrame, pairs: DataFrame, dis
                 draw_keys: tuple[str, ...] = ("draw_id",), by: tuple[str, ...] = ("child",)) -> DataFrame:
     """Likelihood, smallest distance and objective of many parameter sets at once.
 
-    Everything is summed to (draw, child) before anything else touches it.
+    Facts that do not depend on the draw are joined to the series first. Then
+    every (draw, series) is warped once, and one pass sums its penalty and its
+    cells to (draw, child) before anything else touches them.
     """
-    keyed = with_dispersion(series_table, dispersion).select(*SERIES, "dispersion", "n_tokens", "count")
+    keyed = (
+        with_dispersion(series_table, dispersion)
+        .join(_coefficient_arrays(coefficients), list(SERIES))
+        .select(*SERIES, "dispersion", "_a", "n_tokens", "count")
+    )
     warped = warped_series(keyed, draws, pairs, n_bins, settings, draw_keys)
-    opened = cells.open_bins(warped).withColumn("pred_log", model.step_curve(
-        F.col("bin").cast("double"), F.col("Rt"), F.col("tslope"), F.col("tpoint")))
+    d = F.transform(_distances(n_bins, settings.buffer(n_bins)), lambda e: e["distance"])
+    charged = warped.withColumn("_d", d).withColumn(
+        "_penalty", F.aggregate(F.zip_with("_d", "_a", model.penalty), F.lit(0.0),
+                                lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    ).withColumn("_least", F.array_min("_d")).drop("_d", "_a")
     keys = [*draw_keys, *by]
-    nll = likelihood(opened, keys)
-    distances = boundary_distances(warped, n_bins, settings.buffer(n_bins), draw_keys)
-    return objective(nll, penalties(distances, coefficients, keys), keys)
+    p, first = F.col("_p"), F.col("bin") == 1
+    used = F.col("observed") & F.col("count").isNotNull()
+    usable = (p >= 0) & ~F.isnan(p) & (p < float("inf"))
+    term = F.when(used & usable, model.cell_log_likelihood(F.col("count_log"), p, F.col("dispersion")))
+    rows = cells.open_bins(charged).withColumn("_p", model.step_curve(
+        F.col("bin").cast("double"), F.col("Rt"), F.col("tslope"), F.col("tpoint"))).select(
+        *keys, F.when(first, F.col("_penalty")).alias("_penalty"), F.when(first, F.col("_least")).alias("_least"),
+        used.alias("_used"), term.alias("_term"))
+    off = F.col("_used") & (F.col("_term").isNull() | F.isnan("_term"))
+    totals = rows.groupBy(*keys).agg(
+        F.sum(F.when(~off, -F.col("_term"))).alias("_nll"), F.bool_or(off).alias("_bad"),
+        F.sum("_penalty").alias("penalty"), F.min("_least").alias("min_distance"))
+    nll = F.when(F.col("_bad") | (F.col("_nll") > BAD_OBJECTIVE), F.lit(BAD_OBJECTIVE)).otherwise(F.col("_nll"))
+    return totals.select(*keys, nll.alias("neg_loglik"), "penalty", "min_distance").withColumn(
+        "objective", F.col("neg_loglik") + F.col("penalty"))

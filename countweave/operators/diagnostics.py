@@ -14,6 +14,7 @@ from ..functions import model
 from ..functions.hashing import hash32
 from ..functions.special import normal_cdf, normal_quantile, polynomial
 from ..schema import NO_RANDOM_EFFECT, REFERENCE
+from ..sources.storage import materialize
 from . import ordering
 from .design import SERIES
 
@@ -169,7 +170,7 @@ def child_summary(predicted: DataFrame, params: DataFrame, summary: DataFrame, d
 
     cells_of = chosen(predicted)
     params_of = chosen(params)
-    residuals = residual_groups(cells_of)
+    residuals = materialize(residual_groups(cells_of))
     return {
         "rate_count": rate_count(cells_of), "parameters": parameter_rows(params_of, summary, draws),
         "residual_histogram": histogram(residuals, ["grouping"], "residual_log", 50),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01
 from ..schema import COMPONENTS, NO_RANDOM_EFFECT, REFERENCE, WARPS
+from ..sources.storage import materialize
 from .design import effect_map, treatment_order
 
 PROFILE = ["parent", "child", "treatment"]
@@ -174,7 +175,8 @@ def parameter_table(effects: DataFrame, warps: DataFrame, treatment_table: DataF
         F.lit(len(COMPONENTS)).alias("_section"), F.col("ran").alias("_o1"),
         place(WARPS, F.col("component")).alias("_o2"),
     )
-    rows = fixed.unionByName(random).withColumn("_parent", F.coalesce("parent", F.lit("")))
+    # read for the counts and again for the rows
+    rows = materialize(fixed.unionByName(random).withColumn("_parent", F.coalesce("parent", F.lit(""))))
     block = [*extra, "_section", "_parent"]
     counts = rows.groupBy(*block, "child").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*block).orderBy("child").rowsBetween(Window.unboundedPreceding, -1)

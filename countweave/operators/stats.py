@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
 from . import ordering
 
 CONVERGED = 3
@@ -126,12 +127,14 @@ def summary(draws: DataFrame, params: DataFrame, estimates: DataFrame, alpha: fl
         adjusted = holm(p, alpha)
         level = F.coalesce("alpha_adj", F.lit(alpha))
     else:
+        p = materialize(p)
         adjusted = bonferroni(p, alpha)
         level = F.lit(alpha) / p.agg(F.count("p_value")).scalar()
     base = params.select("param_idx", "name").join(
         adjusted.select("param_idx", "p_value", "p_value_adj", "alpha_adj"), "param_idx", "left")
     if method == "bonferroni":
         base = base.withColumn("alpha_adj", level)
+    base = materialize(base)
     probabilities = base.select(
         "param_idx", (level / 2).alias("ci_low"), (1 - level / 2).alias("ci_high"))
     ci = ordering.quantiles(used, ["param_idx"], "value", probabilities)

@@ -372,8 +372,10 @@ def c7(spark, d):
 @check("c8_degrees", q.query([*RATIO, q.tops(), q.peaks("pk", ["r1", "r2", "r4"])], """SELECT parent, child, CAST(count(point) AS INT) AS degree
   FROM (SELECT DISTINCT parent, child FROM tokens) LEFT JOIN pk USING (parent, child) GROUP BY ALL"""))
 def c8(spark, d):
-    c = fx.cells(spark, d)
-    return changepoints.degrees(_peaks(spark, d, ["r1", "r2", "r4"]), c)
+    c = fx.held_cells(spark, d)
+    curves = changepoints.mean_curves(changepoints.ratio_table(c, fx.N_BINS, fx.WS))
+    found = changepoints.peaks(curves, ["parent", "child"], ["r1", "r2", "r4"], fx.WS, 2.0)
+    return changepoints.degrees(found.select("parent", "child", F.posexplode("points").alias("k", "point")), c)
 
 
 @check("c8_treatment_points", q.query(POINTS, f"SELECT parent, child, treatment, k, {r('point')} AS point, bin0 FROM tpoints"))
@@ -386,7 +388,7 @@ def c8b(spark, d):
          SELECT m.parent, m.child, min(p.bin) FROM mg m JOIN pts p ON p.parent = m.parent AND p.child = m.child AND p.bin - m.point > 3 GROUP BY m.parent, m.child)"""],
   "SELECT parent, child, point FROM mg WHERE point IS NOT NULL"))
 def c9(spark, d):
-    ratio = fx.ratios(spark, d)
+    ratio = materialize(fx.ratios(spark, d))
     a = ratio.where((F.col("r1") > 1.5) & (F.col("bin") % 2 == 0))
     b = ratio.where(F.col("r4") > 20)
     merged = changepoints.buffered_merge(a, b, ["parent", "child"], "bin", 3)
@@ -605,6 +607,7 @@ PENALTY = f"""pen AS (SELECT child, sum(1 / ((coefficient * greatest(distance, 1
   {r('neg_loglik + penalty', 5)} AS objective FROM nll JOIN pen USING (child)"""))
 def m17(spark, d):
     m = fx.SimpleModel(spark, d).ready()
+    m.nll = materialize(m.nll)
     out = curve.objective(m.nll, curve.penalties(m.distances, m.coefficients(), ["child"]), ["child"])
     return rounded(rounded(out, ["neg_loglik", "penalty", "objective"], 5), ["min_distance"]).drop("n_cells")
 
@@ -832,7 +835,8 @@ RESID_R = "rr AS (SELECT grouping, round(residual_log, 7) AS residual_log FROM r
 
 @check("p1_residual_histogram", q.query([*RESID, RESID_R, hist_sql("grouping", "residual_log", "rr", 50)], f"SELECT grouping, bucket, {r('mid')} AS mid, n FROM hg"))
 def p1(spark, d):
-    res = diagnostics.residual_groups(fx.mean_predicted(spark, d)).withColumn("residual_log", F.round("residual_log", 7))
+    res = materialize(diagnostics.residual_groups(fx.mean_predicted(spark, d)).withColumn(
+        "residual_log", F.round("residual_log", 7)))
     return rounded(diagnostics.histogram(res, ["grouping"], "residual_log", 50), ["mid"])
 
 

@@ -93,7 +93,12 @@ def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells_.cells(tokens(spark, sf_dir), N_BINS)
+    return cells_.open_bins(cells_.series(tokens(spark, sf_dir), N_BINS))
+
+
+def held_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells for queries that read them more than once."""
+    return cells_.open_bins(materialize(cells_.series(tokens(spark, sf_dir), N_BINS)))
 
 
 def levels_and_treatments(spark: SparkSession, sf_dir: str):
@@ -118,6 +123,7 @@ class SimpleModel:
     def __init__(self, spark: SparkSession, sf_dir: str):
         sum_table = sums(spark, sf_dir)
         self.levels, fixed = cells_.sums_levels(sum_table)
+        self.levels = materialize(self.levels)
         self.treatments = design.treatments(self.levels, fixed)
         self.pairs = design.effect_pairs(self.treatments)
         self.series = materialize(cells_.series(sum_table, N_BINS))
@@ -141,8 +147,8 @@ class SimpleModel:
     def ready(self) -> "SimpleModel":
         """Materialise the parameters before they feed several branches."""
         self.held = materialize(self.params)
-        self.warped = curve.warped_series(
-            self.series.select(*design.SERIES), self.held, self.pairs, N_BINS, SETTINGS)
+        self.warped = materialize(curve.warped_series(
+            self.series.select(*design.SERIES), self.held, self.pairs, N_BINS, SETTINGS))
         self.predicted = curve.predicted_cells(
             curve.with_dispersion(self.series, self.dispersion), self.held, self.pairs, N_BINS, SETTINGS)
         self.distances = curve.boundary_distances(self.warped, N_BINS, SETTINGS.buffer(N_BINS))
@@ -154,12 +160,12 @@ class SimpleModel:
 
     def scaled_draws(self, n: int = 3) -> DataFrame:
         draw = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        return self.held.withColumn("draw_id", draw).withColumn("value", F.col("value") * (1 + 0.01 * F.col("draw_id")))
+        return self.held.select("*", draw.alias("draw_id")).withColumn("value", F.col("value") * (1 + 0.01 * F.col("draw_id")))
 
 
 def mean_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells predicted by their group's mean log count."""
-    c = cells(spark, sf_dir)
+    c = held_cells(spark, sf_dir)
     mean = cells_.log_means(c).withColumnRenamed("mean_log", "pred_log")
     return c.join(mean, ["parent", "child", "treatment", "bin"]).withColumn("pred", F.expm1("pred_log"))
 
@@ -188,7 +194,7 @@ def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def boot_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d, p = draws(spark, sf_dir)
-    return materialize(d.where(F.col("source") == "bootstrap")), p
+    return materialize(d.where(F.col("source") == "bootstrap")), materialize(p)
 
 
 def draw_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
