@@ -28,7 +28,7 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], copies: int = SALTS
     return df.withColumn("_salt", salt).join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
-def _with_edges(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+def _with_edges(df: DataFrame, keys: list[str], value: str | Column, buckets: int) -> DataFrame:
     """Add per key an array of cut values from a mergeable, bounded quantile sketch."""
     cuts = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(value, cuts, 10000).alias("_edges")
@@ -47,35 +47,38 @@ def _offsets(sizes: DataFrame, keys: list[str], bucket: list[str], total: str) -
     )
 
 
-def _below(edges: Column, x: Column) -> Column:
-    """Number of cut values smaller than x, by bisection over the sorted array."""
-    def halve(span, _):
-        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        low = F.get(edges, mid) < x
-        return F.when(span["lo"] >= span["hi"], span).otherwise(
-            F.struct(F.when(low, mid + 1).otherwise(span["lo"]).alias("lo"),
-                     F.when(low, span["hi"]).otherwise(mid).alias("hi"))
-        )
+def _placed(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Replace ``_edges`` by ``_range``: how many cut values are smaller than the value.
 
-    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(edges), F.lit(0)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, halve, lambda s: s["lo"])
+    A binary search written out as a few columns, so it stays in generated
+    code. Also adds ``_at_edge``: whether the value is itself a cut value.
+    """
+    out = df.withColumn("_range", F.lit(0))
+    step = buckets // 2
+    while step >= 1:
+        probe = F.get("_edges", F.col("_range") + (step - 1))
+        out = out.withColumn("_range", F.col("_range") + F.when(probe < F.col(value), step).otherwise(0))
+        step //= 2
+    return out.withColumn("_at_edge", F.coalesce(F.get("_edges", F.col("_range")) == F.col(value), F.lit(False))).drop("_edges")
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, tie: Column, tie_chunk: float, name: str = "rank",
            buckets: int = BUCKETS) -> DataFrame:
     """1-based ascending rank of ``value`` within ``keys``; equal values go by ``tie``.
 
+    ``buckets``, a power of two, is the number of value ranges per key.
+
     ``tie`` is a number that tells equal values apart; values common enough to
     be a cut value are split again into ranges of ``tie_chunk`` ties. Adds
     ``name`` and ``<name>_total``.
     """
     placed = (
-        _with_edges(df.where(F.col(value).isNotNull()), keys, value, buckets)
+        _placed(_with_edges(df.where(F.col(value).isNotNull()), keys, value, buckets), value, buckets)
         .withColumn("_tie", tie)
-        .withColumn("_range", _below(F.col("_edges"), F.col(value)))
-        .withColumn("_part", F.when(F.get("_edges", F.col("_range")) == F.col(value),
-                                    F.floor(F.col("_tie") / tie_chunk)).otherwise(F.lit(-1)))
-        .drop("_edges")
+        # never NULL: an inferred not-null test would pull the whole search into the join condition
+        .withColumn("_part", F.when(F.col("_at_edge"), F.coalesce(F.floor(F.col("_tie") / tie_chunk), F.lit(0)))
+                    .otherwise(F.lit(-1)))
+        .drop("_at_edge")
     )
     where = ["_range", "_part"]
     sizes = placed.groupBy(*keys, *where).agg(F.count(F.lit(1)).alias("_size"))
@@ -96,8 +99,9 @@ def hash_tie(columns: list[str]) -> tuple[Column, float]:
 def distinct_positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Distinct values per key with the 0-based sorted positions [first, last] they fill."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = _with_edges(counted, keys, value, buckets).withColumn(
-        "_range", _below(F.col("_edges"), F.col(value))).drop("_edges")
+    # the cut values read the counts too, so that every branch shares one counting shuffle
+    counted_value = F.when(F.col("_n") > 0, F.col(value))
+    placed = _placed(_with_edges(counted, keys, counted_value, buckets), value, buckets).drop("_at_edge")
     sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -383,13 +383,13 @@ def c8b(spark, d):
     return rounded(changepoints.treatment_points(fx.simple_points(fx.ratios(spark, d))), ["point"])
 
 
-@check("c9_buffered_merge", q.query([*RATIO, """pts AS (SELECT DISTINCT parent, child, bin FROM ratio WHERE (r1 > 1.5 AND bin % 2 = 0) OR r4 > 20),
+@check("c9_buffered_merge", q.query([*RATIO, """pts AS (SELECT DISTINCT parent, child, bin FROM ratio WHERE r1 > 4.5 OR r4 > 20),
   mg AS (SELECT parent, child, min(bin) AS point FROM pts GROUP BY ALL UNION ALL
          SELECT m.parent, m.child, min(p.bin) FROM mg m JOIN pts p ON p.parent = m.parent AND p.child = m.child AND p.bin - m.point > 3 GROUP BY m.parent, m.child)"""],
   "SELECT parent, child, point FROM mg WHERE point IS NOT NULL"))
 def c9(spark, d):
     ratio = materialize(fx.ratios(spark, d))
-    a = ratio.where((F.col("r1") > 1.5) & (F.col("bin") % 2 == 0))
+    a = ratio.where(F.col("r1") > 4.5)
     b = ratio.where(F.col("r4") > 20)
     merged = changepoints.buffered_merge(a, b, ["parent", "child"], "bin", 3)
     return merged.select("parent", "child", F.explode("points").alias("point"))
@@ -414,7 +414,8 @@ def e1(spark, d):
     return m.estimates.select("parent", "child", "treatment", F.posexplode("rates").alias("k", "rate")).withColumn("rate", rd("rate"))
 
 
-@check("e2_run_lengths")
+@check("e2_run_lengths", q.query([*MODEL, q.RUNS], """SELECT parent, child, treatment, CAST(k - 1 AS INT) AS k, CAST(greatest(arg_max(bb + bf, turn), 1) AS INT) AS run
+  FROM steps GROUP BY parent, child, treatment, k"""))
 def e2(spark, d):
     m = fx.SimpleModel(spark, d)
     return m.estimates.select("parent", "child", "treatment", F.posexplode("runs").alias("k", "run"))
@@ -942,7 +943,18 @@ def p9(spark, d):
     return rounded(diagnostics.objective_traces(base.unionByName(full)), ["objective", "neg_loglik"])
 
 
-@check("p10_normality")
+_W = "[" + ", ".join(repr(w) for w in diagnostics._shapiro_weights(35)) + "]"
+_Z = (f"((ln(w) - {q.poly('ln(35::DOUBLE)', diagnostics.SHAPIRO_MEAN)}) / exp({q.poly('ln(35::DOUBLE)', diagnostics.SHAPIRO_LOG_SD)}))")
+
+
+@check("p10_normality", q.query([q.DRAWS, f"""
+placed AS (SELECT source, param_idx, value, row_number() OVER (PARTITION BY source, param_idx ORDER BY draw_id) - 1 AS at_, count(*) OVER (PARTITION BY source, param_idx) AS n FROM draws),
+slots AS (SELECT source, param_idx, slot // 35 AS sample, {q.hash32("'1234'", 'source', 'param_idx', 'slot')} % n AS at_
+  FROM (SELECT DISTINCT source, param_idx, n FROM placed), range(0, 3500) s(slot)),
+samples AS (SELECT source, param_idx, sample, list(value ORDER BY value) AS xs FROM slots JOIN placed USING (source, param_idx, at_) GROUP BY ALL),
+ws AS (SELECT source, param_idx, CASE WHEN xs[1] <> xs[35] THEN greatest(1 - pow(list_inner_product(xs, {_W}), 2) / (35 * list_var_pop(xs)), 1e-19) END AS w FROM samples),
+ps AS (SELECT source, param_idx, {q.normal_cdf('(-' + _Z + ')')} AS p, w FROM ws)"""],
+  f"SELECT source, param_idx, CASE WHEN count(w) = 100 THEN {r('avg(CASE WHEN w IS NOT NULL THEN p END)')} END AS normality FROM ps GROUP BY ALL"))
 def p10(spark, d):
     return rounded(diagnostics.normality(materialize(fx.draws(spark, d)[0])), ["normality"])
 

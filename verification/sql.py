@@ -57,6 +57,19 @@ def normal_quantile(p: str) -> str:
     return f"(CASE WHEN abs({q}) <= 0.425 THEN {centre} WHEN {q} < 0 THEN -{tail} ELSE {tail} END)"
 
 
+def normal_cdf(x: str) -> str:
+    from countweave.functions import special as s
+
+    a = f"abs({x})"
+    near = f"exp(-({a}) * ({a}) / 2) * {poly(a, s.TAIL_P[::-1])} / {poly(a, s.TAIL_Q[::-1])}"
+    frac = f"({a} + 0.65)"
+    for k in (4, 3, 2, 1):
+        frac = f"({a} + {float(k)} / {frac})"
+    far = f"exp(-({a}) * ({a}) / 2) / {frac} / sqrt(2 * pi())"
+    tail = f"(CASE WHEN {a} < 7.07106781186547 THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
 CELL = "ran, parent, child, disc, tax, bin"
 
 TREATMENTS = """
@@ -175,6 +188,21 @@ vals AS (SELECT parent, child, treatment, 'Rt' AS component, k, value FROM rates
 effects AS (SELECT y.parent, y.child, y.component, y.k, p.treatment, sum(p.sign * y.value) AS value
   FROM vals y JOIN pairs p ON y.treatment = p.effect GROUP BY ALL)"""
 
+RUNS = """
+prof AS (SELECT parent, child, treatment, list(mean_log ORDER BY bin) AS xs FROM log_means GROUP BY ALL),
+tr AS (SELECT c.parent, c.child, c.treatment, c.k, xs, c.start AS st, p.stop - p.start AS szp, c.stop - c.start AS szc, (rc.value - rp.value) * 0.8 AS need,
+    CASE WHEN rc.value < rp.value THEN -1 ELSE 1 END AS sgn
+  FROM blocks c JOIN blocks p ON p.parent = c.parent AND p.child = c.child AND p.treatment = c.treatment AND p.k = c.k - 1
+  JOIN rates rc ON rc.parent = c.parent AND rc.child = c.child AND rc.treatment = c.treatment AND rc.k = c.k
+  JOIN rates rp ON rp.parent = c.parent AND rp.child = c.child AND rp.treatment = c.treatment AND rp.k = c.k - 1
+  JOIN prof f ON f.parent = c.parent AND f.child = c.child AND f.treatment = c.treatment),
+steps AS (SELECT parent, child, treatment, k, 0 AS turn, 0 AS bb, 0 AS bf, 0.0::DOUBLE AS found FROM tr
+  UNION ALL SELECT s.parent, s.child, s.treatment, s.k, turn + 1, CASE WHEN turn % 2 = 1 AND bb < szp THEN bb + 1 ELSE bb END,
+    CASE WHEN turn % 2 = 0 AND bf < szc THEN bf + 1 ELSE bf END,
+    CASE WHEN bf = 0 THEN xs[st + 1] ELSE list_avg(xs[st + 1:st + bf]) END - CASE WHEN bb = 0 THEN xs[st + 1] ELSE list_avg(xs[greatest(st - bb, 0) + 1:st]) END
+  FROM steps s JOIN tr ON tr.parent = s.parent AND tr.child = s.child AND tr.treatment = s.treatment AND tr.k = s.k
+  WHERE found * sgn < need * sgn AND (bb < szp OR bf < szc))"""
+
 WARPS = f"""
 warps AS (SELECT ran, child, component, -0.1 + 0.2 * ({hash32('42', 'ran', 'child', 'component')} / 4294967296.0) AS value
   FROM (SELECT DISTINCT ran FROM tokens), (SELECT DISTINCT child FROM tokens), (SELECT unnest(['point', 'rate', 'slope']) AS component))"""
