@@ -99,7 +99,11 @@ def series(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool
 
 def on_grid(sums: DataFrame, frame: DataFrame, effects: list[str], n_bins: int, log_fill: bool = True,
             extra: tuple[str, ...] = ()) -> DataFrame:
-    """Put cell sums on every series of ``frame`` and fill its reference series."""
+    """Put cell sums on every series of ``frame`` and fill its reference series.
+
+    Bins outside 1..n_bins have no place on the grid and are left out.
+    """
+    sums = sums.where(F.col("bin").between(1, n_bins))
     keys = [*extra, "ran", "parent", "child", *effects]
     reference_keys = [k for k in keys if k != "ran"]
     entries = F.collect_list(F.struct("bin", "total", "n_tokens"))

@@ -13,6 +13,7 @@ from .design import SERIES
 
 GROUP = ["parent", "child"]
 SCALES = ("r1", "r2", "r4")
+ALIGN_BYTES = 16_000_000
 
 
 def complete_series(cell_table: DataFrame, n_bins: int) -> DataFrame:
@@ -105,31 +106,36 @@ def _align_batch(curves: np.ndarray, targets: np.ndarray) -> np.ndarray:
     curve positions as an array [2, curves, n].
     """
     s, n = curves.shape
-    d = np.abs(curves[:, :, None] - targets[:, None, :])
-    inf = np.inf
-    cost = np.full((s, n, n), inf)
     step = np.full((s, n, n), -1, dtype=np.int8)
-    cost[:, 0, 0] = d[:, 0, 0]
-
-    def back(a, i, di, dj):
-        """a[i - di, j - dj] for all j, infinite outside."""
-        out = np.full((s, n), inf)
-        if i - di >= 0:
-            out[:, dj:] = a[:, i - di, : n - dj] if dj else a[:, i - di]
+    nowhere = np.full((s, n), np.inf)
+
+    def shifted(row, by):
+        """row[j - by] for all j, infinite before the start."""
+        if by == 0:
+            return row
+        out = np.full((s, n), np.inf)
+        out[:, by:] = row[:, :n - by]
         return out
 
+    # only the last rows of cost and distance are kept: index 0 is one row back, 1 two, 2 three
+    start = nowhere.copy()
+    start[:, 0] = np.abs(curves[:, 0] - targets[:, 0])
+    cost = [start, nowhere, nowhere]
+    near = [np.abs(curves[:, :1] - targets), nowhere]
     for i in range(1, n):
-        here = d[:, i]
+        here = np.abs(curves[:, i:i + 1] - targets)
+        left, left2 = shifted(here, 1), shifted(here, 2)
         options = np.stack([
-            back(cost, i, 1, 3) + 2 * back(d, i, 0, 2) + back(d, i, 0, 1) + here,
-            back(cost, i, 1, 2) + 2 * back(d, i, 0, 1) + here,
-            back(cost, i, 1, 1) + 2 * here,
-            back(cost, i, 2, 1) + 2 * back(d, i, 1, 0) + here,
-            back(cost, i, 3, 1) + 2 * back(d, i, 2, 0) + back(d, i, 1, 0) + here,
+            shifted(cost[0], 3) + 2 * left2 + left + here,
+            shifted(cost[0], 2) + 2 * left + here,
+            shifted(cost[0], 1) + 2 * here,
+            shifted(cost[1], 1) + 2 * near[0] + here,
+            shifted(cost[2], 1) + 2 * near[1] + near[0] + here,
         ])
         best = options.argmin(axis=0)
-        cost[:, i] = np.take_along_axis(options, best[None], axis=0)[0]
-        step[:, i] = np.where(np.isfinite(cost[:, i]), best, -1)
+        row = np.take_along_axis(options, best[None], axis=0)[0]
+        step[:, i] = np.where(np.isfinite(row), best, -1)
+        cost, near = [row, *cost[:2]], [here, near[0]]
 
     # cells each step passes through, relative to its end, newest first; then the jump
     trails = [
@@ -158,7 +164,7 @@ def project_points(curves: list, targets: list, points: list) -> list:
     x, y = np.array(curves, dtype=float), np.array(targets, dtype=float)
     x[np.isnan(x)] = 1.0
     out = []
-    limit = max(1, 4_000_000 // (x.shape[1] ** 2))
+    limit = max(1, ALIGN_BYTES // (x.shape[1] ** 2))
     for a in range(0, len(x), limit):
         total, number = _align_batch(x[a:a + limit], y[a:a + limit])
         with np.errstate(invalid="ignore", divide="ignore"):

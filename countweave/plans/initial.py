@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import cells, changepoints, curve, design, effects
-from ..schema import ModelSettings
+from ..schema import NO_RANDOM_EFFECT, ModelSettings
 from ..sources.storage import materialize
 
 
@@ -40,6 +41,9 @@ def build(tokens: DataFrame, settings: ModelSettings, n_bins: int | None = None,
     n_bins = n_bins or cells.bin_count(sums)
     level_table, fixed = cells.sums_levels(sums)
     level_table = materialize(level_table)
+    design.check_fixed_effects(level_table, fixed)
+    if not level_table.where((F.col("factor") == "ran") & (F.col("level") == NO_RANDOM_EFFECT)).isEmpty():
+        raise ValueError(f"'{NO_RANDOM_EFFECT}' is reserved and cannot be a level of ran")
     treatment_table = design.treatments(level_table, fixed)
     pairs = design.effect_pairs(treatment_table)
     series = materialize(cells.series(sums, n_bins, strict=strict))

@@ -133,3 +133,22 @@ def test_streaming_sums_match_the_table(spark, tmp_path):
         query.stop()
     assert spark.table("sums").exceptAll(cells.cell_sums(t)).count() == 0
     assert spark.table("sums").count() == cells.cell_sums(t).count()
+
+
+def test_bins_off_the_grid_are_left_out(spark):
+    rows = [(1.0 + b, b, "p", "c", "m", side) for b in (0, 1, 2, 3) for side in ("L", "R")] + [(9.0, None, "p", "c", "m", "L")]
+    t = spark.createDataFrame(rows, "count double, bin int, parent string, child string, ran string, side string")
+    got = {(r["bin"], r["count"]) for r in cells.cells(t, 3).where("ran = 'm'").collect()}
+    assert got == {(1, 2.0), (2, 3.0), (3, 4.0)}
+    assert {r["count"] for r in cells.cells(t, 2).where("ran = 'none'").collect()} == {2.0, 3.0}
+
+
+def test_build_rejects_thin_effects_and_the_reserved_level(spark):
+    from countweave.plans import initial
+
+    rows = [(1.0, b, "p", "c", ran, side) for b in (1, 2) for ran in ("m", "none") for side in ("L", "R")]
+    t = spark.createDataFrame(rows, "count double, bin int, parent string, child string, ran string, side string")
+    with pytest.raises(ValueError, match="reserved"):
+        initial.build(t, ModelSettings(), 2)
+    with pytest.raises(ValueError, match="fewer than 2"):
+        initial.build(t.where("side = 'L' and ran = 'm'"), ModelSettings(), 2)
