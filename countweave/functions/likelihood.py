@@ -54,8 +54,9 @@ def gamma_poisson_log(y, r, dispersion):
 class ParentBlock:
     """Series of one parent: which parameters feed which component, and the observed counts."""
 
-    def __init__(self, design, treat, warp_at, log_counts, dispersion, bounds, n_bins, buffer):
-        self.design = design  # per component: 0/1 matrix [treatment, k, parameter]
+    def __init__(self, design, fixed_at, treat, warp_at, log_counts, dispersion, bounds, n_bins, buffer):
+        self.design = design  # per component: 0/1 matrix [treatment, k, own fixed parameter]
+        self.fixed_at = fixed_at  # where those parameters sit in the whole vector
         self.treat = treat  # treatment of each series
         self.warp_at = warp_at  # per component: parameter index of the warp, -1 for none
         self.y = log_counts
@@ -69,7 +70,7 @@ class ParentBlock:
         for name, matrix in self.design.items():
             at = self.warp_at[name]
             w = np.where(at >= 0, theta[np.maximum(at, 0)], 0.0)[:, None]
-            out[name] = warp((matrix @ theta)[self.treat], self.bounds[name], w)
+            out[name] = warp((matrix @ theta[self.fixed_at])[self.treat], self.bounds[name], w)
         return out
 
     def pull_back(self, parts, grads, n):
@@ -79,7 +80,7 @@ class ParentBlock:
             _, by_v, by_w = parts[name]
             by_treat = np.zeros(matrix.shape[:2])
             np.add.at(by_treat, self.treat, grads[name] * by_v)
-            g += np.tensordot(by_treat, matrix, axes=2)
+            g[self.fixed_at] += np.tensordot(by_treat, matrix, axes=2)
             at = self.warp_at[name]
             if by_w.shape[1]:
                 np.add.at(g, at[at >= 0], (grads[name] * by_w).sum(axis=1)[at >= 0])

@@ -65,16 +65,18 @@ def build_block(series: pd.DataFrame, params: pd.DataFrame, n_bins: int, setting
         of_parent = fixed[fixed["parent"] == parent]
         degree = int((of_parent["component"] == "tpoint").any() and
                      of_parent.loc[of_parent["component"] == "tpoint", "k"].max() + 1)
-        design = {c: np.zeros((len(names), degree + (c == "Rt"), n)) for c in COMPONENTS}
-        for row in of_parent.itertuples():
+        # treatments x transitions x this parent's own parameters
+        fixed_at = of_parent.index.to_numpy()
+        design = {c: np.zeros((len(names), degree + (c == "Rt"), len(fixed_at))) for c in COMPONENTS}
+        for i, row in enumerate(of_parent.itertuples()):
             for t in row.applies_to:
                 if t in place:
-                    design[row.component][place[t], int(row.k), row.Index] = 1.0
+                    design[row.component][place[t], int(row.k), i] = 1.0
         rans = group["ran"].to_numpy()
         warp_at = {c: np.array([warps.get((WARP_OF[c], r), -1) for r in rans]) for c in COMPONENTS}
         counts = np.array([np.array(v, dtype=float) for v in group["log_counts"]])
         blocks.append(ParentBlock(
-            design, group["treatment"].map(place).to_numpy(), warp_at, counts,
+            design, fixed_at, group["treatment"].map(place).to_numpy(), warp_at, counts,
             group["dispersion"].to_numpy(dtype=float), bounds, n_bins, settings.buffer(n_bins)))
     return Block(blocks, n), params["value"].to_numpy(dtype=float)
 
@@ -161,54 +163,62 @@ class SpreadObjective:
         self.n_bins, self.settings, self.scale = n_bins, settings, scale
         per = series_per_block or max(1, CELLS_PER_TASK // (8 * n_bins))
         blocks = F.lit(max(1, -(-series.count() // per)))
-        key = hash32("parent", "treatment", "ran") % blocks
-        self.series = materialize(series.withColumn("_block", key).repartition("_block"))
+        # a ran level stays in one block, so blocks share no warp gradients
+        self.series = materialize(series.withColumn("_block", hash32("ran") % blocks).repartition("_block"))
 
-    def _over_blocks(self, theta, what):
+    def _added_up(self, theta, measure):
+        """Sum a block measure, (value, likelihood, gradient), over all blocks in one Spark job.
+
+        Blocks send non-zero gradient entries only; they are summed per
+        parameter before they reach the driver.
+        """
         params, n_bins, settings, scale, start = self.params, self.n_bins, self.settings, self.scale, self.start
         theta = np.array(theta)
 
         def run(s: pd.DataFrame) -> pd.DataFrame:
             block, _ = build_block(s, params, n_bins, settings)
-            if what == "value":
-                if scale is not None:
-                    block.start_penalty(start, scale)
-                f, nll, g = block.value(theta)
-            elif what == "closest":
-                (f, g), nll = block.closest(theta), 0.0
-            elif what == "shortfall":
-                (f, g), nll = block.shortfall(theta, 2 * FEASIBLE_AT), 0.0
-            else:
-                f, nll, g = float(not block.nonnegative(theta)), 0.0, np.zeros(1)
-            return pd.DataFrame({"f": [f], "nll": [nll], "g": [g]})
-
-        return self.series.groupBy("_block").applyInPandas(run, "f double, nll double, g array<double>")
-
-    def shortfall(self, theta, _target):
-        f, _, g = self._added_up(theta, "shortfall")
-        return f, g
+            if scale is not None:
+                block.start_penalty(start, scale)
+            f, nll, g = measure(block, theta)
+            at = np.flatnonzero(g)
+            return pd.DataFrame({"i": np.r_[-2, -1, at], "d": np.r_[nll, f, g[at]]})
+
+        parts = self.series.groupBy("_block").applyInPandas(run, "i bigint, d double")
+        rows = parts.groupBy("i").agg(F.sum("d").alias("d")).toPandas().set_index("i")["d"]
+        g = np.zeros(len(params))
+        at = rows.index[rows.index >= 0]
+        g[at] = rows[at]
+        return float(rows[-1]), float(rows[-2]), g
 
     def value(self, theta):
-        f, nll, g = self._added_up(theta, "value")
+        f, nll, g = self._added_up(theta, lambda block, t: block.value(t))
         if f >= curve.BAD_OBJECTIVE:
             return curve.BAD_OBJECTIVE, curve.BAD_OBJECTIVE, np.zeros_like(g)
         return f, nll, g
 
-    def _added_up(self, theta, what):
-        parts = self._over_blocks(theta, what)
-        # the gradient is summed per parameter before it reaches the driver
-        rows = parts.select("f", "nll", F.posexplode("g").alias("i", "d")).groupBy("i").agg(
-            F.sum("d").alias("d"), F.sum("f").alias("f"), F.sum("nll").alias("nll")).toPandas()
-        g = np.zeros(len(self.params))
-        g[rows["i"]] = rows["d"]
-        return float(rows["f"].iloc[0]), float(rows["nll"].iloc[0]), g
+    def shortfall(self, theta, target):
+        def measure(block, t):
+            f, g = block.shortfall(t, target)
+            return f, 0.0, g
+
+        f, _, g = self._added_up(theta, measure)
+        return f, g
+
+    def _over_blocks(self, theta, measure):
+        """Smallest value of a block measure."""
+        params, n_bins, settings = self.params, self.n_bins, self.settings
+        theta = np.array(theta)
+
+        def run(s: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"f": [float(measure(build_block(s, params, n_bins, settings)[0], theta))]})
+
+        return self.series.groupBy("_block").applyInPandas(run, "f double").agg(F.min("f")).first()[0]
 
     def closest(self, theta):
-        row = self._over_blocks(theta, "closest").orderBy("f").limit(1).first()
-        return row["f"], np.array(row["g"])
+        return self._over_blocks(theta, lambda block, t: block.closest(t)[0]), None
 
     def nonnegative(self, theta):
-        return self._over_blocks(theta, "sign").agg(F.sum("f")).first()[0] == 0
+        return self._over_blocks(theta, lambda block, t: block.nonnegative(t)) == 1.0
 
     def table(self, theta) -> DataFrame:
         out = self.params[["replicate", "child", "param_idx"]].assign(value=np.array(theta, dtype=float))

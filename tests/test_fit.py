@@ -90,7 +90,7 @@ def test_spread_fit_equals_the_local_one(fitted, monkeypatch):
     ready, begin, scales = fitted[1]
     part = (ready.where("child = 'N'"), begin.where("child = 'N'"))
     block, theta = local_block(fitted, "N")
-    far = fit.SpreadObjective(part, fx.N_BINS, fx.SETTINGS, scales.first()["scale"], series_per_block=5)
+    far = fit.SpreadObjective(part, fx.N_BINS, fx.SETTINGS, scales.first()["scale"], series_per_block=9)
     assert far.series.select("_block").distinct().count() > 1
     for t in (theta, theta * 1.01):
         want, got = block.value(t), far.value(t)
@@ -108,6 +108,17 @@ def test_spread_fit_equals_the_local_one(fitted, monkeypatch):
     assert set(spread.status) == set(local.status) == {5}
 
 
+def test_spread_chain_equals_the_local_one(fitted):
+    ready, begin, scales = fitted[1]
+    part = (ready.where("child = 'R'"), begin.where("child = 'R'"), scales, fx.N_BINS, fx.SETTINGS, 2, 1, 0.001, 1.0)
+    keys = ["chain", "draw_id", "param_idx"]
+    local = fit.chains(*part).toPandas().sort_values(keys)
+    spread = fit.chains(*part, cells_per_task=100).toPandas().sort_values(keys)
+    assert len(local) == 2 * part[1].count()
+    np.testing.assert_allclose(spread.value, local.value, rtol=1e-9)
+    np.testing.assert_allclose(spread.objective, local.objective, rtol=1e-8)
+
+
 def test_infeasible_start_is_moved_inside(start):
     moved = start.params.withColumn("value", F.when(
         (F.col("kind") == "baseline") & (F.col("component") == "tpoint") & (F.col("k") == 0), 45.0).otherwise(F.col("value")))
