@@ -7,7 +7,7 @@ tail shares are plain aggregates and quantiles go through ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
@@ -88,8 +88,6 @@ def holm(p_table: DataFrame, alpha: float, monotone: bool = False) -> DataFrame:
 
 def _running_max(df: DataFrame, position: str, value: str, chunk: int = 100_000) -> DataFrame:
     """Running maximum along positions, chunk by chunk."""
-    from pyspark.sql import Window
-
     cut = df.withColumn("_c", F.floor(F.col(position) / chunk))
     ends = cut.groupBy("_c").agg(F.max(value).alias("_m"))
     before = Window.partitionBy(F.lit(0)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cells, curve, diagnostics, fit, resample, stats
+from ..operators import cells, curve, diagnostics, effects, fit, resample, stats
 from ..schema import ChainSettings, ModelSettings, Variables, select_model_columns
 from ..sources.storage import materialize
 from . import initial
@@ -58,10 +58,10 @@ def full_fit(start: initial.InitialModel) -> tuple[DataFrame, tuple]:
 
 def bootstrap_fits(tokens: DataFrame, start: initial.InitialModel, replicates: int) -> DataFrame:
     """Resample, re-estimate everything but degrees and change points, and fit each replicate."""
-    _, effects_ = cells.sums_levels(start.sums)
+    _, fixed = cells.sums_levels(start.sums)
     resampled = materialize(resample.bootstrap_sums(tokens, replicates, start.settings.rng_seed, start.sums))
     series = materialize(
-        resample.bootstrap_series(resampled, start.levels, effects_, start.n_bins, replicates))
+        resample.bootstrap_series(resampled, start.levels, fixed, start.n_bins, replicates))
     params, dispersion = reestimate(start, series)
     parts = _fit_start(start, series, dispersion, params, True)
     return materialize(fit.fit(*parts, start.n_bins, start.settings))
@@ -69,8 +69,6 @@ def bootstrap_fits(tokens: DataFrame, start: initial.InitialModel, replicates: i
 
 def reestimate(start: initial.InitialModel, series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parameters and dispersion of every replicate, change points held fixed."""
-    from ..operators import effects
-
     rep = ("replicate",)
     opened = cells.open_bins(series)
     estimates = effects.block_estimates(

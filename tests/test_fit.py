@@ -8,7 +8,6 @@ from countweave import ChainSettings
 from countweave.functions import likelihood as L
 from countweave.functions import model, special
 from countweave.operators import curve, fit
-from countweave.plans import initial
 from countweave.plans import run as plan
 from verification import fixtures as fx
 
