@@ -26,7 +26,7 @@ from .store import table, tasks_for
 ORDER = 2
 BACKOFF = 0.4
 #: Bytes of text in a chunk, about; n-grams in a bucket, about.
-CHUNK = 12_000_000
+CHUNK = 5_000_000
 BUCKET = 2_000_000
 
 
