@@ -185,7 +185,7 @@ def exact_duplicates(docs: DataFrame, known: Column | None = None, id_column: st
     old = rows.where(F.coalesce(known, F.lit(False)))
     new = rows.where(~F.coalesce(known, F.lit(False)))
     buckets = keep(against(Snapshot(old), new))
-    checked = byte_checked(docs, rows, buckets, id_column, text_column)
+    checked = keep(byte_checked(docs, rows, buckets, id_column, text_column))  # so that a hot bucket's rows can be split
     return rows.join(checked, "digest").select(
         "id", "row", "digest", F.col("first.id").alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("row") == F.col("first.row")).alias("kept"))
