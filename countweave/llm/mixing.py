@@ -106,7 +106,7 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], b
     cuts = slices.select(*inner, "slice", "rest", "n", upto.alias("upto")).where("upto > rest").groupBy(*inner).agg(
         F.min("slice").alias("cut"), F.min(F.col("upto")).alias("upto"), F.min_by("n", "slice").alias("n")) \
         .select(*inner, "cut", (F.col("upto") - F.col("n")).alias("before"))
-    placed = drawn.join(cuts, inner, "left")
+    placed = drawn.join(keep(cuts), inner, "left")  # a row a leaf: sent whole where small, else a plain join
     whole = placed.where("cut IS NULL OR slice <> cut").withColumn("chosen", F.expr("cut IS NULL OR slice < cut"))
     order = Window.partitionBy(*inner, "slice").orderBy("draw", F.col("id").asc_nulls_last(), "row")
     some = placed.where("slice = cut").withColumn(
