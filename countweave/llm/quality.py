@@ -126,7 +126,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), **columns) -> DataFrame:
     m = keep(m.select("*", _parts(F.col("n_symbols"), F.col("word_chars")).alias("symbol"),
                       _parts(F.col("n_repeat_words"), F.col("n_words")).alias("repeat"),
                       _parts(F.col("n_dup_lines"), F.col("n_lines")).alias("line")))
-    out = m.join(thresholds(sketches(m), limits), ["lang", "source"])
+    out = m.join(keep(thresholds(sketches(m), limits)), ["lang", "source"])  # a row a group: sent whole where small
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = (F.col("symbol") <= F.col("symbol_limit")) & (F.col("repeat") <= F.col("repeat_limit")) & (F.col("line") <= F.col("line_limit"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
