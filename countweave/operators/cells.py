@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import NO_RANDOM_EFFECT, require_model_columns
+from ..schema import NO_RANDOM_EFFECT, name_missing, require_model_columns
 from ..sources.storage import materialize
 from . import design
 
@@ -31,18 +31,18 @@ def cell_sums(tokens: DataFrame) -> DataFrame:
     """One row per cell that has tokens: sum and number of non-missing tokens.
 
     Cells whose tokens are all missing stay (``n_tokens`` 0) because their
-    levels still count.
+    levels still count. Groups and effects that are NULL are the level ``NA``.
     """
     effects = require_model_columns(tokens)
     value = known(F.col("count"))
-    return tokens.groupBy("ran", "parent", "child", *effects, "bin").agg(
+    return name_missing(tokens, effects).groupBy("ran", "parent", "child", *effects, "bin").agg(
         F.sum(value).alias("total"), F.count(value).alias("n_tokens")
     )
 
 
 def sums_levels(sums: DataFrame) -> tuple[DataFrame, list[str]]:
-    known_columns = ("ran", "parent", "child", "bin", "total", "n_tokens", "replicate")
-    effects = [c for c in sums.columns if c not in known_columns]
+    """Levels and fixed effects of cell sums; the effects stand between ``child`` and ``bin``."""
+    effects = sums.columns[sums.columns.index("child") + 1:sums.columns.index("bin")]
     return design.levels(sums, ["ran", "parent", "child", *effects]), effects
 
 
@@ -51,6 +51,11 @@ def bin_count(sums: DataFrame) -> int:
     return int(sums.agg(F.max("bin")).first()[0])
 
 
+def off_grid(sums: DataFrame, n_bins: int) -> DataFrame:
+    """Cell sums that have no place on the grid: no bin, or one outside 1..n_bins."""
+    return sums.where(F.col("bin").isNull() | ~F.col("bin").between(1, n_bins))
+
+
 def fill_none(sums: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Reference fill per (parent, child, fixed effects, bin) from the observed cells."""
     _, effects = sums_levels(sums)
@@ -75,14 +80,15 @@ def _on_bins(entries: Column, n_bins: int, field: str) -> Column:
 
 
 def series(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool = True,
-           strict: bool = False) -> DataFrame:
+           strict: bool = False, leave_out: bool = False) -> DataFrame:
     """Every series of the complete grid: keys, fixed effects, ``n_tokens[]``, ``count[]``.
 
     Takes tokens or the result of :func:`cell_sums`. Sums made here are
     materialised, so the raw tokens are read exactly once.
 
     ``strict`` raises when a reference cell has nothing to be filled from;
-    otherwise such cells stay NULL.
+    otherwise such cells stay NULL. Tokens off the grid raise, unless
+    ``leave_out``: then :func:`off_grid` has them.
     """
     sums = tokens_or_sums
     if "n_tokens" not in sums.columns:
@@ -91,6 +97,10 @@ def series(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool
         n_bins = bin_count(sums)
     level_table, effects = sums_levels(sums)
     level_table = materialize(level_table)
+    if not level_table.where((F.col("factor") == "ran") & (F.col("level") == NO_RANDOM_EFFECT)).isEmpty():
+        raise ValueError(f"'{NO_RANDOM_EFFECT}' is reserved and cannot be a level of ran")
+    if not leave_out and not off_grid(sums, n_bins).isEmpty():
+        raise ValueError(f"tokens outside bins 1..{n_bins}; leave_out=True leaves them out, off_grid() returns them")
     out = on_grid(sums, design.series_grid(level_table, effects), effects, n_bins, log_fill)
     if strict:
         require_pools(out)
@@ -101,7 +111,7 @@ def on_grid(sums: DataFrame, frame: DataFrame, effects: list[str], n_bins: int,
             extra: tuple[str, ...] = ()) -> DataFrame:
     """Put cell sums on every series of ``frame`` and fill its reference series.
 
-    Bins outside 1..n_bins have no place on the grid and are left out.
+    Sums that :func:`off_grid` returns have no place here; :func:`series` raises on them first.
     """
     sums = sums.where(F.col("bin").between(1, n_bins))
     keys = [*extra, "ran", "parent", "child", *effects]
@@ -160,9 +170,9 @@ def open_bins(series_table: DataFrame) -> DataFrame:
 
 
 def cells(tokens_or_sums: DataFrame, n_bins: int | None = None, log_fill: bool = True,
-          strict: bool = False) -> DataFrame:
+          strict: bool = False, leave_out: bool = False) -> DataFrame:
     """The complete cell table (see :func:`open_bins` for its columns)."""
-    return open_bins(series(tokens_or_sums, n_bins, log_fill, strict))
+    return open_bins(series(tokens_or_sums, n_bins, log_fill, strict, leave_out))
 
 
 def dispersion(cell_table: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:

@@ -354,8 +354,7 @@ def step_curves(df: DataFrame, position: str, rates: Column, slopes: Column, poi
 
 
 def logistic_curve(df: DataFrame, position: str, top: float, slope: float) -> DataFrame:
-    """Falling logistic of height ``top`` and the slope of its tangent at zero."""
+    """Falling logistic of height ``top``, and its slope at the centre: -slope * top / 4 for any logistic."""
     x = F.col(position).cast("double")
-    half = model.logistic(F.lit(-0.0) * slope) * top
-    return df.select("*", x.alias("x"), (model.logistic(-x * slope) * top).alias("y"),
-                     (-(slope * (half * top - half * half)) / top).alias("tangent"))
+    return df.select("*", x.alias("x"), (top * model.logistic(x * -slope)).alias("y"),
+                     F.lit(-slope * top / 4).alias("centre_slope"))

@@ -42,8 +42,6 @@ def build(tokens: DataFrame, settings: ModelSettings, n_bins: int | None = None,
     level_table, fixed = cells.sums_levels(sums)
     level_table = materialize(level_table)
     design.check_fixed_effects(level_table, fixed)
-    if not level_table.where((F.col("factor") == "ran") & (F.col("level") == NO_RANDOM_EFFECT)).isEmpty():
-        raise ValueError(f"'{NO_RANDOM_EFFECT}' is reserved and cannot be a level of ran")
     treatment_table = design.treatments(level_table, fixed)
     pairs = design.effect_pairs(treatment_table)
     series = materialize(cells.series(sums, n_bins, strict=strict))

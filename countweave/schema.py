@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 MODEL_COLUMNS = ("count", "bin", "parent", "child", "ran")
 NO_RANDOM_EFFECT = "none"
 REFERENCE = "ref"
+#: The level of rows that name none.
+MISSING_LEVEL = "NA"
+#: Names of the library's own columns; fixed effects so called are stored with the prefix below.
+OWN_COLUMNS = frozenset(("treatment", "replicate", "total", "n_tokens", "count_log", "observed", "pred", "pred_log", "level",
+                         "factor", "effect", "sign", "component", "k", "name", "value", "kind", "draw_id", "param_idx"))
+EFFECT_PREFIX = "fx_"
 COMPONENTS = ("Rt", "tslope", "tpoint")
 WARPS = ("point", "rate", "slope")
 
@@ -75,10 +81,25 @@ def select_model_columns(df: DataFrame, variables: Variables | dict | None = Non
         raise ValueError(f"fixed-effect columns carry reserved names: {clash}")
     casts = {"count": "double", "bin": "int", "parent": "string", "child": "string", "ran": "string"}
     chosen = [F.col(user).cast(casts[role]).alias(role) for user, role in roles]
-    chosen += [F.col(c).cast("string").alias(c) for c in effects]
+    stored = [stored_effect(c) for c in effects]
+    twice = sorted({c for c in stored if stored.count(c) > 1})
+    if twice:
+        raise ValueError(f"fixed-effect columns whose stored names coincide: {twice}")
+    chosen += [F.col(c).cast("string").alias(s) for c, s in zip(effects, stored)]
     if variables.token_id is not None:
         chosen.append(F.col(variables.token_id).alias("token_id"))
-    return df.select(*chosen)
+    return name_missing(df.select(*chosen), stored)
+
+
+def stored_effect(column: str) -> str:
+    """The name a fixed effect has in the library's tables."""
+    return EFFECT_PREFIX + column if column in OWN_COLUMNS else column
+
+
+def name_missing(tokens: DataFrame, effects: list[str]) -> DataFrame:
+    """Groups and effects that are NULL become a level of their own, so no token is lost or counted twice."""
+    grouped = {"parent", "child", "ran", *effects}
+    return tokens.select(*[F.coalesce(c, F.lit(MISSING_LEVEL)).alias(c) if c in grouped else F.col(c) for c in tokens.columns])
 
 
 def fixed_effects_in(tokens: DataFrame) -> list[str]:

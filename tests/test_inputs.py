@@ -138,7 +138,7 @@ def test_streaming_sums_match_the_table(spark, tmp_path):
 def test_bins_off_the_grid_are_left_out(spark):
     rows = [(1.0 + b, b, "p", "c", "m", side) for b in (0, 1, 2, 3) for side in ("L", "R")] + [(9.0, None, "p", "c", "m", "L")]
     t = spark.createDataFrame(rows, "count double, bin int, parent string, child string, ran string, side string")
-    got = {(r["bin"], r["count"]) for r in cells.cells(t, 3).where("ran = 'm'").collect()}
+    got = {(r["bin"], r["count"]) for r in cells.cells(t, 3, leave_out=True).where("ran = 'm'").collect()}
     assert got == {(1, 2.0), (2, 3.0), (3, 4.0)}
     assert {r["count"] for r in cells.cells(t, 2).where("ran = 'none'").collect()} == {2.0, 3.0}
 
@@ -152,3 +152,25 @@ def test_build_rejects_thin_effects_and_the_reserved_level(spark):
         initial.build(t, ModelSettings(), 2)
     with pytest.raises(ValueError, match="fewer than 2"):
         initial.build(t.where("side = 'L' and ran = 'm'"), ModelSettings(), 2)
+
+
+@pytest.mark.parametrize("name", ["treatment", "replicate", "total", "n_tokens", "value"])
+def test_effects_may_carry_the_librarys_own_names(spark, name):
+    rows = [(1.0, 1 + i % 2, "p", "c", "r", f"l{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, f"count double, bin int, parent string, child string, ran string, {name} string")
+    got = cells.cells(select_model_columns(df))
+    assert f"fx_{name}" in got.columns and got.count() == 2 * 3 * 2
+    assert got.where("ran = 'r'").agg({"n_tokens": "sum"}).first()[0] == 12
+
+
+def test_missing_groups_and_bins_are_not_lost(spark):
+    rows = [(2.0, 1, "p", "c", "r", "a"), (3.0, 1, "p", "c", None, "b"), (5.0, 9, "p", None, "r", "a"), (7.0, None, "p", "c", "r", "a")]
+    df = select_model_columns(spark.createDataFrame(rows, "count double, bin int, parent string, child string, ran string, e string"))
+    sums = cells.cell_sums(df)
+    assert sums.agg({"total": "sum"}).first()[0] == 17
+    with pytest.raises(ValueError, match="outside bins"):
+        cells.series(sums, 3)
+    on = cells.cells(sums, 3, leave_out=True).where("n_tokens IS NOT NULL").agg({"count": "sum"}).first()[0]
+    assert on + cells.off_grid(sums, 3).agg({"total": "sum"}).first()[0] == 17
+    with pytest.raises(ValueError, match="reserved"):
+        cells.series(cells.cell_sums(df.na.replace({"r": "none"}, subset=["ran"])), 3, leave_out=True)

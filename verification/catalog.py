@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from countweave.operators import (
 )
 from countweave.plans import initial
 from countweave.plans import run as run_plan
+from countweave.schema import select_model_columns
 from countweave.sources import tables
 from countweave.sources.storage import materialize
 
@@ -171,6 +173,32 @@ def a1(spark, d):
     return rounded(cells.cell_sums(fx.tokens(spark, d)), ["total"], 4)
 
 
+@check("a1_null_levels", q.query(TOKENS, """SELECT ran, parent, child, disc, tax, bin, round(sum(count), 4) + 0.0 AS total, count(count) AS n_tokens
+  FROM (SELECT CASE WHEN ran = 's1' THEN 'NA' ELSE ran END AS ran, parent, CASE WHEN child = 'N' THEN 'NA' ELSE child END AS child,
+  CASE WHEN disc = 'd1' THEN disc ELSE 'NA' END AS disc, tax, bin, count FROM tokens) GROUP BY ALL"""))
+def a1_null(spark, d):
+    t = fx.tokens(spark, d)
+    holes = {"ran": F.col("ran") != "s1", "child": F.col("child") != "N", "disc": F.col("disc") == "d1"}
+    return rounded(cells.cell_sums(t.select(*[F.when(holes[c], F.col(c)).alias(c) if c in holes else F.col(c) for c in t.columns])), ["total"], 4)
+
+
+@check("a1_off_grid_bins", q.query([q.TOKENS_CTE, q.SUMS], """SELECT CASE WHEN bin <= 30 THEN 'kept' ELSE 'rejected' END AS part,
+  ran, parent, child, disc, tax, bin, n_tokens FROM sums"""))
+def a1_off_grid(spark, d):
+    sums = materialize(cells.cell_sums(fx.tokens(spark, d)))
+    names = ["ran", "parent", "child", "disc", "tax", "bin", "n_tokens"]
+    kept = cells.open_bins(cells.series(sums, 30, leave_out=True)).where("n_tokens IS NOT NULL")
+    return kept.select(F.lit("kept").alias("part"), *names).unionByName(
+        cells.off_grid(sums, 30).select(F.lit("rejected").alias("part"), *names))
+
+
+@check("d5_effect_named_treatment", q.query([*DESIGN, q.SUMS, q.GRID], f"SELECT {S}, disc AS fx_treatment, tax AS fx_replicate, bin FROM grid"))
+def d5_named(spark, d):
+    raw = fx.raw_tokens(spark, d).withColumnRenamed("disc", "treatment").withColumnRenamed("tax", "replicate")
+    t = select_model_columns(raw, replace(fx.VARIABLES, fixed_effects=("treatment", "replicate")))
+    return cells.cells(t, fx.N_BINS).select(*SERIES, "fx_treatment", "fx_replicate", "bin")
+
+
 GAPS = q.TOKENS_CTE.replace("FROM raw_tokens)", "FROM raw_tokens WHERE NOT (ran = 's2' AND bin = 7))")
 
 
