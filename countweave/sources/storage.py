@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one only where none is configured."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A local session that names none gets one of its own, removed at exit."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    own = tempfile.mkdtemp(prefix="countweave-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, keep on shared storage, cut the lineage.
+    """Compute once as Parquet on shared storage and read from there.
 
-    Used where a table made by a pass over the raw data is read by several
-    branches: filters and pruned columns pushed into each branch would
-    otherwise make every branch scan the raw data again.
+    Used where a table is read by several branches or jobs: it cuts the lineage, survives lost executors,
+    and gives the readers pruned columns and known sizes, so small tables are sent whole instead of shuffled.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
