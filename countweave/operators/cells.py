@@ -120,16 +120,16 @@ def on_grid(sums: DataFrame, frame: DataFrame, effects: list[str], n_bins: int,
     seen = (
         sums.where(F.col("n_tokens") > 0)
         .groupBy(*keys)
-        .agg(entries.alias("e"))
-        .select(*keys, _on_bins(F.col("e"), n_bins, "n_tokens").alias("n_tokens"),
-                _on_bins(F.col("e"), n_bins, "total").alias("count"))
+        .agg(entries.alias("_entries"))
+        .select(*keys, _on_bins(F.col("_entries"), n_bins, "n_tokens").alias("n_tokens"),
+                _on_bins(F.col("_entries"), n_bins, "total").alias("count"))
     )
     fill = "fill_log" if log_fill else "fill_mean"
     filled = (
         fill_none(sums, extra)
         .groupBy(*reference_keys)
-        .agg(F.collect_list(F.struct("bin", F.col(fill).alias("total"))).alias("e"))
-        .select(*reference_keys, _on_bins(F.col("e"), n_bins, "total").alias("count"))
+        .agg(F.collect_list(F.struct("bin", F.col(fill).alias("total"))).alias("_entries"))
+        .select(*reference_keys, _on_bins(F.col("_entries"), n_bins, "total").alias("count"))
     )
     empty = F.array_repeat(F.lit(None).cast("double"), n_bins)
     no_tokens = F.array_repeat(F.lit(None).cast("bigint"), n_bins)
