@@ -134,22 +134,14 @@ def effect_pairs(treatment_table: DataFrame) -> DataFrame:
     )
 
 
-def effect_map(pairs: DataFrame) -> Column:
-    """Effect -> [(treatment, sign, number of subsets of the treatment)] as one value.
+def targets(pairs: DataFrame) -> DataFrame:
+    """Per effect the treatments it takes part in: effect, treatment, sign, need (effects of that treatment).
 
-    A scalar subquery: it holds treatments only, so tables that carry a
-    treatment per row look it up in place and are not shuffled by treatment.
+    Joined by equality of the effect. ``pairs`` read from storage have a known size, so they are sent whole
+    where they are small and shuffled like any table where the design is large.
     """
-    subsets_of = Window.partitionBy("treatment")
-    counted = pairs.withColumn("need", F.count(F.lit(1)).over(subsets_of))
-    per_effect = counted.groupBy("effect").agg(F.collect_list(F.struct("treatment", "sign", "need")).alias("to"))
-    return per_effect.agg(F.map_from_entries(F.collect_list(F.struct("effect", "to")))).scalar()
-
-
-def treatment_order(treatment_table: DataFrame) -> Column:
-    """Treatment -> index as one value (see :func:`effect_map`)."""
-    return treatment_table.agg(
-        F.map_from_entries(F.collect_list(F.struct("treatment", "treatment_idx")))).scalar()
+    counted = pairs.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("treatment")))
+    return counted.select("effect", "treatment", "sign", "need")
 
 
 def series_grid(level_table: DataFrame, fixed_effects: list[str]) -> DataFrame:

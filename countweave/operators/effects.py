@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash01
 from ..schema import COMPONENTS, NO_RANDOM_EFFECT, REFERENCE, WARPS
 from ..sources.storage import materialize
-from .design import effect_map, treatment_order
+from .design import targets
 
 PROFILE = ["parent", "child", "treatment"]
 
@@ -122,17 +122,18 @@ def split_effects(values: DataFrame, pairs: DataFrame, keys: list[str], value: s
 
     An effect is NULL when any value it depends on is missing.
     """
-    y = values.select(*keys, F.col(value).alias("_y"), F.explode(effect_map(pairs)[F.col("treatment")]).alias("_e"))
-    total = y.groupBy(*keys, F.col("_e.treatment").alias("treatment")).agg(
-        F.sum(F.col("_e.sign") * F.col("_y")).alias("_b"), F.count("_y").alias("_have"),
-        F.max("_e.need").alias("_need"))
+    y = values.select(*keys, F.col(value).alias("_y"), F.col("treatment").alias("_effect"))
+    to = targets(pairs).withColumnRenamed("effect", "_effect")
+    total = y.join(to, "_effect").groupBy(*keys, "treatment").agg(
+        F.sum(F.col("sign") * F.col("_y")).alias("_b"), F.count("_y").alias("_have"), F.max("need").alias("_need"))
     return total.select(*keys, "treatment", F.when(F.col("_have") == F.col("_need"), F.col("_b")).alias(value))
 
 
 def combine_effects(effects: DataFrame, pairs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Inverse of :func:`split_effects`: sum the effects that apply to each treatment."""
-    b = effects.select(*keys, F.col(value).alias("_b"), F.explode(effect_map(pairs)[F.col("treatment")]).alias("_e"))
-    return b.groupBy(*keys, F.col("_e.treatment").alias("treatment")).agg(F.sum("_b").alias(value))
+    b = effects.select(*keys, F.col(value).alias("_b"), F.col("treatment").alias("_effect"))
+    to = pairs.select(F.col("effect").alias("_effect"), "treatment")
+    return b.join(to, "_effect").groupBy(*keys, "treatment").agg(F.sum("_b").alias(value))
 
 
 def initial_warps(ran_children: DataFrame, seed: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -160,13 +161,13 @@ def parameter_table(effects: DataFrame, warps: DataFrame, treatment_table: DataF
     named = F.when(
         F.col("treatment") == REFERENCE, F.concat_ws("_", F.lit("baseline"), "parent", "component", "child", spot)
     ).otherwise(F.concat_ws("_", F.lit("beta"), "component", "parent", "child", "treatment", F.lit("X"), spot))
-    fixed = effects.select(
+    fixed = effects.join(treatment_table.select("treatment", "treatment_idx"), "treatment").select(
         *extra, F.when(F.col("treatment") == REFERENCE, "baseline").otherwise("beta").alias("kind"),
         "component", "parent", "child", F.lit(None).cast("string").alias("ran"), "treatment",
         F.col("k").cast("int").alias("k"), named.alias("name"), "value",
         place(COMPONENTS, F.col("component")).alias("_section"),
         F.lpad(F.col("k").cast("string"), 9, "0").alias("_o1"),
-        treatment_order(treatment_table)[F.col("treatment")].alias("_o2"),
+        F.col("treatment_idx").alias("_o2"),
     )
     random = warps.select(
         *extra, F.lit("wfactor").alias("kind"), "component", F.lit(None).cast("string").alias("parent"), "child",

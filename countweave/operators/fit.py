@@ -20,7 +20,7 @@ from ..functions.likelihood import Block, ParentBlock, minimise
 from ..schema import COMPONENTS, NO_RANDOM_EFFECT, ModelSettings
 from ..sources.storage import materialize
 from . import curve
-from .design import effect_map
+from .design import targets
 
 CELLS_PER_TASK = 4_000_000
 FEASIBLE_AT = 0.01
@@ -44,8 +44,9 @@ def series_for_fit(series: DataFrame, dispersion: DataFrame, replicate: bool) ->
 
 def params_for_fit(params: DataFrame, pairs: DataFrame, replicate: bool) -> DataFrame:
     """Parameters with the treatments they apply to."""
-    out = params.withColumn("_to", effect_map(pairs)[F.col("treatment")]).withColumn(
-        "applies_to", F.transform("_to", lambda e: e["treatment"]))
+    applies = targets(pairs).groupBy(F.col("effect").alias("treatment")).agg(
+        F.sort_array(F.collect_list("treatment")).alias("applies_to"))
+    out = params.join(applies, "treatment", "left")
     rep = F.col("replicate").cast("int") if replicate else F.lit(FULL_FIT)
     return out.select(rep.alias("replicate"), "child", "param_idx", "kind", "component", "parent", "ran",
                       "treatment", "k", "applies_to", "value")

@@ -35,15 +35,15 @@ def build(tokens: DataFrame, settings: ModelSettings, n_bins: int | None = None,
     """Run every step up to the initial parameters.
 
     Tables read by several later steps are materialised: the token sums, the
-    series, the change points and the parameters.
+    design, the series, the change points and the parameters.
     """
     sums = materialize(cells.cell_sums(tokens))
     n_bins = n_bins or cells.bin_count(sums)
     level_table, fixed = cells.sums_levels(sums)
     level_table = materialize(level_table)
     design.check_fixed_effects(level_table, fixed)
-    treatment_table = design.treatments(level_table, fixed)
-    pairs = design.effect_pairs(treatment_table)
+    treatment_table = materialize(design.treatments(level_table, fixed))
+    pairs = materialize(design.effect_pairs(treatment_table))
     series = materialize(cells.series(sums, n_bins, strict=strict))
     cell_table = cells.open_bins(series)
     points = materialize(

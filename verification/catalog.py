@@ -459,7 +459,7 @@ def e3(spark, d):
   FROM log_means m JOIN pairs p ON m.treatment = p.effect GROUP BY ALL"""))
 def e4(spark, d):
     c = fx.cells(spark, d)
-    pairs = design.effect_pairs(fx.levels_and_treatments(spark, d)[1])
+    pairs = materialize(design.effect_pairs(fx.levels_and_treatments(spark, d)[1]))
     b = effects.split_effects(cells.log_means(c), pairs, ["parent", "child", "bin"], "mean_log")
     return b.select("parent", "child", "bin", "treatment", rd("mean_log").alias("effect"))
 
@@ -467,7 +467,7 @@ def e4(spark, d):
 @check("e5_combine_effects", q.query([*BASE, q.LOG_MEANS], f"SELECT parent, child, bin, treatment, {r('mean_log')} AS value FROM log_means"))
 def e5(spark, d):
     c = fx.cells(spark, d)
-    pairs = design.effect_pairs(fx.levels_and_treatments(spark, d)[1])
+    pairs = materialize(design.effect_pairs(fx.levels_and_treatments(spark, d)[1]))
     keys = ["parent", "child", "bin"]
     back = effects.combine_effects(
         effects.split_effects(cells.log_means(c), pairs, keys, "mean_log"), pairs, keys, "mean_log")
@@ -703,7 +703,7 @@ def r2(spark, d):
   SELECT replicate, parent, child, treatment, bin, avg(ln(1 + count)) AS m FROM bcells GROUP BY ALL) b JOIN pairs p ON b.treatment = p.effect GROUP BY ALL"""))
 def r2b(spark, d):
     means = cells.log_means(cells.open_bins(_bootstrap(spark, d)), ("replicate",))
-    pairs = design.effect_pairs(fx.levels_and_treatments(spark, d)[1])
+    pairs = materialize(design.effect_pairs(fx.levels_and_treatments(spark, d)[1]))
     keys = ["replicate", "parent", "child", "bin"]
     b = effects.split_effects(means, pairs, keys, "mean_log")
     return b.select(*keys, "treatment", rd("mean_log").alias("effect"))
@@ -768,16 +768,16 @@ def t2(spark, d):
     return rounded(stats.thin(walk, "draw_id", 3).select("source", "param_idx", "draw_id", "value"), ["value"])
 
 
-@check("t3_converged", q.query([*DRAWS, q.DIAG], f"SELECT param_idx, draw_id, {r('value')} AS value FROM boot JOIN diag USING (draw_id) WHERE status = 3"))
+@check("t3_converged", q.query([*DRAWS, q.DIAG, q.DIAG_FULL], f"SELECT param_idx, draw_id, {r('value')} AS value FROM boot JOIN diag_full USING (draw_id) WHERE status = 3"))
 def t3(spark, d):
-    out = stats.keep_converged(fx.boot_draws(spark, d)[0], fx.draw_diagnostics(spark, d))
+    out = stats.keep_converged(fx.boot_draws(spark, d)[0], fx.with_full_fit(fx.draw_diagnostics(spark, d)))
     return rounded(out.select("param_idx", "draw_id", "value"), ["value"])
 
 
-@check("t3_too_few_converged", q.query([*DRAWS, q.DIAG], f"SELECT param_idx, draw_id, {r('value')} AS value FROM boot WHERE draw_id IN (SELECT draw_id FROM diag)"))
+@check("t3_too_few_converged", q.query([*DRAWS, q.DIAG, q.DIAG_FULL], f"SELECT param_idx, draw_id, {r('value')} AS value FROM boot WHERE draw_id IN (SELECT draw_id FROM diag_full)"))
 def t3b(spark, d):
     diag = fx.draw_diagnostics(spark, d).withColumn("status", F.when(F.col("draw_id") % 5 == 0, 5).otherwise(3))
-    out = stats.keep_converged(fx.boot_draws(spark, d)[0], diag)
+    out = stats.keep_converged(fx.boot_draws(spark, d)[0], fx.with_full_fit(diag))
     return rounded(out.select("param_idx", "draw_id", "value"), ["value"])
 
 

@@ -111,8 +111,12 @@ def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simple_points(ratio_table: DataFrame) -> DataFrame:
-    """Change points that SQL can state: the best bin of each half of every complete series."""
-    half = F.when(F.col("bin").between(9, 20), 0).when(F.col("bin").between(21, 32), 1)
+    """Change points that SQL can state: the best bin of each half of every complete series.
+
+    Like the operator's own peaks they keep more than half a window from both ends.
+    """
+    half = F.when(F.col("bin").between(WS // 2 + 2, N_BINS // 2), 0).when(
+        F.col("bin").between(N_BINS // 2 + 1, N_BINS - WS // 2), 1)
     return ratio_table.withColumn("k", half).where("k is not null").groupBy(*design.SERIES, "k").agg(
         (F.max_by("bin", "r1") - 1).alias("bin0"))
 
@@ -124,8 +128,8 @@ class SimpleModel:
         sum_table = sums(spark, sf_dir)
         self.levels, fixed = cells_.sums_levels(sum_table)
         self.levels = materialize(self.levels)
-        self.treatments = design.treatments(self.levels, fixed)
-        self.pairs = design.effect_pairs(self.treatments)
+        self.treatments = materialize(design.treatments(self.levels, fixed))
+        self.pairs = materialize(design.effect_pairs(self.treatments))
         self.series = materialize(cells_.series(sum_table, N_BINS))
         self.cells = cells_.open_bins(self.series)
         self.points = simple_points(changepoints.ratio_table(self.cells, N_BINS, WS))
@@ -170,12 +174,13 @@ def mean_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(mean, ["parent", "child", "treatment", "bin"]).withColumn("pred", F.expm1("pred_log"))
 
 
-def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A draws table without a fit, and its parameters."""
+def draws(spark: SparkSession, sf_dir: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A draws table without a fit, and its parameters: two sources, or every line under the one named."""
     li = table(spark, sf_dir, "lineitem")
     p = (F.col("l_suppkey") % 12).cast("bigint")
     d = li.groupBy(
-        F.when(F.col("l_linenumber") % 2 == 0, "chain").otherwise("bootstrap").alias("source"), p.alias("param_idx"),
+        (F.lit(source) if source else F.when(F.col("l_linenumber") % 2 == 0, "chain").otherwise("bootstrap")).alias("source"),
+        p.alias("param_idx"),
         F.col("l_orderkey").alias("draw_id"),
     ).agg(F.avg((F.col("l_discount") - 0.05) * 10 + p * 0.05).alias("value"))
     full = d.groupBy("source", "param_idx").agg((F.avg("value") * 1.1 + 0.0137).alias("value")).select(
@@ -193,8 +198,9 @@ def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def boot_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d, p = draws(spark, sf_dir)
-    return materialize(d.where(F.col("source") == "bootstrap")), materialize(p)
+    """All draws as one source."""
+    d, p = draws(spark, sf_dir, "bootstrap")
+    return materialize(d), materialize(p)
 
 
 def draw_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,3 +208,9 @@ def draw_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("draw_id"), F.when(F.col("o_orderkey") % 20 == 0, 5).otherwise(3).alias("status"),
         F.col("o_totalprice").alias("objective"), (F.col("o_totalprice") * 0.9).alias("neg_loglik"),
         (F.col("o_orderkey") % 1000).cast("int").alias("evals"))
+
+
+def with_full_fit(diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics with the row of the full-data fit, draw -1."""
+    full = diagnostics.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("draw_id"), F.lit(3).alias("status"))
+    return diagnostics.select("draw_id", "status").unionByName(full)

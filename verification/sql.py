@@ -167,8 +167,8 @@ def peaks(name: str, columns: list[str], ws: int = WS) -> str:
 
 # change points that SQL can state: the best bin of each half of every complete series
 POINTS = f"""
-points AS (SELECT {SERIES}, 0 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN 9 AND 20 GROUP BY ALL
-  UNION ALL SELECT {SERIES}, 1 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN 21 AND 32 GROUP BY ALL),
+points AS (SELECT {SERIES}, 0 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN {WS // 2 + 2} AND {N_BINS // 2} GROUP BY ALL
+  UNION ALL SELECT {SERIES}, 1 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN {N_BINS // 2 + 1} AND {N_BINS - WS // 2} GROUP BY ALL),
 tpoints AS (SELECT parent, child, treatment, k, avg(bin0) AS point, CAST(round(avg(bin0)) AS INT) AS bin0 FROM points GROUP BY ALL)"""
 
 LOG_MEANS = "log_means AS (SELECT parent, child, treatment, bin, avg(count_log) FILTER (observed) AS mean_log FROM cells GROUP BY ALL)"
@@ -253,9 +253,14 @@ params AS (SELECT DISTINCT param_idx, CASE WHEN param_idx < 9 THEN 'beta' ELSE '
   CASE WHEN param_idx < 9 THEN 'p' END AS parent, concat('c', param_idx % 3) AS child, CASE WHEN param_idx >= 9 THEN 's0' END AS ran,
   CASE WHEN param_idx < 9 THEN 'd1' END AS treatment, CASE WHEN param_idx < 9 THEN CAST(param_idx % 3 AS INT) END AS k,
   concat('par_', param_idx) AS name FROM d0)"""
-BOOT = "boot AS (SELECT * FROM draws WHERE source = 'bootstrap')"
+# every line: both sources as one
+BOOT = """
+b0 AS (SELECT CAST(l_suppkey % 12 AS BIGINT) AS param_idx, l_orderkey AS draw_id,
+  avg((l_discount - 0.05) * 10 + (l_suppkey % 12) * 0.05) AS value FROM lineitem GROUP BY ALL),
+boot AS (SELECT *, false AS is_full_fit FROM b0 UNION ALL SELECT param_idx, CAST(-1 AS BIGINT), avg(value) * 1.1 + 0.0137, true FROM b0 GROUP BY ALL)"""
 DIAG = """diag AS (SELECT o_orderkey AS draw_id, CASE WHEN o_orderkey % 20 = 0 THEN 5 ELSE 3 END AS status, o_totalprice AS objective,
   o_totalprice * 0.9 AS neg_loglik, CAST(o_orderkey % 1000 AS INT) AS evals FROM orders)"""
+DIAG_FULL = "diag_full AS (SELECT draw_id, status FROM diag UNION ALL SELECT -1, 3)"
 P_VALUES = """
 est AS (SELECT param_idx, value AS estimate FROM boot WHERE is_full_fit),
 centre AS (SELECT param_idx, avg(value) AS m FROM boot GROUP BY ALL),
