@@ -1,10 +1,12 @@
 """Bootstrap of token counts within cells.
 
 A cell's tokens are numbered by the md5 of their id, and draw i of a replicate
-takes the token at (keyed hash mod n). The numbers do not depend on how the
-data is partitioned. Cells of moderate size are kept as one array per row and
-resampled without a shuffle. A larger cell is never gathered: its tokens stay
-rows, numbered through hash ranges, and draws find them by equality.
+takes the token at (keyed hash mod n); one md5 gives four draws. The numbers do
+not depend on how the data is partitioned. Each cell goes by its own size, in
+one plan for all: up to ARRAY_LIMIT tokens it is one array per row, resampled
+without a shuffle. A larger cell is never gathered: its tokens stay rows,
+numbered through as many hash ranges as that cell needs, and draws find them
+by equality. Both ways draw the same tokens.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SPAN, hash32
-from ..schema import require_model_columns
+from ..functions.hashing import SPAN, WORDS, digest, word
+from ..schema import name_missing, require_model_columns
 from . import cells, design
 
 ARRAY_LIMIT = 4096
@@ -24,23 +26,19 @@ def _cell_name(keys: list[str]) -> Column:
     return F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
 
 
-def token_positions(tokens: DataFrame, keys: list[str], largest_cell: int) -> DataFrame:
-    """0-based position of every token in its cell, and the cell size.
+def token_positions(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """0-based position of every token in its cell; ``cell_size`` comes with the tokens.
 
-    Cells are cut into as many hash ranges as the largest one needs, so no
-    window holds much more than RANGE_TARGET tokens.
+    A cell is cut into as many hash ranges as its size asks for, so no window
+    holds much more than RANGE_TARGET tokens.
     """
-    parts = max(1, -(-largest_cell // RANGE_TARGET))
     order = F.md5(F.col("token_id").cast("string"))
-    rows = tokens.select(*keys, "count", "token_id", order.alias("_o"))
-    place = F.conv(F.substring("_o", 1, 8), 16, 10).cast("bigint")
-    rows = rows.withColumn("_range", F.floor(place * parts / SPAN).cast("int"))
+    rows = tokens.select(*keys, "count", "token_id", "cell_size", order.alias("_o"))
+    parts = F.ceil(F.col("cell_size") / RANGE_TARGET)
+    rows = rows.withColumn("_range", F.floor(word(F.col("_o")) * parts / SPAN).cast("int"))
     sizes = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     run = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_range", F.coalesce(F.sum("_size").over(run), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("cell_size"),
-    )
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(run), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_range").orderBy("_o", "token_id")
     return (
         rows.withColumn("_at", F.row_number().over(inside) - 1)
@@ -51,24 +49,38 @@ def token_positions(tokens: DataFrame, keys: list[str], largest_cell: int) -> Da
 
 def _array_draws(pools: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
     n = F.size("pool").cast("bigint")
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.size("pool") - 1), F.lit(0.0),
-        lambda acc, i: acc + F.get("pool", (hash32(seed, "replicate", "_cell", i) % n).cast("int")),
-    )
+    # the digests are an array of their own, so that each is worked out once for its four draws
+    digests = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / WORDS).cast("int")), lambda q: F.struct(
+        q.alias("q"), digest(seed, "replicate", "_cell", q).alias("h")))
+
+    def drawn(e, j):
+        value = F.get("pool", (word(e["h"], j) % n).cast("int"))
+        return F.when(e["q"] * WORDS + j < n, value).otherwise(0.0)
+
+    def add(acc, e):
+        for j in range(WORDS):
+            acc = acc + drawn(e, j)
+        return acc
+
     return (
         pools.withColumn("_cell", _cell_name(keys))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-        .select("replicate", *keys, total.alias("total"), n.alias("n_tokens"))
+        .select("replicate", *keys, F.aggregate(digests, F.lit(0.0), add).alias("total"), n.alias("n_tokens"))
     )
 
 
 def _row_draws(numbered: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
-    """One draw per token row and replicate; each finds its token by (cell, position)."""
+    """Four draws per fourth token row and replicate; each finds its token by (cell, position)."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda j: F.struct(
+        (F.col("position") + j).alias("i"), (word(F.col("_h"), j) % F.col("cell_size")).alias("at")))
     draws = (
-        numbered.withColumn("_cell", _cell_name(keys))
-        .select(*keys, "_cell", F.col("position").alias("_i"), "cell_size",
-                F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-        .select(*keys, "replicate", (hash32(seed, "replicate", "_cell", "_i") % F.col("cell_size")).alias("position"))
+        numbered.where(F.col("position") % WORDS == 0).withColumn("_cell", _cell_name(keys))
+        .withColumn("_q", F.floor(F.col("position") / WORDS))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        .withColumn("_h", digest(seed, "replicate", "_cell", "_q"))
+        .select(*keys, "replicate", "cell_size", F.explode(drawn).alias("_d"))
+        .where(F.col("_d.i") < F.col("cell_size"))
+        .select(*keys, "replicate", F.col("_d.at").alias("position"))
     )
     return (
         draws.join(numbered.select(*keys, "position", "count"), [*keys, "position"])
@@ -82,26 +94,23 @@ def bootstrap_sums(tokens: DataFrame, replicates: int, seed: int, sums: DataFram
     """Resampled cell sums: replicate, cell keys, total, n_tokens.
 
     Every observed cell redraws as many tokens as it has, with replacement.
-    Needs a ``token_id`` that is unique within a cell.
+    Needs a ``token_id`` that is unique within a cell. Tokens without a bin are in no cell
+    (``cells.off_grid`` reports them).
     """
     if "token_id" not in tokens.columns:
         raise ValueError("resampling needs a token_id column")
     effects = require_model_columns(tokens)
     keys = ["ran", "parent", "child", *effects, "bin"]
-    present = cells.drop_missing(tokens)
+    present = name_missing(cells.drop_missing(tokens), effects).where(F.col("bin").isNotNull())
     if sums is None:
         sums = cells.cell_sums(tokens)
-    largest = sums.agg(F.max("n_tokens")).first()[0] or 0
-    if largest <= array_limit:
-        entry = F.struct(F.md5(F.col("token_id").cast("string")).alias("o"), F.col("token_id").alias("t"), "count")
-        pools = present.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["count"]).alias("pool"))
-        return _array_draws(pools, keys, replicates, seed)
-    numbered = token_positions(present, keys, largest)
-    small = numbered.where(F.col("cell_size") <= array_limit).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "count"))), lambda e: e["count"]).alias("pool"))
-    large = numbered.where(F.col("cell_size") > array_limit)
-    return _array_draws(small, keys, replicates, seed).unionByName(_row_draws(large, keys, replicates, seed))
+    # at most one row per array_limit tokens
+    large = sums.where(F.col("n_tokens") > array_limit).select(*keys, F.col("n_tokens").alias("cell_size"))
+    entry = F.struct(F.md5(F.col("token_id").cast("string")).alias("o"), F.col("token_id").alias("t"), "count")
+    pools = present.join(large, keys, "left_anti").groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["count"]).alias("pool"))
+    numbered = token_positions(present.join(large, keys), keys)
+    return _array_draws(pools, keys, replicates, seed).unionByName(_row_draws(numbered, keys, replicates, seed))
 
 
 def bootstrap_series(resampled: DataFrame, level_table: DataFrame, effects: list[str], n_bins: int,

@@ -51,7 +51,7 @@ def bootstrap_tokens(spark):
     return spark.createDataFrame(rows, "count double, bin int, parent string, child string, ran string, side string, token_id string")
 
 
-def test_bootstrap_paths_agree_and_stay_in_range(spark, monkeypatch):
+def test_bootstrap_of_small_and_large_cells_agrees_and_stays_in_range(spark, monkeypatch):
     t = bootstrap_tokens(spark)
     keys = ["replicate", "ran", "parent", "child", "side", "bin"]
 

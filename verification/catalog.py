@@ -678,7 +678,7 @@ def _bootstrap(spark, d):
 RESAMPLED = [q.TOKENS_CTE, q.TREATMENTS, q.SUMS, q.GRID, f"""
 pool AS (SELECT {q.CELL}, count, row_number() OVER (PARTITION BY {q.CELL} ORDER BY md5(token_id), token_id) - 1 AS pos, count(*) OVER (PARTITION BY {q.CELL}) AS n
   FROM tokens WHERE count IS NOT NULL),
-drawn AS (SELECT {q.CELL}, CAST(rep AS INT) AS replicate, {q.hash32("'42'", 'rep', "concat_ws('/', ran, parent, child, disc, tax, bin)", 'pos')} % n AS pos FROM pool, range(0, {REPLICATES}) x(rep)),
+drawn AS (SELECT {q.CELL}, CAST(rep AS INT) AS replicate, {q.hash32("'42'", 'rep', "concat_ws('/', ran, parent, child, disc, tax, bin)", 'pos // 4', word='pos % 4')} % n AS pos FROM pool, range(0, {REPLICATES}) x(rep)),
 bsums AS (SELECT replicate, {q.CELL}, sum(p.count) AS total FROM drawn JOIN pool p USING ({q.CELL}, pos) GROUP BY ALL),
 bfill AS (SELECT replicate, parent, child, disc, tax, bin, round(round(exp(avg(ln(1 + total))) - 1, 9)) AS fill FROM bsums GROUP BY ALL),
 bcells AS (SELECT CAST(rep AS INT) AS replicate, g.*, CASE WHEN g.ran = 'none' THEN f.fill ELSE s.total END AS count

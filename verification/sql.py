@@ -26,9 +26,9 @@ def logistic(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END)"
 
 
-def hash32(*parts: str) -> str:
+def hash32(*parts: str, word: str = "0") -> str:
     text = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({text}), CAST(({word}) * 8 + 1 AS INT), 8))::BIGINT"
 
 
 def gamma_poisson_log(y: str, m: str, v: str) -> str:
