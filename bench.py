@@ -13,7 +13,7 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = [
     "a1_cell_sums", "a3_fill_log", "a7_dispersion", "a11_residuals", "w6_ratio_scales", "w10_rank",
     "c5_peaks_three_scales", "c6_projected_points", "e6_parameters", "e8_initial_model", "m6_predictions",
-    "m17_objective", "m19_score_draws", "r1_bootstrap_counts", "r3_full_fit", "t10_summary", "p2_normal_qq",
+    "m17_objective", "m19_score_draws", "r1_bootstrap_counts", "t10_summary", "p2_normal_qq",
     "p12_density",
 ]
 

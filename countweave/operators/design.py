@@ -28,16 +28,16 @@ def levels(df: DataFrame, factors: list[str]) -> DataFrame:
     )
 
 
+def level_counts(level_table: DataFrame) -> DataFrame:
+    """How many levels each factor has, and whether they are enough for a fixed effect: factor, n_levels, enough."""
+    n = F.count(F.lit(1))
+    return level_table.groupBy("factor").agg(n.alias("n_levels"), (n >= 2).alias("enough"))
+
+
 def check_fixed_effects(level_table: DataFrame, fixed_effects: list[str]) -> None:
-    """Every fixed effect needs two levels or more."""
-    counts = {
-        r["factor"]: r["n"]
-        for r in level_table.where(F.col("factor").isin(*fixed_effects))
-        .groupBy("factor")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    thin = [f for f in fixed_effects if counts.get(f, 0) < 2]
+    """Every fixed effect needs two levels or more. One row per factor reaches the driver."""
+    found = level_counts(level_table.where(F.col("factor").isin(*fixed_effects))).where("enough").collect()
+    thin = [f for f in fixed_effects if f not in {r["factor"] for r in found}]
     if thin:
         raise ValueError(f"fixed effects with fewer than 2 levels: {thin}")
 

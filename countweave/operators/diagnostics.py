@@ -5,6 +5,8 @@ Only data; nothing is drawn.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from ..schema import NO_RANDOM_EFFECT, REFERENCE
 from ..sources.storage import materialize
 from . import ordering
 from .design import SERIES
+from .stats import autocorrelation
 
 SHAPIRO_SIZE = 35
 
@@ -327,6 +330,31 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = 512) -> Da
     return weights.groupBy(*keys).applyInPandas(smooth, schema)
 
 
+COMPARED = ("autocorrelation", "normality", "parameters")
+
+
+def compare_sources(draws: DataFrame, wanted: Sequence[str] = COMPARED) -> dict[str, DataFrame]:
+    """Chain and bootstrap draws side by side, each as densities per source.
+
+    ``autocorrelation`` and ``normality``: over parameters, one value each; a parameter without a value
+    has no part in it. ``parameters``: the draws of ten parameters equally spaced by their mean.
+    """
+    def over_parameters(table: DataFrame, value: str) -> DataFrame:
+        return density(materialize(table.where(F.col(value).isNotNull())), ["source"], value)
+
+    out = {}
+    if "autocorrelation" in wanted:
+        out["autocorrelation"] = over_parameters(autocorrelation(draws.where(~F.col("is_full_fit"))), "autocorrelation")
+    if "normality" in wanted:
+        out["normality"] = over_parameters(normality(draws), "normality")
+    if "parameters" in wanted:
+        means = materialize(draws.groupBy("source", "param_idx").agg(F.avg("value").alias("value")))
+        spaced = spaced_by_rank(means, ["source"], "value").select("source", "param_idx").distinct()
+        picked = materialize(draws.join(spaced, ["source", "param_idx"], "left_semi"))
+        out["parameters"] = density(picked, ["source", "param_idx"], "value")
+    return out
+
+
 def warp_curves(df: DataFrame, position: str, bound: float, w: float) -> DataFrame:
     """Each position unwarped, warped up and warped down: x, curve, y."""
     x = F.col(position).cast("double")

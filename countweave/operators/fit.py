@@ -1,10 +1,8 @@
 """Fitting: one independent problem per (replicate, child).
 
 The objective is a sum over children, so Spark schedules one task per
-(replicate, child) group. A child with more cells than fit one task is not
-gathered: its series are cut into blocks, every evaluation is a Spark job that
-adds up block values and gradients, and only the parameter vector of that one
-child visits the driver.
+(replicate, child), at any size. A group is the child's series, one array of
+bins each: it grows with the grid of that child, not with its tokens.
 """
 
 from __future__ import annotations
@@ -15,14 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import model
-from ..functions.hashing import hash32
 from ..functions.likelihood import Block, ParentBlock, minimise
 from ..schema import COMPONENTS, NO_RANDOM_EFFECT, ModelSettings
-from ..sources.storage import materialize
 from . import curve
 from .design import targets
 
-CELLS_PER_TASK = 4_000_000
 FEASIBLE_AT = 0.01
 WARP_OF = {"Rt": "rate", "tslope": "slope", "tpoint": "point"}
 FULL_FIT = -1
@@ -109,21 +104,11 @@ def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run, schema:
     return renamed[0].groupBy(*keys).cogroup(renamed[1].groupBy(*keys)).applyInPandas(run, schema)
 
 
-def _sizes(series: DataFrame, n_bins: int, limit: int) -> list[str]:
-    """Children whose cells of one replicate exceed the limit."""
-    rows = series.groupBy("replicate", "child").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") * n_bins > limit).select("child").distinct().collect()
-    return [r["child"] for r in rows]
-
-
-def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: ModelSettings,
-                  cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: ModelSettings) -> DataFrame:
     """Parameters of every (replicate, child), moved into the feasible region where needed.
 
     Takes the tables of :func:`series_for_fit` and :func:`params_for_fit`.
     """
-    large = _sizes(series, n_bins, cells_per_task)
-
     def move(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if len(s) == 0 or len(p) == 0:
             return pd.DataFrame({"replicate": [], "param_idx": [], "value": []})
@@ -133,100 +118,10 @@ def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: M
         return pd.DataFrame({"replicate": p["replicate"].to_numpy(), "param_idx": p["param_idx"].to_numpy(),
                              "value": theta})
 
-    keep = ~F.col("child").isin(*large) if large else F.lit(True)
-    moved = _cogrouped(series.where(keep), params.where(keep), ["replicate", "child"], move,
-                       "replicate int, param_idx bigint, value double")
-    for child in large:
-        for part in _by_replicate(series, params, child):
-            far = SpreadObjective(part, n_bins, settings)
-            theta = _reach_feasible(far, far.start, (far.params["kind"] == "wfactor").to_numpy(), settings)
-            moved = moved.unionByName(far.table(theta).select("replicate", "param_idx", "value"))
+    moved = _cogrouped(series, params, ["replicate", "child"], move, "replicate int, param_idx bigint, value double")
     return params.drop("value").join(moved, ["replicate", "param_idx"])
 
 
-def _by_replicate(series, params, child):
-    s, p = series.where(F.col("child") == child), params.where(F.col("child") == child)
-    for r in [row["replicate"] for row in p.select("replicate").distinct().collect()]:
-        yield s.where(F.col("replicate") == r), p.where(F.col("replicate") == r)
-
-
-class SpreadObjective:
-    """Objective of one large child; every evaluation adds up blocks in a Spark job.
-
-    The driver holds that child's parameter vector, nothing that grows with its cells.
-    """
-
-    def __init__(self, part, n_bins: int, settings: ModelSettings, scale: float | None = None,
-                 series_per_block: int | None = None):
-        series, params = part
-        self.params = params.toPandas().sort_values("param_idx").reset_index(drop=True)
-        self.start = self.params["value"].to_numpy(dtype=float)
-        self.n_bins, self.settings, self.scale = n_bins, settings, scale
-        per = series_per_block or max(1, CELLS_PER_TASK // (8 * n_bins))
-        blocks = F.lit(max(1, -(-series.count() // per)))
-        # a ran level stays in one block, so blocks share no warp gradients
-        self.series = materialize(series.withColumn("_block", hash32("ran") % blocks).repartition("_block"))
-
-    def _added_up(self, theta, measure):
-        """Sum a block measure, (value, likelihood, gradient), over all blocks in one Spark job.
-
-        Blocks send non-zero gradient entries only; they are summed per
-        parameter before they reach the driver.
-        """
-        params, n_bins, settings, scale, start = self.params, self.n_bins, self.settings, self.scale, self.start
-        theta = np.array(theta)
-
-        def run(s: pd.DataFrame) -> pd.DataFrame:
-            block, _ = build_block(s, params, n_bins, settings)
-            if scale is not None:
-                block.start_penalty(start, scale)
-            f, nll, g = measure(block, theta)
-            at = np.flatnonzero(g)
-            return pd.DataFrame({"i": np.r_[-2, -1, at], "d": np.r_[nll, f, g[at]]})
-
-        parts = self.series.groupBy("_block").applyInPandas(run, "i bigint, d double")
-        rows = parts.groupBy("i").agg(F.sum("d").alias("d")).toPandas().set_index("i")["d"]
-        g = np.zeros(len(params))
-        at = rows.index[rows.index >= 0]
-        g[at] = rows[at]
-        return float(rows[-1]), float(rows[-2]), g
-
-    def value(self, theta):
-        f, nll, g = self._added_up(theta, lambda block, t: block.value(t))
-        if f >= curve.BAD_OBJECTIVE:
-            return curve.BAD_OBJECTIVE, curve.BAD_OBJECTIVE, np.zeros_like(g)
-        return f, nll, g
-
-    def shortfall(self, theta, target):
-        def measure(block, t):
-            f, g = block.shortfall(t, target)
-            return f, 0.0, g
-
-        f, _, g = self._added_up(theta, measure)
-        return f, g
-
-    def _over_blocks(self, theta, measure):
-        """Smallest value of a block measure."""
-        params, n_bins, settings = self.params, self.n_bins, self.settings
-        theta = np.array(theta)
-
-        def run(s: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"f": [float(measure(build_block(s, params, n_bins, settings)[0], theta))]})
-
-        return self.series.groupBy("_block").applyInPandas(run, "f double").agg(F.min("f")).first()[0]
-
-    def closest(self, theta):
-        return self._over_blocks(theta, lambda block, t: block.closest(t)[0]), None
-
-    def nonnegative(self, theta):
-        return self._over_blocks(theta, lambda block, t: block.nonnegative(t)) == 1.0
-
-    def table(self, theta) -> DataFrame:
-        out = self.params[["replicate", "child", "param_idx"]].assign(value=np.array(theta, dtype=float))
-        return self.series.sparkSession.createDataFrame(
-            out, "replicate int, child string, param_idx bigint, value double")
-
-
 def penalty_scales(series: DataFrame, params: DataFrame, pairs: DataFrame, n_bins: int,
                    settings: ModelSettings) -> DataFrame:
     """Penalty scale of every replicate from its total starting likelihood and number of distances."""
@@ -245,15 +140,12 @@ def penalty_scales(series: DataFrame, params: DataFrame, pairs: DataFrame, n_bin
     return totals.select(*rep, F.sqrt(F.col("_n") / (nll * settings.max_penalty_at_distance_factor)).alias("scale"))
 
 
-def fit(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings,
-        cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+def fit(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings) -> DataFrame:
     """Minimise the penalised objective of every (replicate, child).
 
     ``scales``: replicate, scale. Returns one row per parameter with the fit's
     status, objective, likelihood and evaluations.
     """
-    large = _sizes(series, n_bins, cells_per_task)
-
     def solve(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if len(s) == 0 or len(p) == 0:
             return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
@@ -267,22 +159,12 @@ def fit(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, se
             "param_idx": p["param_idx"].to_numpy(), "value": best, "status": status, "objective": f,
             "neg_loglik": block.value(best)[1], "evals": evals})
 
-    keep = ~F.col("child").isin(*large) if large else F.lit(True)
-    scaled = params.join(scales, "replicate")
-    out = _cogrouped(series.where(keep), scaled.where(keep), ["replicate", "child"], solve, FIT_SCHEMA)
-    for child in large:
-        for part in _by_replicate(series, scaled, child):
-            far = SpreadObjective(part, n_bins, settings, float(part[1].select("scale").first()[0]))
-            best, f, status, evals = minimise(
-                lambda t: far.value(t)[::2], far.start, settings.ctol, settings.max_evals)
-            out = out.unionByName(far.table(best).select(
-                "*", F.lit(status).alias("status"), F.lit(float(f)).alias("objective"),
-                F.lit(float(far.value(best)[1])).alias("neg_loglik"), F.lit(evals).alias("evals")))
-    return out
+    return _cogrouped(series, params.join(scales, "replicate"), ["replicate", "child"], solve, FIT_SCHEMA)
 
 
 CHAIN_SCHEMA = ("chain int, child string, draw_id int, param_idx bigint, value double, objective double, "
                 "neg_loglik double, acceptance double, proposals bigint")
+# When a chain counts as stuck.
 STUCK_AFTER = 200
 STUCK_BELOW = 0.01
 MAX_RESTARTS = 50
@@ -325,13 +207,9 @@ def _walk(block, theta, prior_on, steps, every, step_size, prior_sd, rng):
 
 
 def chains(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings,
-           steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1,
-           cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+           steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1) -> DataFrame:
     """Draws of independent chains, one task per (chain, child).
 
-    A child too large for one task walks with every proposal evaluated as a
-    Spark job over its blocks.
-
     ``params`` holds the starting point (usually the full-data fit). Children
     walk separately: the posterior is a product over them.
     """
@@ -355,15 +233,5 @@ def chains(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int,
         return draw(block, theta, key[0], key[1], p)
 
     copies = F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1))).alias("chain")
-    large = _sizes(series, n_bins, cells_per_task)
-    keep = ~F.col("child").isin(*large) if large else F.lit(True)
-    scaled = params.join(scales, "replicate")
-    out = _cogrouped(series.where(keep).select(copies, "*"), scaled.where(keep).select(copies, "*"),
-                     ["chain", "child"], sample, CHAIN_SCHEMA)
-    for child in large:
-        for part in _by_replicate(series, scaled, child):
-            far = SpreadObjective(part, n_bins, settings, float(part[1].select("scale").first()[0]))
-            for chain in range(n_chains):
-                walk = draw(far, far.start, chain, child, far.params)
-                out = out.unionByName(series.sparkSession.createDataFrame(walk, CHAIN_SCHEMA))
-    return out
+    return _cogrouped(series.select(copies, "*"), params.join(scales, "replicate").select(copies, "*"),
+                      ["chain", "child"], sample, CHAIN_SCHEMA)

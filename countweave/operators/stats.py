@@ -26,6 +26,12 @@ def thin(draws: DataFrame, accepted_rank: str, every: int) -> DataFrame:
     return draws.where(F.col(accepted_rank) % every == 0)
 
 
+def convergence(diagnostics: DataFrame, least_share: float = 0.9) -> DataFrame:
+    """One row: draws, share of them whose fit converged, and whether that is enough to use only those."""
+    share = F.avg((F.col("status") == CONVERGED).cast("int"))
+    return diagnostics.agg(F.count(F.lit(1)).alias("draws"), share.alias("share"), (share >= least_share).alias("enough"))
+
+
 def keep_converged(draws: DataFrame, diagnostics: DataFrame | None, least_share: float = 0.9,
                    converged_only: bool = True) -> DataFrame:
     """Draws whose fit converged; all of them when fewer than ``least_share`` did.

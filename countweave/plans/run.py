@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells, curve, diagnostics, effects, fit, resample, stats
@@ -26,6 +28,7 @@ class FittedModel:
     residuals: DataFrame
     chain_draws: DataFrame | None = None
     chain_diagnostics: DataFrame | None = None
+    alpha: float = 0.05
     extra: dict = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
@@ -34,13 +37,23 @@ class FittedModel:
             "cells": self.predicted, "params": self.params, "dispersion": s.dispersion, "levels": s.levels,
             "treatments": s.treatments, "effect_pairs": s.pairs, "change_points": s.change_points,
             "draws": self.draws, "draw_diagnostics": self.draw_diagnostics, "stats": self.stats,
-            "residuals": self.residuals,
+            "residuals": self.residuals, "reference_pools": cells.fill_none(s.sums),
+            "settings": settings_table(self.params.sparkSession, s.settings, s.n_bins),
+            "recommended_draws": stats.recommended_draws(self.params, self.alpha).withColumn(
+                "actual_draws", self.draws.agg(F.countDistinct("draw_id")).scalar()),
+            **self.extra,
         }
         if self.chain_draws is not None:
             out |= {"chain_draws": self.chain_draws, "chain_diagnostics": self.chain_diagnostics}
         return out
 
 
+def settings_table(spark: SparkSession, settings: ModelSettings, n_bins: int) -> DataFrame:
+    """Settings of a model, one row each: name, value as text."""
+    rows = [(f.name, str(getattr(settings, f.name))) for f in dataclasses.fields(settings)] + [("n_bins", str(n_bins))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 def _fit_start(start: initial.InitialModel, series: DataFrame, dispersion: DataFrame, params: DataFrame,
                replicate: bool):
     ready = materialize(fit.series_for_fit(series, dispersion, replicate))
@@ -139,6 +152,9 @@ def run(data: DataFrame, variables: Variables | dict | None = None, settings: Mo
         boot = bootstrap_fits(tokens, start, bootstraps)
         draws, diag = draws_of_fits(fits.unionByName(boot), "bootstrap")
         used = stats.keep_converged(draws, diag, converged_only=converged_only)
+        seen = stats.convergence(diag).first()
+        if converged_only and not seen["enough"]:
+            warnings.warn(f"only {seen['share']:.0%} of {seen['draws']} fits converged; all draws are used", stacklevel=2)
     else:
         draws, diag, used = chain_draws, chain_diag, chain_draws
     estimates = stats.median_values(draws) if use_median else stats.full_fit_values(draws)
@@ -146,8 +162,16 @@ def run(data: DataFrame, variables: Variables | dict | None = None, settings: Mo
     params = start.params.drop("value").join(
         estimates.select("param_idx", F.col("estimate").alias("value")), "param_idx")
     predicted = materialize(curve.predicted_cells(start.series, params, start.pairs, start.n_bins, settings))
-    return FittedModel(
-        start, params, predicted, draws, diag, stats.summary(used, params, estimates, alpha, method),
-        cells.residual_table(predicted), chain_draws, chain_diag,
-        {"residual_groups": diagnostics.residual_groups(predicted)},
-    )
+    summary = materialize(stats.summary(used, params, estimates, alpha, method))
+    extra = {
+        "residual_groups": diagnostics.residual_groups(predicted),
+        "rate_count": diagnostics.rate_count(predicted),
+        "effect_histograms": diagnostics.effect_histograms(used, params),
+        "parameter_rows": diagnostics.parameter_rows(params, summary, used),
+        "objective_traces": diagnostics.objective_traces(diag),
+    }
+    if bootstraps > 0 and chain is not None:
+        both = materialize(draws.unionByName(chain_draws))
+        extra |= {f"compared_{name}": t for name, t in diagnostics.compare_sources(both).items()}
+    return FittedModel(start, params, predicted, draws, diag, summary, cells.residual_table(predicted), chain_draws,
+                       chain_diag, alpha, extra)

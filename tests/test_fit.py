@@ -85,39 +85,6 @@ def test_fit_improves_and_converges(fitted):
         assert r["objective"] < block.value(theta)[0] and r["status"] in (3, 4)
 
 
-def test_spread_fit_equals_the_local_one(fitted, monkeypatch):
-    ready, begin, scales = fitted[1]
-    part = (ready.where("child = 'N'"), begin.where("child = 'N'"))
-    block, theta = local_block(fitted, "N")
-    far = fit.SpreadObjective(part, fx.N_BINS, fx.SETTINGS, scales.first()["scale"], series_per_block=9)
-    assert far.series.select("_block").distinct().count() > 1
-    for t in (theta, theta * 1.01):
-        want, got = block.value(t), far.value(t)
-        np.testing.assert_allclose(got[:2], want[:2], rtol=1e-9)
-        np.testing.assert_allclose(got[2], want[2], rtol=1e-6, atol=1e-6)
-    np.testing.assert_allclose(far.closest(theta)[0], block.closest(theta)[0])
-    np.testing.assert_allclose(far.shortfall(theta - 3, 0.02)[0], block.shortfall(theta - 3, 0.02)[0])
-    assert far.nonnegative(theta) == block.nonnegative(theta)
-    import dataclasses
-    few = dataclasses.replace(fx.SETTINGS, max_evals=4)
-    ready_n, begin_n = part
-    local = fit.fit(ready_n, begin_n, scales, fx.N_BINS, few).orderBy("param_idx").toPandas()
-    spread = fit.fit(ready_n, begin_n, scales, fx.N_BINS, few, cells_per_task=100).orderBy("param_idx").toPandas()
-    np.testing.assert_allclose(spread.value, local.value, rtol=1e-6, atol=1e-8)
-    assert set(spread.status) == set(local.status) == {5}
-
-
-def test_spread_chain_equals_the_local_one(fitted):
-    ready, begin, scales = fitted[1]
-    part = (ready.where("child = 'R'"), begin.where("child = 'R'"), scales, fx.N_BINS, fx.SETTINGS, 2, 1, 0.001, 1.0)
-    keys = ["chain", "draw_id", "param_idx"]
-    local = fit.chains(*part).toPandas().sort_values(keys)
-    spread = fit.chains(*part, cells_per_task=100).toPandas().sort_values(keys)
-    assert len(local) == 2 * part[1].count()
-    np.testing.assert_allclose(spread.value, local.value, rtol=1e-9)
-    np.testing.assert_allclose(spread.objective, local.objective, rtol=1e-8)
-
-
 def test_infeasible_start_is_moved_inside(start):
     moved = start.params.withColumn("value", F.when(
         (F.col("kind") == "baseline") & (F.col("component") == "tpoint") & (F.col("k") == 0), 45.0).otherwise(F.col("value")))
@@ -153,7 +120,12 @@ def test_whole_run(spark, sf_dir):
     assert len(d) == 4 and d.is_full_fit.sum() == 1 and (d.objective >= d.neg_loglik).all()
     assert out.chain_draws.where("not is_full_fit").count() == 100 * n
     assert out.residuals.count() == 1 + 4 + 4 + 6
-    assert set(out.tables()) >= {"cells", "params", "draws", "stats", "chain_draws"}
+    bundle = out.tables()
+    assert set(bundle) >= {"cells", "params", "draws", "stats", "chain_draws", "reference_pools", "settings",
+                           "parameter_rows", "objective_traces", "compared_parameters"}
+    assert bundle["settings"].where("name = 'n_bins'").first()["value"] == str(fx.N_BINS)
+    assert bundle["recommended_draws"].first()["actual_draws"] == 4
+    assert bundle["compared_autocorrelation"].where("source = 'chain'").count() == 512
     tested = out.stats.where("p_value is not null").count()
     assert tested == out.params.where("kind = 'beta'").count()
     with pytest.raises(ValueError):

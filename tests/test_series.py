@@ -189,3 +189,20 @@ def test_missing_value_only_spoils_what_depends_on_it(spark):
     y = spark.createDataFrame([("ref", 1.0), ("b", 3.0), ("v", None), ("bv", 9.0)], "treatment string, value double")
     got = {r["treatment"]: r["value"] for r in effects.split_effects(y, pairs, []).collect()}
     assert got == {"ref": 1.0, "b": 2.0, "v": None, "bv": None}
+
+
+def test_six_factors_split_and_combine(spark):
+    names = list("uvwxyz")
+    level_table = spark.createDataFrame(
+        [(f, f"{f}{i}", i, i == 0) for f in names for i in range(2)],
+        "factor string, level string, level_idx int, is_ref boolean")
+    table = design.treatments(level_table, names)
+    pairs = design.effect_pairs(table)
+    assert table.count() == 64 and pairs.count() == 3**6
+    y = table.select("treatment", (F.col("treatment_idx") * F.col("treatment_idx")).cast("double").alias("value"))
+    b = effects.split_effects(y, pairs, [])
+    assert "Subquery" not in b._jdf.queryExecution().executedPlan().toString()
+    back = {r["treatment"]: r["value"] for r in effects.combine_effects(b, pairs, []).collect()}
+    assert back == {r["treatment"]: r["value"] for r in y.collect()}
+    gone = effects.split_effects(y.where("treatment_idx > 0"), pairs, []).where("value IS NOT NULL")
+    assert gone.count() == 0

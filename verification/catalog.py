@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,13 +12,13 @@ from pyspark.sql import functions as F
 from countweave.functions import model
 from countweave.functions.special import log_gamma, normal_quantile
 from countweave.operators import (
-    cells, changepoints, curve, design, diagnostics, effects, fit, masks, ordering, resample, stats, windows,
+    cells, changepoints, curve, design, diagnostics, effects, masks, ordering, resample, stats, windows,
 )
 from countweave.plans import initial
 from countweave.plans import run as run_plan
-from countweave.schema import select_model_columns
+from countweave.schema import Variables, select_model_columns
 from countweave.sources import tables
-from countweave.sources.storage import materialize
+from countweave.sources.storage import materialize, shared_folder
 
 from . import fixtures as fx
 from . import sql as q
@@ -60,12 +61,14 @@ S = q.SERIES
 # --- sources and masks ---------------------------------------------------------------------------
 
 
-@check("s1_load_tokens", q.query(TOKENS, "SELECT count, bin, parent, child, ran, disc, tax, token_id FROM tokens"))
-def s1(spark, d):
-    import dataclasses
+FILE_VARIABLES = Variables(count="l_quantity", bin="l_linenumber", parent="l_linestatus", child="l_returnflag",
+                           ran="l_suppkey", fixed_effects=("l_discount", "l_tax"))
+
 
-    cols = fx.raw_tokens(spark, d)
-    return tables.select_model_columns(cols, dataclasses.replace(fx.VARIABLES))
+@check("s1_load_tokens", """SELECT l_quantity AS count, CAST(l_linenumber AS INT) AS bin, l_linestatus AS parent, l_returnflag AS child,
+  CAST(l_suppkey AS VARCHAR) AS ran, CAST(l_discount AS VARCHAR) AS l_discount, CAST(l_tax AS VARCHAR) AS l_tax FROM lineitem""")
+def s1(spark, d):
+    return tables.read_tokens(spark, f"{d}/lineitem.parquet", FILE_VARIABLES, "parquet")
 
 
 @check("s2_column_means", """SELECT name, round(mean, 6) + 0.0 AS mean FROM (
@@ -88,6 +91,23 @@ def s7(spark, d):
     return cells.drop_missing(fx.tokens_null(spark, d))
 
 
+@check("s5_level_counts", q.query(TOKENS, """SELECT factor, count(DISTINCT level) AS n_levels, count(DISTINCT level) >= 2 AS enough FROM (
+  SELECT unnest(['ran', 'parent', 'child', 'disc', 'tax']) AS factor, unnest([ran, parent, child, disc, tax]) AS level FROM tokens) GROUP BY ALL"""))
+def s5(spark, d):
+    return design.level_counts(fx.levels_and_treatments(spark, d)[0])
+
+
+@check("s8_results_bundle", q.query([q.TOKENS_CTE, q.SUMS], """SELECT 'reference_pools' AS part, parent AS a, child AS b, bin, CAST(count(*) AS DOUBLE) AS n FROM sums WHERE n_tokens > 0 GROUP BY parent, child, disc, tax, bin
+  UNION ALL SELECT 'sums', ran, child, bin, n_tokens FROM sums"""))
+def s8(spark, d):
+    sums = fx.sums(spark, d)
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    tables.write_bundle({"sums": sums, "reference_pools": cells.fill_none(sums)}, path)
+    back = tables.read_bundle(spark, path, ["sums", "reference_pools"])
+    row = lambda name, a, n: back[name].select(F.lit(name).alias("part"), F.col(a).alias("a"), F.col("child").alias("b"), "bin", F.col(n).cast("double").alias("n"))
+    return row("sums", "ran", "n_tokens").unionByName(row("reference_pools", "parent", "pool_size"))
+
+
 @check("s9_mask_rows", q.query(TOKENS, "SELECT token_id FROM tokens WHERE ran = 's1' AND child = 'A'"))
 def s9(spark, d):
     t = fx.tokens(spark, d)
@@ -334,8 +354,11 @@ def w8(spark, d):
     return rounded(windows.differences(fx.cells(spark, d), SERIES, "count", "step").select(*SERIES, "bin", "step"), ["step"], 4)
 
 
-@check("w9_autocorrelation", q.query([q.DRAWS], """SELECT source, param_idx, round(corr(p, value), 6) + 0.0 AS autocorrelation FROM (
-  SELECT source, param_idx, value, lag(value) OVER (PARTITION BY source, param_idx ORDER BY draw_id) AS p FROM d0) WHERE p IS NOT NULL GROUP BY ALL"""))
+AUTOCORRELATION = """SELECT source, param_idx, corr(p, value) AS autocorrelation FROM (
+  SELECT source, param_idx, value, lag(value) OVER (PARTITION BY source, param_idx ORDER BY draw_id) AS p FROM d0) WHERE p IS NOT NULL GROUP BY ALL"""
+
+
+@check("w9_autocorrelation", q.query([q.DRAWS], f"SELECT source, param_idx, {r('autocorrelation')} AS autocorrelation FROM ({AUTOCORRELATION})"))
 def w9(spark, d):
     walk = fx.draws(spark, d)[0].where("not is_full_fit")
     return rounded(stats.autocorrelation(walk), ["autocorrelation"])
@@ -717,40 +740,6 @@ def r2c(spark, d):
     return params
 
 
-@check("r3_full_fit")
-def r3(spark, d):
-    return run_plan.full_fit(initial.build(fx.tokens(spark, d), fx.SETTINGS, fx.N_BINS))[0]
-
-
-@check("r4_feasible_start")
-def r4(spark, d):
-    m = initial.build(fx.tokens(spark, d), fx.SETTINGS, fx.N_BINS)
-    # push the first transition past the second, which no constraint allows
-    moved = m.params.withColumn("value", F.when(
-        (F.col("kind") == "baseline") & (F.col("component") == "tpoint") & (F.col("k") == 0),
-        F.col("value") + 16.0).otherwise(F.col("value")))
-    return fit.make_feasible(fit.series_for_fit(m.series, m.dispersion, False),
-                             fit.params_for_fit(moved, m.pairs, False), fx.N_BINS, fx.SETTINGS
-                             ).select("param_idx", "child", "kind", "component", "k", "value")
-
-
-@check("r5_bootstrap_fits")
-def r5(spark, d):
-    t = fx.tokens(spark, d)
-    m = initial.build(t, fx.SETTINGS, fx.N_BINS)
-    fits = run_plan.full_fit(m)[0].unionByName(run_plan.bootstrap_fits(t, m, REPLICATES))
-    return run_plan.draws_of_fits(fits, "bootstrap")[1]
-
-
-@check("r6_chain_draws")
-def r6(spark, d):
-    m = initial.build(fx.tokens(spark, d), fx.SETTINGS, fx.N_BINS)
-    fits, (ready, begin, scales) = run_plan.full_fit(m)
-    at = begin.drop("value").join(fits.select("param_idx", "value"), "param_idx")
-    walk = fit.chains(ready, at, scales, fx.N_BINS, fx.SETTINGS, 100, 2, 0.005, 1.0)
-    return run_plan.chain_tables(walk, fits)[0]
-
-
 # --- statistics over draws -----------------------------------------------------------------------
 
 DRAWS = [q.DRAWS, q.BOOT]
@@ -781,6 +770,11 @@ def t3b(spark, d):
     return rounded(out.select("param_idx", "draw_id", "value"), ["value"])
 
 
+@check("t3_convergence", q.query([q.DIAG], f"SELECT count(*) AS draws, {r('avg((status = 3)::INT)')} AS share, avg((status = 3)::INT) >= 0.9 AS enough FROM diag"))
+def t3c(spark, d):
+    return rounded(stats.convergence(fx.draw_diagnostics(spark, d)), ["share"])
+
+
 @check("t4_p_values", q.query(TESTS, f"SELECT param_idx, {r('p_value')} AS p_value FROM pv"))
 def t4(spark, d):
     b = fx.boot_draws(spark, d)[0]
@@ -975,14 +969,17 @@ _W = "[" + ", ".join(repr(w) for w in diagnostics._shapiro_weights(35)) + "]"
 _Z = (f"((ln(w) - {q.poly('ln(35::DOUBLE)', diagnostics.SHAPIRO_MEAN)}) / exp({q.poly('ln(35::DOUBLE)', diagnostics.SHAPIRO_LOG_SD)}))")
 
 
-@check("p10_normality", q.query([q.DRAWS, f"""
+NORMALITY = [f"""
 placed AS (SELECT source, param_idx, value, row_number() OVER (PARTITION BY source, param_idx ORDER BY draw_id) - 1 AS at_, count(*) OVER (PARTITION BY source, param_idx) AS n FROM draws),
 slots AS (SELECT source, param_idx, slot // 35 AS sample, {q.hash32("'1234'", 'source', 'param_idx', 'slot')} % n AS at_
   FROM (SELECT DISTINCT source, param_idx, n FROM placed), range(0, 3500) s(slot)),
 samples AS (SELECT source, param_idx, sample, list(value ORDER BY value) AS xs FROM slots JOIN placed USING (source, param_idx, at_) GROUP BY ALL),
 ws AS (SELECT source, param_idx, CASE WHEN xs[1] <> xs[35] THEN greatest(1 - pow(list_inner_product(xs, {_W}), 2) / (35 * list_var_pop(xs)), 1e-19) END AS w FROM samples),
-ps AS (SELECT source, param_idx, {q.normal_cdf('(-' + _Z + ')')} AS p, w FROM ws)"""],
-  f"SELECT source, param_idx, CASE WHEN count(w) = 100 THEN {r('avg(CASE WHEN w IS NOT NULL THEN p END)')} END AS normality FROM ps GROUP BY ALL"))
+ps AS (SELECT source, param_idx, {q.normal_cdf('(-' + _Z + ')')} AS p, w FROM ws),
+nm0 AS (SELECT source, param_idx, CASE WHEN count(w) = 100 THEN avg(CASE WHEN w IS NOT NULL THEN p END) END AS normality FROM ps GROUP BY ALL)"""]
+
+
+@check("p10_normality", q.query([q.DRAWS, *NORMALITY], f"SELECT source, param_idx, {r('normality')} AS normality FROM nm0"))
 def p10(spark, d):
     return rounded(diagnostics.normality(materialize(fx.draws(spark, d)[0])), ["normality"])
 
@@ -995,23 +992,39 @@ def p11(spark, d):
     return rounded(diagnostics.spaced_by_rank(materialize(means), ["source"], "value"), ["value"])
 
 
-KDE = ["""
-kb AS (SELECT param_idx, count(*) AS n, min(value) AS lo, max(value) AS hi, 0.9 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw FROM boot GROUP BY ALL),
+def kde(key: str, value: str, source: str) -> str:
+    return f"""
+kb AS (SELECT {key}, count(*) AS n, min({value}) AS lo, max({value}) AS hi, 0.9 * least(stddev_samp({value}), (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw FROM {source} GROUP BY ALL),
 ke AS (SELECT *, lo - 7 * bw AS l, (hi - lo + 14 * bw) / 511.0 AS dx FROM kb),
-kp AS (SELECT param_idx, (value - l) / dx AS u FROM boot JOIN ke USING (param_idx)),
-kw AS (SELECT param_idx, g, sum(w) AS w FROM (SELECT param_idx, floor(u) AS g, 1 - (u - floor(u)) AS w FROM kp UNION ALL SELECT param_idx, floor(u) + 1, u - floor(u) FROM kp) GROUP BY ALL),
-kg AS (SELECT e.param_idx, j, sum(w / n * exp(-0.5 * pow((j - g) * dx / bw, 2)) / (bw * sqrt(2 * pi()))) AS y FROM ke e JOIN range(0, 512) s(j) ON true JOIN kw USING (param_idx) GROUP BY e.param_idx, j),
-kx AS (SELECT param_idx, CAST(i + 1 AS INT) AS i, lo - 3 * bw + i * (hi - lo + 6 * bw) / 511.0 AS x, l, dx FROM ke, range(0, 512) s(i)),
-kd AS (SELECT k.param_idx, k.i, k.x, a.y + ((k.x - k.l) / k.dx - floor((k.x - k.l) / k.dx)) * (b.y - a.y) AS y FROM kx k
-  JOIN kg a ON a.param_idx = k.param_idx AND a.j = CAST(floor((k.x - k.l) / k.dx) AS BIGINT) JOIN kg b ON b.param_idx = k.param_idx AND b.j = a.j + 1)"""]
+kp AS (SELECT {key}, ({value} - l) / dx AS u FROM {source} JOIN ke USING ({key})),
+kw AS (SELECT {key}, g, sum(w) AS w FROM (SELECT {key}, floor(u) AS g, 1 - (u - floor(u)) AS w FROM kp UNION ALL SELECT {key}, floor(u) + 1, u - floor(u) FROM kp) GROUP BY ALL),
+kg AS (SELECT e.{key}, j, sum(w / n * exp(-0.5 * pow((j - g) * dx / bw, 2)) / (bw * sqrt(2 * pi()))) AS y FROM ke e JOIN range(0, 512) s(j) ON true JOIN kw USING ({key}) GROUP BY e.{key}, j),
+kx AS (SELECT {key}, CAST(i + 1 AS INT) AS i, lo - 3 * bw + i * (hi - lo + 6 * bw) / 511.0 AS x, l, dx FROM ke, range(0, 512) s(i)),
+kd AS (SELECT k.{key}, k.i, k.x, a.y + ((k.x - k.l) / k.dx - floor((k.x - k.l) / k.dx)) * (b.y - a.y) AS y FROM kx k
+  JOIN kg a ON a.{key} = k.{key} AND a.j = CAST(floor((k.x - k.l) / k.dx) AS BIGINT) JOIN kg b ON b.{key} = k.{key} AND b.j = a.j + 1)"""
 
 
-@check("p12_density", q.query([*DRAWS, *KDE], f"SELECT param_idx, i, {r('x - arg_max(x, y) OVER (PARTITION BY param_idx)')} AS x, {r('ln(1 + y)')} AS log_density FROM kd"))
+@check("p12_density", q.query([*DRAWS, kde("param_idx", "value", "boot")], f"SELECT param_idx, i, {r('x - arg_max(x, y) OVER (PARTITION BY param_idx)')} AS x, {r('ln(1 + y)')} AS log_density FROM kd"))
 def p12(spark, d):
     out = diagnostics.density(fx.boot_draws(spark, d)[0], ["param_idx"], "value")
     return rounded(out, ["x", "log_density"])
 
 
+OVER_SOURCES = f"SELECT source, i, {r('x - arg_max(x, y) OVER (PARTITION BY source)')} AS x, {r('ln(1 + y)')} AS log_density FROM kd"
+
+
+@check("p12_autocorrelation_density", q.query([q.DRAWS, f"ac AS ({AUTOCORRELATION})", kde("source", "autocorrelation", "ac")], OVER_SOURCES))
+def p12b(spark, d):
+    out = diagnostics.compare_sources(materialize(fx.draws(spark, d)[0]), ["autocorrelation"])["autocorrelation"]
+    return rounded(out, ["x", "log_density"])
+
+
+@check("p12_normality_density", q.query([q.DRAWS, *NORMALITY, "nm AS (SELECT * FROM nm0 WHERE normality IS NOT NULL)", kde("source", "normality", "nm")], OVER_SOURCES))
+def p12c(spark, d):
+    out = diagnostics.compare_sources(materialize(fx.draws(spark, d)[0]), ["normality"])["normality"]
+    return rounded(out, ["x", "log_density"])
+
+
 @check("p13_warp_curves", f"""SELECT DISTINCT l_quantity, curve, round(y, 6) + 0.0 AS y FROM (SELECT l_quantity, 'w = 0' AS curve, l_quantity AS y FROM lineitem
   UNION ALL SELECT l_quantity, 'w > 0', {q.warp('l_quantity', '100.0', '2.0')} FROM lineitem UNION ALL SELECT l_quantity, 'w < 0', {q.warp('l_quantity', '100.0', '(-2.0)')} FROM lineitem)""")
 def p13(spark, d):
