@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import SPAN, hash32
 
-BUCKETS = 128
+#: Rows for which a key gets one more value range; ranges a key gets at most, a power of two.
+RANGE_ROWS = 50_000
+BUCKETS = 1024
 SALTS = 32
 
 
@@ -28,13 +30,25 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], copies: int = SALTS
     return df.withColumn("_salt", salt).join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
-def _with_edges(df: DataFrame, keys: list[str], value: str | Column, buckets: int) -> DataFrame:
-    """Add per key an array of cut values from a mergeable, bounded quantile sketch."""
+def _with_edges(df: DataFrame, keys: list[str], value: str | Column, buckets: int, range_rows: int) -> DataFrame:
+    """Add ``_edges``, the cut values of a row's key, and ``_ranges``, how many ranges they make.
+
+    A key gets a range for every ``range_rows`` rows, cut by a mergeable, bounded
+    quantile sketch. Both are NULL for keys that one range holds, so only large
+    keys, at most one for every ``range_rows`` rows of the table, have facts to
+    join; those are repeated, so that the rows of a hot key are dealt over all
+    partitions.
+    """
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(value, cuts, 10000).alias("_edges")
-    if not keys:
-        return df.withColumn("_edges", df.agg(sketch).scalar())
-    return attach(df, df.groupBy(*keys).agg(sketch), keys)
+    found = df.groupBy(*keys).agg(F.count(value).alias("_rows"), F.percentile_approx(value, cuts, 10000).alias("_cuts"))
+    large = found.where(F.col("_rows") > range_rows).withColumn(
+        "_ranges", F.least(F.ceil(F.col("_rows") / range_rows), F.lit(buckets)).cast("int"))
+    edges = F.transform(F.sequence(F.lit(1), F.col("_ranges") - 1),
+                        lambda i: F.get("_cuts", F.floor(i * buckets / F.col("_ranges")).cast("int") - 1))
+    copies = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+    facts = large.select(*keys, "_ranges", edges.alias("_edges"), F.explode(salts).alias("_salt"))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(copies))).join(facts, [*keys, "_salt"], "left").drop("_salt")
 
 
 def _offsets(sizes: DataFrame, keys: list[str], bucket: list[str], total: str) -> DataFrame:
@@ -62,23 +76,29 @@ def _placed(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return out.withColumn("_at_edge", F.coalesce(F.get("_edges", F.col("_range")) == F.col(value), F.lit(False))).drop("_edges")
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, tie: Column, tie_chunk: float, name: str = "rank",
-           buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, tie: Column, tie_chunk: float | None, name: str = "rank",
+           buckets: int = BUCKETS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """1-based ascending rank of ``value`` within ``keys``; equal values go by ``tie``.
 
-    ``buckets``, a power of two, is the number of value ranges per key.
+    A key has a value range for every ``range_rows`` rows, at most ``buckets``
+    (a power of two); the ranks do not depend on either.
 
     ``tie`` is a number that tells equal values apart; values common enough to
-    be a cut value are split again into ranges of ``tie_chunk`` ties. Adds
+    be a cut value are split again into ranges of ``tie_chunk`` ties, or, where
+    that is None and ties are hashes, into as many ranges as the key has. Adds
     ``name`` and ``<name>_total``.
     """
+    if not keys:
+        whole = ranked(df.withColumn("_whole", F.lit(0)), ["_whole"], value, tie, tie_chunk, name, buckets, range_rows)
+        return whole.drop("_whole")
+    chunk = F.lit(SPAN) / F.col("_ranges") if tie_chunk is None else F.lit(tie_chunk)
     placed = (
-        _placed(_with_edges(df.where(F.col(value).isNotNull()), keys, value, buckets), value, buckets)
+        _placed(_with_edges(df.where(F.col(value).isNotNull()), keys, value, buckets, range_rows), value, buckets)
         .withColumn("_tie", tie)
         # never NULL: an inferred not-null test would pull the whole search into the join condition
-        .withColumn("_part", F.when(F.col("_at_edge"), F.coalesce(F.floor(F.col("_tie") / tie_chunk), F.lit(0)))
+        .withColumn("_part", F.when(F.col("_at_edge"), F.coalesce(F.floor(F.col("_tie") / chunk), F.lit(0)))
                     .otherwise(F.lit(-1)))
-        .drop("_at_edge")
+        .drop("_at_edge", "_ranges")
     )
     where = ["_range", "_part"]
     sizes = placed.groupBy(*keys, *where).agg(F.count(F.lit(1)).alias("_size"))
@@ -91,17 +111,20 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: Column, tie_chunk: f
     )
 
 
-def hash_tie(columns: list[str]) -> tuple[Column, float]:
-    """Tie number and chunk for rows that only have a compound key."""
-    return hash32(*columns), SPAN / 64
+def hash_tie(columns: list[str]) -> tuple[Column, None]:
+    """Tie number, and no chunk, for rows that only have a compound key."""
+    return hash32(*columns), None
 
 
-def distinct_positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def distinct_positions(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS,
+                       range_rows: int = RANGE_ROWS) -> DataFrame:
     """Distinct values per key with the 0-based sorted positions [first, last] they fill."""
+    if not keys:
+        return distinct_positions(df.withColumn("_whole", F.lit(0)), ["_whole"], value, buckets, range_rows).drop("_whole")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     # the cut values read the counts too, so that every branch shares one counting shuffle
     counted_value = F.when(F.col("_n") > 0, F.col(value))
-    placed = _placed(_with_edges(counted, keys, counted_value, buckets), value, buckets).drop("_at_edge")
+    placed = _placed(_with_edges(counted, keys, counted_value, buckets, range_rows), value, buckets).drop("_at_edge", "_ranges")
     sizes = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -113,13 +136,13 @@ def distinct_positions(df: DataFrame, keys: list[str], value: str, buckets: int
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, targets: DataFrame | dict[str, float],
-              buckets: int = BUCKETS) -> DataFrame:
+              buckets: int = BUCKETS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation at (n - 1) p.
 
     ``targets`` is either {output column: p}, the same for every key, or a
     table of ``keys`` with one probability column per output column.
     """
-    positions = distinct_positions(df, keys, value, buckets)
+    positions = distinct_positions(df, keys, value, buckets, range_rows)
     if isinstance(targets, dict):
         names = list(targets)
         wanted = positions.select("*", *[F.lit(p).alias(f"_p_{n}") for n, p in targets.items()])

@@ -33,6 +33,28 @@ def test_quantiles_equal_linear_interpolation(skewed):
         np.testing.assert_allclose(got.loc[g, list(ps)].astype(float), np.quantile(part.x, list(ps.values())))
 
 
+@pytest.mark.parametrize("range_rows", [100, 1000])
+def test_ranges_follow_the_rows_of_a_key(skewed, range_rows):
+    cut = ordering._with_edges(skewed, ["g"], "x", 64, range_rows).groupBy("g").agg(
+        F.max("_ranges").alias("n"), F.max(F.size("_edges")).alias("edges")).toPandas().set_index("g")
+    n_hot = min(64, -(-6000 // range_rows))
+    assert (cut.loc["hot", "n"], cut.loc["hot", "edges"]) == (n_hot, n_hot - 1) and np.isnan(cut.loc["cold", "n"])
+    tie, chunk = ordering.hash_tie(["g", "i"])
+    got = ordering.ranked(skewed.withColumn("t", tie), ["g"], "x", F.col("t"), chunk, buckets=64, range_rows=range_rows).toPandas()
+    assert len(got) == 6050
+    for _, part in got.groupby("g"):
+        part = part.sort_values("rank")
+        assert list(part["rank"]) == list(range(1, len(part) + 1))
+        pairs = list(zip(part.x, part.t))
+        assert pairs == sorted(pairs)
+    ps = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9987, "e": 1.0}
+    q = ordering.quantiles(skewed, ["g"], "x", ps, buckets=64, range_rows=range_rows).toPandas().set_index("g")
+    for g, part in skewed.toPandas().groupby("g"):
+        np.testing.assert_allclose(q.loc[g, list(ps)].astype(float), np.quantile(part.x, list(ps.values())))
+    whole = ordering.ranked(skewed, [], "x", F.col("i").cast("double"), 500.0, range_rows=range_rows).toPandas()
+    assert sorted(whole["rank"]) == list(range(1, 6051)) and "_whole" not in whole
+
+
 @pytest.mark.parametrize("chunk", [7, 100000])
 def test_successive_pairs_cross_chunks(skewed, chunk):
     got = ordering.successive_pairs(skewed, ["g"], "i", "x", chunk).groupBy("g").agg(
