@@ -80,3 +80,22 @@ def test_sequences_hold_the_ids(docs, spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_of_mixed_white_space():
+    """Texts are encoded in chunks; runs of unlike spaces, controls and letters must not show it."""
+    import pyarrow as pa
+
+    from countweave.llm import arrays
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rnd = np.random.default_rng(3)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "\x0c", "\r", " ", " ", "　", "\x85", "\x1c", "\x00", "​",
+            "a", "be", "12", "é", "!", "--", "'s", "日本", "\U0001f600"]
+    texts = ["".join(rnd.choice(bits, rnd.integers(0, 14))) for _ in range(5000)]
+    encoder = packing._encoder(None)
+    for block in arrays.blocks(pa.array(texts)):
+        ids, bound = encoder.encode(block)
+        for i, x in enumerate(texts[block.lo:block.hi]):
+            assert ids[bound[i]:bound[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
