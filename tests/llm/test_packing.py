@@ -91,7 +91,7 @@ def test_ids_of_mixed_white_space():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     rnd = np.random.default_rng(3)
-    bits = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "\x0c", "\r", " ", " ", "　", "\x85", "\x1c", "\x00", "​",
+    bits = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "\x0c", "\r", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\x00", "\u200b",
             "a", "be", "12", "é", "!", "--", "'s", "日本", "\U0001f600"]
     texts = ["".join(rnd.choice(bits, rnd.integers(0, 14))) for _ in range(5000)]
     encoder = packing._encoder(None)
