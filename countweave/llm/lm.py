@@ -4,7 +4,9 @@ The count table is partitioned by the n-gram's hash; texts, exploded to n-grams,
 their scores summed by document. To keep 100 million n-grams small, rows of these tables travel in arrays: a
 chunk of texts asks for each of its n-grams once, a hash bucket adds up what all chunks counted and answers
 each chunk in its own order. The counts cover every text, so they grow with the corpus; no vocabulary is
-collected or broadcast. A frequent n-gram is one entry a chunk, whatever its number.
+collected or broadcast. A frequent n-gram is one entry a chunk, whatever its number. Words and pairs are
+counted in one pass over the texts, each longer order in a pass of its own; only the answers stay, as
+tables, so the requests of one pass alone are on disk at a time.
 
 By default a text is scored by the other texts: its own counts are left out, else it would
 predict itself.
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .store import table, tasks_for
+from .store import keep, table, tasks_for
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a chunk, about; n-grams in a bucket, about.
 CHUNK = 5_000_000
@@ -53,8 +55,13 @@ def _valid(first: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(owner)) >= first[:-1][owner] + k - 1
 
 
-def _asked(first: np.ndarray, owner: np.ndarray, h: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([x[_valid(first, owner, k + 1)] for k, x in enumerate(h)])
+def _passes(order: int) -> list[tuple[int, ...]]:
+    """The orders that are counted together."""
+    return [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
+
+
+def _asked(first: np.ndarray, owner: np.ndarray, h: list[np.ndarray], orders: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([h[k - 1][_valid(first, owner, k)] for k in orders])
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -66,10 +73,10 @@ def _values(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def _requests(rows: pa.Table, order: int, bits: int) -> pa.Table:
-    """A chunk's distinct n-grams with counts, in order of hash, cut by bucket."""
+def _requests(rows: pa.Table, orders: tuple[int, ...], bits: int) -> pa.Table:
+    """A chunk's distinct n-grams of some orders with counts, in order of hash, cut by bucket."""
     chunk = rows.column("chunk")[0].as_py()
-    key, n = np.unique(_asked(*_grams(rows.column("text"), order)), return_counts=True)
+    key, n = np.unique(_asked(*_grams(rows.column("text"), orders[-1]), orders), return_counts=True)
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     some = np.flatnonzero(np.diff(cut))
@@ -96,20 +103,22 @@ def _scored(rows: pa.Table, totals: pa.Table, order: int, backoff: float, all_wo
     first, owner, h = _grams(rows.column("text"), order)
     n = np.diff(first)
     if len(owner):
-        key = np.unique(_asked(first, owner, h))
-        ordered = totals.take(pc.sort_indices(totals, sort_keys=[("bucket", "ascending")]))
-        total = np.concatenate([_values(x, np.int64) for x in ordered.column("totals").to_pylist()])
+        ordered = totals.take(pc.sort_indices(totals, sort_keys=[("pass", "ascending"), ("bucket", "ascending")]))
         counts = []
-        for k, x in enumerate(h):
-            good = np.flatnonzero(_valid(first, owner, k + 1))
-            at = np.searchsorted(key, x[good])
-            c = np.zeros(len(owner), np.int64)
-            c[good] = total[at]
-            if not own:
-                pair = owner[good] * np.int64(len(key)) + at
-                _, back, self_n = np.unique(pair, return_inverse=True, return_counts=True)
-                c[good] -= self_n[back]
-            counts.append(c)
+        for p, orders in enumerate(_passes(order)):
+            key = np.unique(_asked(first, owner, h, orders))
+            mine = ordered.filter(pc.equal(ordered.column("pass"), p)).column("totals").to_pylist()
+            total = np.concatenate([np.zeros(0, np.int64), *(_values(x, np.int64) for x in mine)])
+            for k in orders:
+                good = np.flatnonzero(_valid(first, owner, k))
+                at = np.searchsorted(key, h[k - 1][good])
+                c = np.zeros(len(owner), np.int64)
+                c[good] = total[at]
+                if not own:
+                    pair = owner[good] * np.int64(len(key)) + at
+                    _, back, self_n = np.unique(pair, return_inverse=True, return_counts=True)
+                    c[good] -= self_n[back]
+                counts.append(c)
         words = np.full(len(owner), all_words, np.int64) - (0 if own else n[owner])
         score = np.log10(1 / (words + 1.0)) + (order - 1) * np.log10(backoff)  # a word no other text has
         known = counts[0] > 0
@@ -143,10 +152,16 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"),
                  F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("words")).first()
     dealt = d.select(chunked(tasks_for(size.n, chunk)), "id", "text")
-    bits = (tasks_for(size.words * order, bucket) - 1).bit_length()
-    asked = dealt.groupBy("chunk").applyInArrow(
-        lambda t: _requests(t, order, bits), "chunk long, bucket long, grams binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, totals binary")
+    def requested(orders: tuple[int, ...]) -> DataFrame:
+        bits = (tasks_for(size.words * len(orders), bucket) - 1).bit_length()
+        return dealt.groupBy("chunk").applyInArrow(
+            lambda t: _requests(t, orders, bits), "chunk long, bucket long, grams binary, counts binary")
+
+    answered = None
+    for p, orders in enumerate(_passes(order)):
+        totals = keep(requested(orders).groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, totals binary"), free=True) \
+            .withColumn("pass", F.lit(p))
+        answered = totals if answered is None else answered.unionByName(totals)
     all_words = int(size.words)
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
         lambda a, b: _scored(a, b, order, backoff, all_words, own),

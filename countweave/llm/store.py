@@ -21,11 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write once as Parquet in the shared folder and read from there (lost executors lose nothing)."""
+#: Whether shuffle files go when the action that made them ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write once as Parquet in the shared folder and read from there (lost executors lose nothing).
+
+    free: drop the shuffle files of the write at its end, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+        df = df.select("*")  # the setting is read where a plan is made
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

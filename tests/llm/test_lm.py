@@ -42,3 +42,28 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     assert len(lm.scored(df).collect()) == 3
     assert lm.scored(df.limit(0)).collect() == []
+
+
+def test_three_words_by_default(spark):
+    """A text whose words and pairs are common is told from another by its triples."""
+    texts = ["a b c", "x b c", "a b d", "a b c", "c a b", "b c a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.log_score for r in lm.scored(df, chunk=8, bucket=4).collect()}
+    assert lm.ORDER >= 3
+    for i, (_, s) in enumerate(brute(texts, 3, 0.4, False)):
+        assert abs(got[i] - s) < 1e-9
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from countweave.llm.store import FREE, keep
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders, setting = [Path(x.getAbsolutePath()) for x in dirs], spark.conf.get(FREE, None)
+    before = {f for top in folders for f in top.rglob("shuffle_*.data")}
+    grouped = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").applyInArrow(lambda t: t.slice(0, 1), "k long")
+    made = keep(grouped, free=True)
+    assert {f for top in folders for f in top.rglob("shuffle_*.data")} <= before
+    assert made.count() == 7
+    assert spark.conf.get(FREE, None) == setting
