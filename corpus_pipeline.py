@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, with their sequences and places."""
-    return packing.packed(docs)
+    return packing.packed(docs, added=True)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact_copies), ("simhash_near_dedup", near_copies),

@@ -99,3 +99,25 @@ def test_ids_of_mixed_white_space():
         ids, bound = encoder.encode(block)
         for i, x in enumerate(texts[block.lo:block.hi]):
             assert ids[bound[i]:bound[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_added_token_as_the_library_reads_it(spark, tmp_path):
+    """The query's ids are those of the tokenizer as loaded: <|endoftext|> in a text is one id."""
+    import pyarrow as pa
+
+    from countweave.llm import arrays
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rnd = np.random.default_rng(4)
+    bits = ["<|endoftext|>", "<|endof", "text|>", "<|", " ", "  ", "\n", "a", "be", "é", "<|ENDOFTEXT|>", "'s"]
+    texts = ["a <|endoftext|> b", "<|endof", "text|> x", "<|endoftext|>", "<|endoftext|>", "", None] + \
+        ["".join(rnd.choice(bits, rnd.integers(0, 10))) for _ in range(2000)]
+    encoder = packing._encoder(None, added=True)
+    for block in arrays.blocks(pa.array(texts)):
+        ids, bound = encoder.encode(block)
+        for i, x in enumerate(texts[block.lo:block.hi]):
+            assert ids[bound[i]:bound[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
+    spark.createDataFrame(list(enumerate(texts[:8])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.ids_crc32 for r in packing.op4_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in enumerate(texts[:8])}
