@@ -22,7 +22,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and labels, fixed values of the task.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label, keyword, pattern of the name (over lower-case text).
+#: label, keyword (without white space), pattern of the name (over lower-case text; a space is any white space).
 FAMILIES = [
     ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e(?:,? version)? ?2(?:\.0)?"),
     ("apache", "apache", r"apache(?: software)? licen[cs]e"),
@@ -30,9 +30,9 @@ FAMILIES = [
     ("bsd-2-clause", "bsd", r"(?:simplified|2-clause) bsd(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|3-clause) bsd(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd(?: licen[cs]e)?"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)2(?:\.0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)3(?:\.0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e"),
+    ("gpl-2.0", "general", r"(?:gnu )?general public licen[cs]e,? (?:version |v)2(?:\.0)?"),
+    ("gpl-3.0", "general", r"(?:gnu )?general public licen[cs]e,? (?:version |v)3(?:\.0)?"),
+    ("gpl", "general", r"(?:gnu )?general public licen[cs]e"),
     ("gpl", "gpl", r"(?:gnu )?gpl(?:[ -]?v?[123](?:\.0)?)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e"),
     ("lgpl", "lgpl", r"lgpl(?:[ -]?v?[23](?:\.[01])?)?"),
@@ -51,7 +51,7 @@ FAMILIES = [
     ("cc-by", "attribution", r"creative commons attribution(?: licen[cs]e)?"),
     ("cc-by-sa", "sharealike", r"creative commons attribution-sharealike(?: licen[cs]e)?"),
     ("cc-by-nc", "noncommercial", r"creative commons attribution-noncommercial(?: licen[cs]e)?"),
-    ("public-domain", "public domain", r"public domain"),
+    ("public-domain", "domain", r"public domain"),
     ("unlicense", "unlicense", r"unlicense"),
     ("isc", "isc", r"isc licen[cs]e"),
     ("zlib", "zlib", r"zlib licen[cs]e"),
@@ -77,18 +77,34 @@ SINGLE = [
     ("public-domain", "dedicated", r"dedicated to the public domain", 0.95),
     ("proprietary", "confidential", r"proprietary and confidential", 0.8),
 ]
+_MAY = "(?: licen[cs]e)?"
 #: Every rule's keyword implies one of these in the text (checked in the tests), and so does every phrase.
 STEMS = r"(?i)licen|rights|public|copyright|warrant|confidential|cc|\bmit\b|bsd|gpl|spdx|creative|published|released|distributed|subject to|governed by"
 
 
+def _bare(label: str, name: str) -> str | None:
+    """The name where it stands alone."""
+    if label.startswith("cc"):
+        return name
+    if name.endswith(_MAY):
+        return name.removesuffix(_MAY) + " licen[cs]e"
+    return name if "licen" in name else None
+
+
+def _wrapped(pattern: str) -> str:
+    """The pattern with any white space, also of several lines, for each space."""
+    return pattern.replace("[ -]?", r"(?:\s+|-)?").replace("[ -]", r"(?:\s+|-)").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
     """(order, label, keyword, pattern, weight); earlier rules win equal spans.
 
-    A bare name is a rule only where it says itself that it is a licence.
+    A bare name is a rule only where it says itself that it is a licence: a word for it that a sentence may leave out
+    must be there.
     """
-    made = [(label, word, rf"\b{sentence % name}(?![0-9a-z])", weight) for sentence, weight in SENTENCES
-            for label, word, name in FAMILIES if sentence != "%s" or "licen" in name and ")?" not in name[-3:] or label.startswith("cc")]
-    made += [(label, word, rf"\b{pattern}(?![0-9a-z])", weight) for label, word, pattern, weight in SINGLE]
+    made = [(label, word, rf"\b{_wrapped(sentence % x)}(?![0-9a-z])", weight) for sentence, weight in SENTENCES
+            for label, word, name in FAMILIES if (x := _bare(label, name) if sentence == "%s" else name)]
+    made += [(label, word, rf"\b{_wrapped(pattern)}(?![0-9a-z])", weight) for label, word, pattern, weight in SINGLE]
     return [(k, *r) for k, r in enumerate(made)]
 
 

@@ -96,3 +96,18 @@ def test_quality_sketch_and_fallback(spark):
     got = {r.source: r for r in quality.thresholds(quality.sketches(df), limits).collect()}
     assert got["few"].symbol_limit >= 0.95 * 3 * n / 2 and abs(got["many"].symbol_limit / (3 * n / 2) - 1) < 0.08
     assert got["many"].repeat_limit == 5 and got["many"].line_limit == 3
+
+
+LICENSE_LABELS = [
+    ("MIT License", "mit", 0.5), ("BSD License", "bsd", 0.5), ("mit", "", 0.0), ("a bsd kernel", "", 0.0), ("Modified BSD license", "bsd-3-clause", 0.5),
+    ("Apache License, Version 2.0", "apache-2.0", 0.5), ("Apache License", "apache", 0.5), ("GNU General Public License v3", "gpl,gpl-3.0", 0.5),
+    ("gnu general public licence, version 2", "gpl-2.0", 0.5), ("Mozilla Public License 2.0", "mpl-2.0", 0.5),
+    ("licensed under\nthe MIT License", "mit", 0.95), ("Released  under\r\n\tthe BSD\nlicense", "bsd", 0.9),
+    ("subject to the GNU General\nPublic License", "gpl", 0.85), ("dedicated to the public\ndomain", "public-domain", 0.95),
+    ("released under public\n domain", "public-domain", 0.9), ("the Apache\nLicense,\n Version 2.0", "apache-2.0", 0.5)]
+
+
+def test_license_labels(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(LICENSE_LABELS)], "doc_id int, text string")
+    got = {r.id: (r.labels, r.score) for r in licenses.labelled(df).collect()}
+    assert {x[0]: got[i] for i, x in enumerate(LICENSE_LABELS)} == {x[0]: x[1:] for x in LICENSE_LABELS}
