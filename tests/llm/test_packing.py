@@ -101,6 +101,42 @@ def test_ids_of_mixed_white_space():
             assert ids[bound[i]:bound[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_ids_of_every_pair_and_triple_of_white_space():
+    """All runs of up to three white-space characters of any script, after a letter and before one."""
+    import itertools
+
+    import pyarrow as pa
+
+    from countweave.llm import arrays
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    white = [chr(c) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                              0x202F, 0x205F, 0x3000)]
+    assert all(c.isspace() for c in white) and len(white) == 25
+    texts = ["price" + "".join(w) + "10" for n in (1, 2, 3) for w in itertools.product(white, repeat=n)]
+    texts += ["price \u00a0 \u00a0 10 EUR", "a\u00a0 ", "\u2003 \u2003", " \u00a0"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder = packing._encoder(None, True)
+    got = []
+    for block in arrays.blocks(pa.array(texts)):
+        ids, bound = encoder.encode(block)
+        got += [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:])]
+    assert got == want
+
+
+def test_equal_hashes_only_for_equal_texts():
+    """Words whose sums of powers are equal modulo 2^64 (Thue-Morse and its complement) have hashes of their own."""
+    from countweave.llm import arrays
+
+    x = "a"
+    for _ in range(11):
+        x += x.translate({97: 98, 98: 97})
+    y = x.translate({97: 98, 98: 97})
+    data = np.frombuffer((x + y + x).encode(), np.uint8)
+    h = arrays.range_hashes(data, np.array([0, len(x), 2 * len(x)]), np.array([len(x), 2 * len(x), 3 * len(x)]))
+    assert h[0] == h[2] != h[1]
+
+
 def test_added_token_as_the_library_reads_it(spark, tmp_path):
     """The query's ids are those of the tokenizer as loaded: <|endoftext|> in a text is one id."""
     import pyarrow as pa
