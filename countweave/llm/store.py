@@ -25,10 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, free: bool = False) -> DataFrame:
+def keep(df: DataFrame, free: bool = False, **options) -> DataFrame:
     """Write once as Parquet in the shared folder and read from there (lost executors lose nothing).
 
     free: drop the shuffle files of the write at its end, not when the driver next collects its garbage.
+    options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
@@ -37,7 +38,7 @@ def keep(df: DataFrame, free: bool = False) -> DataFrame:
         spark.conf.set(FREE, "true")
         df = df.select("*")  # the setting is read where a plan is made
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if free:
             spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
