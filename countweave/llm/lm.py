@@ -29,11 +29,11 @@ ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a chunk, about; n-grams in a bucket, about.
 CHUNK = 5_000_000
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 
 
-def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """first (word places of each text), owner of each word, and for k = 1..order the hash of the k words that end there.
+def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """first (word places of each text), and for k = 1..order the hash of the k words that end at each place.
 
     Places whose k words would begin before the text hold the hash of fewer words; they are not used.
     """
@@ -44,15 +44,21 @@ def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray,
         first.append(w.first[1:] + first[-1][-1])
     first = np.concatenate(first)
     h = [np.concatenate(ones) if ones else np.zeros(0, np.uint64)]
+    del ones
     for k in range(2, order + 1):
         longer = h[-1].copy()
         longer[1:] = arrays.mixed(h[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + h[0][1:] + np.uint64(k))
         h.append(longer)
-    return first, np.repeat(np.arange(len(first) - 1), np.diff(first)), h
+    return first, h
 
 
-def _valid(first: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
-    return np.arange(len(owner)) >= first[:-1][owner] + k - 1
+def _valid(first: np.ndarray, k: int) -> np.ndarray:
+    """Places with k words of their text up to them, as 32-bit numbers."""
+    n = np.diff(first)
+    good = np.ones(int(n.sum()), bool)
+    for skipped in range(k - 1):
+        good[(first[:-1] + skipped)[n > skipped]] = False
+    return np.flatnonzero(good).astype(np.int32)
 
 
 def _passes(order: int) -> list[tuple[int, ...]]:
@@ -60,8 +66,16 @@ def _passes(order: int) -> list[tuple[int, ...]]:
     return [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
 
 
-def _asked(first: np.ndarray, owner: np.ndarray, h: list[np.ndarray], orders: tuple[int, ...]) -> np.ndarray:
-    return np.concatenate([h[k - 1][_valid(first, owner, k)] for k in orders])
+def _asked(first: np.ndarray, h: list[np.ndarray], orders: tuple[int, ...]) -> np.ndarray:
+    """The chunk's n-grams of some orders, sorted, with repeats."""
+    key = np.concatenate([h[k - 1][_valid(first, k)] for k in orders])
+    key.sort()
+    return key
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -76,7 +90,9 @@ def _values(raw: bytes, kind) -> np.ndarray:
 def _requests(rows: pa.Table, orders: tuple[int, ...], bits: int) -> pa.Table:
     """A chunk's distinct n-grams of some orders with counts, in order of hash, cut by bucket."""
     chunk = rows.column("chunk")[0].as_py()
-    key, n = np.unique(_asked(*_grams(rows.column("text"), orders[-1]), orders), return_counts=True)
+    key = _asked(*_grams(rows.column("text"), orders[-1]), orders)
+    at = _distinct(key)
+    key, n = key[at], np.diff(np.r_[at, len(key)])
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     some = np.flatnonzero(np.diff(cut))
@@ -89,44 +105,60 @@ def _requests(rows: pa.Table, orders: tuple[int, ...], bits: int) -> pa.Table:
 
 def _answers(rows: pa.Table) -> pa.Table:
     """The corpus counts of a bucket, for each chunk in the order it asked."""
-    keys = [_values(x, np.uint64) for x in rows.column("grams").to_pylist()]
-    counts = np.concatenate([_values(x, np.int64) for x in rows.column("counts").to_pylist()])
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, counts).astype(np.int64)[back]  # whole numbers below 2^53
-    cut = np.r_[0, np.cumsum([len(k) for k in keys])]
+    keys = np.concatenate([_values(x, np.uint64) for x in rows.column("grams").to_pylist()])
+    counts = [_values(x, np.int64) for x in rows.column("counts").to_pylist()]
+    cut = np.r_[0, np.cumsum([len(n) for n in counts])]
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    at = _distinct(keys[order])
+    sums = np.add.reduceat(np.concatenate(counts)[order], at) if len(at) else np.zeros(0, np.int64)
+    del counts
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(sums, np.diff(np.r_[at, len(keys)]))
     return pa.table([rows.column("chunk"), rows.column("bucket"),
                      pa.array([_planes(total[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["chunk", "bucket", "totals"])
 
 
+def _own(owner: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often each place's n-gram stands in its own text."""
+    pair = owner * np.int64(n_keys) + at
+    order = np.argsort(pair, kind="stable").astype(np.int32)
+    runs = _distinct(pair[order])
+    out = np.empty(len(pair), np.int32)
+    size = np.diff(np.r_[runs, len(pair)])
+    out[order] = np.repeat(size, size)
+    return out
+
+
 def _scored(rows: pa.Table, totals: pa.Table, order: int, backoff: float, all_words: int, own: bool) -> pa.Table:
-    first, owner, h = _grams(rows.column("text"), order)
+    first, h = _grams(rows.column("text"), order)
     n = np.diff(first)
-    if len(owner):
-        ordered = totals.take(pc.sort_indices(totals, sort_keys=[("pass", "ascending"), ("bucket", "ascending")]))
-        counts = []
+    if first[-1]:
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        words = np.full(len(owner), all_words, np.int64) if own else all_words - n[owner]
+        score = np.log10(1 / (words + 1.0)) + (order - 1) * np.log10(backoff)  # a word no other text has
+        before = None
+        ordered = pc.sort_indices(totals, sort_keys=[("pass", "ascending"), ("bucket", "ascending")])
         for p, orders in enumerate(_passes(order)):
-            key = np.unique(_asked(first, owner, h, orders))
-            mine = ordered.filter(pc.equal(ordered.column("pass"), p)).column("totals").to_pylist()
-            total = np.concatenate([np.zeros(0, np.int64), *(_values(x, np.int64) for x in mine)])
-            for k in orders:
-                good = np.flatnonzero(_valid(first, owner, k))
-                at = np.searchsorted(key, h[k - 1][good])
+            key = _asked(first, h, orders)
+            key = key[_distinct(key)]
+            mine = ordered.filter(pc.equal(totals.column("pass").take(ordered), p).combine_chunks())
+            total = np.concatenate([np.zeros(0, np.int64), *(_values(x.as_py(), np.int64) for x in totals.column("totals").take(mine))])
+            for k in orders:  # one order at a time: its counts and those of the contexts before it
+                good = _valid(first, k)
+                at = np.searchsorted(key, h[k - 1][good]).astype(np.int32)
                 c = np.zeros(len(owner), np.int64)
                 c[good] = total[at]
                 if not own:
-                    pair = owner[good] * np.int64(len(key)) + at
-                    _, back, self_n = np.unique(pair, return_inverse=True, return_counts=True)
-                    c[good] -= self_n[back]
-                counts.append(c)
-        words = np.full(len(owner), all_words, np.int64) - (0 if own else n[owner])
-        score = np.log10(1 / (words + 1.0)) + (order - 1) * np.log10(backoff)  # a word no other text has
-        known = counts[0] > 0
-        score[known] = np.log10(counts[0][known] / words[known]) + (order - 1) * np.log10(backoff)
-        for k in range(2, order + 1):
-            good = counts[k - 1] > 0
-            context = np.r_[0, counts[k - 2][:-1]]
-            score[good] = np.log10(counts[k - 1][good] / context[good]) + (order - k) * np.log10(backoff)
+                    c[good] -= _own(owner[good], at, len(key))
+                seen = np.flatnonzero(c)
+                context = words[seen] if k == 1 else before[seen - 1]
+                score[seen] = np.log10(c[seen] / context) + (order - k) * np.log10(backoff)
+                before = c
+                if k == 1:
+                    del words
+                if k > 1 or order == 1:
+                    h[k - 1] = None  # no longer hash is made of it any more
         summed = np.bincount(owner, score, len(n))
     else:
         summed = np.zeros(len(n))
