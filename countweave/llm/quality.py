@@ -4,7 +4,8 @@ Each text is measured by built-in functions. The ratios go into quantile sketche
 values in buckets of fixed relative width, whole numbers below 32 exactly, then 16 buckets for each
 doubling. Sketches of a (language, source) are merged to those of the language and of all texts by adding counts,
 and a group below `support` texts uses the next wider one. A text is rejected where a ratio
-is above its group's limit: `factor` times the quantile, never below a floor.
+is above its group's limit: the group's quantile, kept between two bounds, so that a clean group does not lose its
+tail and a group of mostly junk keeps a working rule.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Limits:
-    """Ratios are in parts of 10,000. floors: symbols to characters, repeated words to words, repeated lines to lines."""
+    """Ratios are in parts of 10,000: symbols to characters, repeated words to words, repeated lines to lines.
 
-    quantile: float = 0.75
-    factor: int = 4
+    quantile: in hundredths. A pair of bounds for each ratio: the lowest and the highest limit a group can have.
+    """
+
+    quantile: int = 98
     support: int = 200
-    symbol: int = 1000
-    repeat: int = 1500
-    line: int = 5000
+    symbol: tuple[int, int] = (500, 1000)
+    repeat: tuple[int, int] = (1000, 1500)
+    line: tuple[int, int] = (2500, 5000)
 
 
 RATIOS = ("symbol", "repeat", "line")
@@ -103,9 +106,9 @@ def thresholds(sketch: DataFrame, limits: Limits) -> DataFrame:
         F.sum("n").alias("n"), F.grouping("lang").alias("no_lang"), F.grouping("source").alias("no_source"))
     group = Window.partitionBy("ratio", "no_lang", "no_source", "lang", "source")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
-    found = ranked.where(F.col("upto") >= F.col("total") * limits.quantile) \
+    found = ranked.where(F.col("upto") * 100 >= F.col("total") * limits.quantile) \
         .groupBy("ratio", "no_lang", "no_source", "lang", "source").agg(F.min("bucket").alias("bucket"), F.first("total").alias("total")) \
-        .select("*", (_top(F.col("bucket")) * limits.factor).alias("high"))
+        .select("*", _top(F.col("bucket")).alias("high"))
     own = found.where("no_source = 0").select("ratio", "lang", "source", "high", "total")
     lang = found.where("no_source = 1 AND no_lang = 0").select("ratio", "lang", F.col("high").alias("high1"), F.col("total").alias("total1"))
     every = found.where("no_lang = 1").select("ratio", F.col("high").alias("high2"))
@@ -113,8 +116,8 @@ def thresholds(sketch: DataFrame, limits: Limits) -> DataFrame:
         "lang", "source", "ratio", F.when(F.col("total") >= limits.support, F.col("high"))
         .when(F.col("total1") >= limits.support, F.col("high1")).otherwise(F.col("high2")).alias("high"))
     return chosen.groupBy("lang", "source").agg(*[
-        F.greatest(F.max(F.when(F.col("ratio") == r, F.col("high"))), F.lit(getattr(limits, r))).alias(f"{r}_limit")
-        for r in RATIOS])
+        F.least(F.greatest(F.max(F.when(F.col("ratio") == r, F.col("high"))), F.lit(low)), F.lit(high)).alias(f"{r}_limit")
+        for r, (low, high) in ((r, getattr(limits, r)) for r in RATIOS)])
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), **columns) -> DataFrame:
@@ -138,15 +141,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _limit_sql(ratio: str, limits: Limits) -> str:
-    return (f"greatest(max(CASE WHEN ratio = '{ratio}' THEN CASE WHEN total >= {limits.support} THEN high"
-            f" WHEN total1 >= {limits.support} THEN high1 ELSE high2 END END), {getattr(limits, ratio)}) AS {ratio}_limit")
+    low, high = getattr(limits, ratio)
+    return (f"least(greatest(max(CASE WHEN ratio = '{ratio}' THEN CASE WHEN total >= {limits.support} THEN high"
+            f" WHEN total1 >= {limits.support} THEN high1 ELSE high2 END END), {low}), {high}) AS {ratio}_limit")
 
 
 def _sketch_sql(name: str, keys: str) -> str:
     by = f"ratio{', ' + keys if keys else ''}"
-    return f"""{name} AS (SELECT {by}, 4 * (CASE WHEN b < 32 THEN b ELSE ((b - (b // 16 - 1) * 16 + 1) << (b // 16 - 1)) - 1 END) AS high, total FROM
+    return f"""{name} AS (SELECT {by}, CASE WHEN b < 32 THEN b ELSE ((b - (b // 16 - 1) * 16 + 1) << (b // 16 - 1)) - 1 END AS high, total FROM
  (SELECT {by}, min(b) AS b, any_value(total) AS total FROM (SELECT {by}, b, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto,
-   sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, b, sum(n) AS n FROM k GROUP BY ALL)) WHERE upto >= total * 0.75 GROUP BY {by}))"""
+   sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, b, sum(n) AS n FROM k GROUP BY ALL)) WHERE upto * 100 >= total * {Limits().quantile} GROUP BY {by}))"""
 
 
 OP9_SQL = rf"""

@@ -92,12 +92,35 @@ def test_quality(spark, quality_rows):
 def test_quality_sketch_and_fallback(spark):
     n = 3000
     df = spark.range(n).selectExpr("'en' AS lang", "IF(id < 20, 'few', 'many') AS source", "id * 3 AS symbol", "0L AS repeat", "id % 7 AS line")
-    limits = quality.Limits(quantile=0.5, factor=1, support=100, symbol=0, repeat=5, line=0)
+    top = 10**9
+    limits = quality.Limits(quantile=50, support=100, symbol=(0, top), repeat=(5, top), line=(0, top))
     got = {r.source: r for r in quality.thresholds(quality.sketches(df), limits).collect()}
     assert got["few"].symbol_limit >= 0.95 * 3 * n / 2 and abs(got["many"].symbol_limit / (3 * n / 2) - 1) < 0.08
     assert got["many"].repeat_limit == 5 and got["many"].line_limit == 3
 
 
+def test_quality_limits_move_with_their_group_between_bounds(spark):
+    """A source of mostly junk keeps a rule that works, a clean one keeps its tail, one in between has its own limit."""
+    few = "IF(id % 50 < 2, 4000 + id % 7, 0)"
+    df = spark.range(4000).selectExpr(
+        "'en' AS lang", "element_at(array('clean', 'junk', 'between'), CAST(id % 3 + 1 AS INT)) AS source", "0L AS symbol", "0L AS repeat",
+        f"CASE id % 3 WHEN 0 THEN id % 100 WHEN 1 THEN 9000L ELSE IF(id % 10 = 2, 3300L, {few} % 1000) END AS line")
+    limits = quality.Limits()
+    got = {r.source: r.line_limit for r in quality.thresholds(quality.sketches(df), limits).collect()}
+    low, high = limits.line
+    assert got["clean"] == low and got["junk"] == high and low < got["between"] < high and 3300 <= got["between"] < 3300 * 1.07
+
+
+def test_quality_limits_of_the_given_table(spark):
+    """On sf0.1 groups differ: limits strictly between their bounds, by language and source."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = docs.selectExpr("lang", "source", "filter(split(text, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS l").selectExpr(
+        "lang", "source", "0L AS symbol", "0L AS repeat", "CAST(floor((size(l) - size(array_distinct(l))) * 10000 / greatest(size(l), 1)) AS LONG) AS line")
+    limits = quality.Limits()
+    got = {r.line_limit for r in quality.thresholds(quality.sketches(lines), limits).collect()}
+    assert len([x for x in got if limits.line[0] < x < limits.line[1]]) >= 2
+
+
 LICENSE_LABELS = [
     ("MIT License", "mit", 0.5), ("BSD License", "bsd", 0.5), ("mit", "", 0.0), ("a bsd kernel", "", 0.0), ("Modified BSD license", "bsd-3-clause", 0.5),
     ("Apache License, Version 2.0", "apache-2.0", 0.5), ("Apache License", "apache", 0.5), ("GNU General Public License v3", "gpl,gpl-3.0", 0.5),
