@@ -28,10 +28,11 @@ from .store import keep, table, tasks_for
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of a first-round task; sequences a task sends up at most; tasks that meet in the next.
+#: Pieces of a first-round task; underfull sequences of a task in later rounds.
 PIECES_PER_TASK = 50_000
-SENT_UP = 5_000
-FAN_IN = 8
+ITEMS_PER_TASK = 40_000
+#: Rounds end when more than this share of the sequences that came up goes up again.
+WORTH = 0.95
 #: Tokenised chunks a Python worker remembers.
 REMEMBERED = 2_000_000
 
@@ -221,8 +222,7 @@ def _round(batches: Iterator[pa.RecordBatch], capacity: int, spare: int, last: b
     out = []
     for members in best_fit(filled, capacity):
         out.append((capacity - sum(filled[i] for i in members), [p for i in members for p in items[i]]))
-    up = sorted((k for k, (room, _) in enumerate(out) if room > spare), key=lambda k: -out[k][0])
-    sent = set() if last else set(up[:SENT_UP])
+    sent = set() if last else {k for k, (room, _) in enumerate(out) if room > spare}
     typed = next(b for b in batches if b.num_rows).column("pieces").type
     for lo in range(0, len(out), 2000):
         part = out[lo:lo + 2000]
@@ -232,19 +232,20 @@ def _round(batches: Iterator[pa.RecordBatch], capacity: int, spare: int, last: b
             pa.array([x for _, x in part], typed)], names=["root", "free", "pieces"])
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, spare: int = 8, per_task: int = PIECES_PER_TASK) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, spare: int = 8, per_task: int = PIECES_PER_TASK,
+         items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """Every piece of `pieces` with sequence_id and offset.
 
-    Sequences with at most `spare` tokens of room are final in the round that fills them. A task sends
-    up the emptiest SENT_UP of the others and keeps the rest as they are, so no later task has more
-    than FAN_IN * SENT_UP items. Empty input gives no rows; pieces that fill a sequence are one alone.
+    Sequences with at most `spare` tokens of room are final in the round that fills them; all others go up and are dealt
+    anew, over fewer tasks as they get fewer, until one task is left or hardly any of them fits with another
+    (WORTH). Empty input gives no rows; pieces that fill a sequence are one alone.
     """
     cut = cut.select(F.struct("doc_id", "piece", "start", "length", "ids_crc32").alias("p"))
     full = cut.where(F.col("p.length") >= capacity).select(F.array("p").alias("pieces"))
     tasks = tasks_for(cut.count(), per_task)
     items = cut.where(F.col("p.length") < capacity) \
         .select(F.pmod(F.xxhash64("p.doc_id", "p.piece"), F.lit(tasks)).cast("int").alias("task"), F.array("p").alias("pieces"))
-    done = [full]
+    done, left, turn = [full], None, 0
     while True:
         run = partial(_round, capacity=capacity, spare=spare, last=tasks == 1)
         made = keep(items.repartition(tasks, "task").select("task", "pieces").mapInArrow(
@@ -252,8 +253,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, spare: int = 8, per_task: int
         done.append(made.where("root = 0").select("pieces"))
         if tasks == 1:
             break
-        tasks = -(-tasks // FAN_IN)
-        items = made.where("root < 0").select(F.floor(F.col("task") / FAN_IN).cast("int").alias("task"), "pieces")
+        up = made.where("root < 0")
+        n = up.count()
+        if left is not None and n > WORTH * left:
+            done.append(up.select("pieces"))
+            break
+        left, turn, tasks = n, turn + 1, min(tasks, tasks_for(n, items_per_task))
+        first = F.get("pieces", F.lit(0))
+        items = up.select(F.pmod(F.xxhash64(F.lit(turn), first["doc_id"], first["piece"], first["start"], first["ids_crc32"]), F.lit(tasks))
+                          .cast("int").alias("task"), "pieces")
     final = done[0]
     for x in done[1:]:
         final = final.unionByName(x)
