@@ -35,6 +35,8 @@ HIDES = 50
 BLOCK = 6_000_000
 PARTITION = 4_000_000
 FAN_IN = 16
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 
 #: Bytes: 0 in words, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -310,8 +312,11 @@ def collocations(docs: DataFrame, top: int = TOP, hides: int = HIDES, **options)
         .groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     shown = lowest.join(held, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * hides))
-    order = Window.partitionBy("lang").orderBy(F.desc("m.score"), F.desc("a"), "phrase")
-    ranked = shown.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
+    # a language's first ones are among the first ones of its parts: no task sorts all of a language
+    first = (F.desc("m.score"), F.desc("a"), "phrase")
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*first)
+    near = shown.select("*", F.row_number().over(parts).alias("place")).where(F.col("place") <= top).drop("place")
+    ranked = near.select("*", F.row_number().over(Window.partitionBy("lang").orderBy(*first)).alias("rank")).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "m.l", "m.r", "n", "m.score")
 
 
