@@ -36,7 +36,7 @@ def test_stages_against_plain_searches(spark):
 
 
 def test_queries_agree_with_sql(spark):
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, SF).toPandas()
         said = compare.differs(got, compare.connect(SF).sql(sql).df())
