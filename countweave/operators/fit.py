@@ -1,237 +1,139 @@
-"""Fitting: one independent problem per (replicate, child).
+"""Fitting: feasible starts, fits and chains of every (replicate, child) problem.
 
-The objective is a sum over children, so Spark schedules one task per
-(replicate, child), at any size. A group is the child's series, one array of
-bins each: it grows with the grid of that child, not with its tokens.
+The objective is a sum over children, so each has a vector of its own; all are moved together, step by step, by
+:mod:`descent` and :mod:`walk`, with values and gradients from :mod:`objective`. Rows are problems
+and series; nothing of a child is gathered but its parameters.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import model
-from ..functions.likelihood import Block, ParentBlock, minimise
-from ..schema import COMPONENTS, NO_RANDOM_EFFECT, ModelSettings
-from . import curve
-from .design import targets
+from ..schema import ModelSettings
+from ..sources.storage import materialize
+from . import descent, objective, walk
+from .objective import FULL_FIT, PROBLEM  # noqa: F401
 
 FEASIBLE_AT = 0.01
-WARP_OF = {"Rt": "rate", "tslope": "slope", "tpoint": "point"}
-FULL_FIT = -1
-FIT_SCHEMA = ("replicate int, child string, param_idx bigint, value double, status int, objective double, "
-              "neg_loglik double, evals int")
-
-
-def series_for_fit(series: DataFrame, dispersion: DataFrame, replicate: bool) -> DataFrame:
-    """Series with log counts, observed cells only, and their dispersion."""
-    on = ["replicate", "parent", "child"] if replicate else ["parent", "child"]
-    both = series.join(dispersion.select(*on, "dispersion"), on)
-    if not replicate:
-        both = both.withColumn("replicate", F.lit(FULL_FIT))
-    seen = F.zip_with("n_tokens", "count", lambda n, c: F.when(
-        n.isNotNull() | (F.col("ran") == NO_RANDOM_EFFECT), F.log1p(c)))
-    return both.select(F.col("replicate").cast("int").alias("replicate"), "child", "parent", "treatment", "ran",
-                       seen.alias("log_counts"), "dispersion")
-
-
-def params_for_fit(params: DataFrame, pairs: DataFrame, replicate: bool) -> DataFrame:
-    """Parameters with the treatments they apply to."""
-    applies = targets(pairs).groupBy(F.col("effect").alias("treatment")).agg(
-        F.sort_array(F.collect_list("treatment")).alias("applies_to"))
-    out = params.join(applies, "treatment", "left")
-    rep = F.col("replicate").cast("int") if replicate else F.lit(FULL_FIT)
-    return out.select(rep.alias("replicate"), "child", "param_idx", "kind", "component", "parent", "ran",
-                      "treatment", "k", "applies_to", "value")
-
-
-def build_block(series: pd.DataFrame, params: pd.DataFrame, n_bins: int, settings: ModelSettings):
-    """Numpy form of the series of one child; returns the block and the starting vector."""
-    params = params.sort_values("param_idx").reset_index(drop=True)
-    n = len(params)
-    bounds = {"Rt": settings.unbounded, "tslope": settings.unbounded, "tpoint": float(n_bins)}
-    warps = {(w.component, w.ran): w.Index for w in params[params["kind"] == "wfactor"].itertuples()}
-    fixed = params[params["kind"] != "wfactor"]
-    blocks = []
-    for parent, group in series.groupby("parent", sort=True):
-        names = sorted(group["treatment"].unique())
-        place = {t: i for i, t in enumerate(names)}
-        of_parent = fixed[fixed["parent"] == parent]
-        degree = int((of_parent["component"] == "tpoint").any() and
-                     of_parent.loc[of_parent["component"] == "tpoint", "k"].max() + 1)
-        # treatments x transitions x this parent's own parameters
-        fixed_at = of_parent.index.to_numpy()
-        design = {c: np.zeros((len(names), degree + (c == "Rt"), len(fixed_at))) for c in COMPONENTS}
-        for i, row in enumerate(of_parent.itertuples()):
-            for t in row.applies_to:
-                if t in place:
-                    design[row.component][place[t], int(row.k), i] = 1.0
-        rans = group["ran"].to_numpy()
-        warp_at = {c: np.array([warps.get((WARP_OF[c], r), -1) for r in rans]) for c in COMPONENTS}
-        counts = np.array([np.array(v, dtype=float) for v in group["log_counts"]])
-        blocks.append(ParentBlock(
-            design, fixed_at, group["treatment"].map(place).to_numpy(), warp_at, counts,
-            group["dispersion"].to_numpy(dtype=float), bounds, n_bins, settings.buffer(n_bins)))
-    return Block(blocks, n), params["value"].to_numpy(dtype=float)
-
-
-def _reach_feasible(block, theta, is_warp: np.ndarray, settings: ModelSettings):
-    """Move a start that breaks a constraint inside; keep it when that fails.
-
-    The summed squared shortfall of all distances is brought down until each
-    is at least FEASIBLE_AT; unlike the smallest distance it is smooth and adds
-    up over blocks. Warps are held at first: a large one flattens every point
-    onto its bound, and there is no way back from there.
-    """
-    if block.closest(theta)[0] >= 0 and block.nonnegative(theta):
-        return theta
-    for free in (~is_warp, np.ones_like(is_warp)):
-        def downhill(t, free=free):
-            f, g = block.shortfall(t, 2 * FEASIBLE_AT)
-            return f, np.where(free, g, 0.0)
 
-        moved, _, _, _ = minimise(downhill, theta, 0.0, settings.max_evals, enough=FEASIBLE_AT**2)
-        if block.closest(moved)[0] > 0:
-            return moved
-    return theta
 
+@dataclass(frozen=True)
+class Problems:
+    """``params``: parameters with their places; ``series``: the data; ``points``: where each problem stands (x, warp, prior_on)."""
+
+    params: DataFrame
+    series: DataFrame
+    points: DataFrame
+    n_bins: int
+    settings: ModelSettings
+
+    def at(self, points: DataFrame) -> "Problems":
+        """The same problems at other vectors x."""
+        return replace(self, points=materialize(self.points.drop("x").join(points.select(*PROBLEM, "x"), PROBLEM)))
 
-def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """Run a function on matching groups of two tables that may share their origin."""
-    renamed = [df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right)]
-    return renamed[0].groupBy(*keys).cogroup(renamed[1].groupBy(*keys)).applyInPandas(run, schema)
 
+def problems(series: DataFrame, dispersion: DataFrame, params: DataFrame, pairs: DataFrame, n_bins: int, settings: ModelSettings,
+             replicate: bool = False) -> Problems:
+    """The tables of a fit, from a model's series, dispersion and parameters."""
+    own = materialize(objective.problem_params(params, replicate))
+    data = materialize(objective.problem_series(series, dispersion, own, pairs, replicate))
+    points = objective.vectors(own, warp=F.col("kind") == "wfactor",
+                               prior_on=~((F.col("kind") == "baseline") & (F.col("component") == "tpoint")))
+    return Problems(own, data, materialize(points), n_bins, settings)
 
-def make_feasible(series: DataFrame, params: DataFrame, n_bins: int, settings: ModelSettings) -> DataFrame:
-    """Parameters of every (replicate, child), moved into the feasible region where needed.
 
-    Takes the tables of :func:`series_for_fit` and :func:`params_for_fit`.
+def make_feasible(p: Problems) -> Problems:
+    """Move starts that break a constraint inside; where that fails they stay.
+
+    The summed squared shortfall of all distances is brought down until each is at least FEASIBLE_AT; unlike the smallest
+    distance it is smooth and adds up over series. Warps are held at first: a large one flattens every
+    point onto its bound, and there is no way back from there.
     """
-    def move(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(s) == 0 or len(p) == 0:
-            return pd.DataFrame({"replicate": [], "param_idx": [], "value": []})
-        p = p.sort_values("param_idx")
-        block, theta = build_block(s, p, n_bins, settings)
-        theta = _reach_feasible(block, theta, (p["kind"] == "wfactor").to_numpy(), settings)
-        return pd.DataFrame({"replicate": p["replicate"].to_numpy(), "param_idx": p["param_idx"].to_numpy(),
-                             "value": theta})
-
-    moved = _cogrouped(series, params, ["replicate", "child"], move, "replicate int, param_idx bigint, value double")
-    return params.drop("value").join(moved, ["replicate", "param_idx"])
-
-
-def penalty_scales(series: DataFrame, params: DataFrame, pairs: DataFrame, n_bins: int,
-                   settings: ModelSettings) -> DataFrame:
-    """Penalty scale of every replicate from its total starting likelihood and number of distances."""
-    rep = ("replicate",)
-    warped = curve.warped_series(series, params, pairs, n_bins, settings, rep)
-    n_distances = F.size("tslope") + F.size("Rt") + F.when(F.size("tpoint") > 0, F.size("tpoint") + 1).otherwise(0)
-    opened = warped.select(*rep, *COMPONENTS, "dispersion", n_distances.alias("_d"),
-                           F.posexplode("log_counts").alias("_b", "_y"))
-    pred = model.step_curve((F.col("_b") + 1).cast("double"), F.col("Rt"), F.col("tslope"), F.col("tpoint"))
-    term = model.cell_log_likelihood(F.col("_y"), F.col("_p"), F.col("dispersion"))
-    off = F.col("_y").isNotNull() & F.coalesce((F.col("_p") < 0) | F.isnan(term) | term.isNull(), F.lit(True))
-    totals = opened.withColumn("_p", pred).groupBy(*rep).agg(
-        F.sum(F.when(F.col("_y").isNotNull() & ~off, -term)).alias("_nll"), F.bool_or(off).alias("_bad"),
-        F.sum(F.when(F.col("_b") == 0, F.col("_d"))).alias("_n"))
-    nll = F.when(F.col("_bad"), F.lit(curve.BAD_OBJECTIVE)).otherwise(F.col("_nll"))
-    return totals.select(*rep, F.sqrt(F.col("_n") / (nll * settings.max_penalty_at_distance_factor)).alias("scale"))
-
-
-def fit(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings) -> DataFrame:
-    """Minimise the penalised objective of every (replicate, child).
-
-    ``scales``: replicate, scale. Returns one row per parameter with the fit's
-    status, objective, likelihood and evaluations.
+    def on(series: DataFrame) -> descent.Evaluate:
+        return lambda trials, ids: objective.shortfall(series, trials, p.n_bins, p.settings, ids, 2 * FEASIBLE_AT)
+
+    def moved(points: DataFrame, state: DataFrame) -> DataFrame:
+        series = materialize(p.series.join(points.select(*PROBLEM), PROBLEM, "left_semi"))
+        return descent.descend(state, on, series, 0.0, p.settings.max_evals, FEASIBLE_AT**2)
+
+    hold = F.transform("warp", lambda w: F.when(w, F.lit(0.0)).otherwise(F.lit(1.0)))
+    state = descent.begin(p.points.select(*PROBLEM, "x", hold.alias("free")), on(p.series))
+    outside = materialize(state.where((F.col("least") < 0) | F.col("negative")))
+    if outside.isEmpty():
+        return p
+    first = moved(outside, outside)
+    inside = first.where("least > 0").select(*PROBLEM, "x")
+    still = materialize(p.points.join(first.where("NOT least > 0").select(*PROBLEM), PROBLEM, "left_semi"))
+    if not still.isEmpty():
+        free = F.transform("x", lambda _: F.lit(1.0))
+        state = descent.begin(still.select(*PROBLEM, "x", free.alias("free")), on(p.series))
+        second = moved(still, state)
+        inside = inside.unionByName(second.where("least > 0").select(*PROBLEM, "x"))
+    found = p.points.select(*PROBLEM, F.col("x").alias("x0")).join(inside, PROBLEM, "left")
+    return p.at(found.select(*PROBLEM, F.coalesce("x", "x0").alias("x")))
+
+
+def with_penalty(p: Problems) -> Problems:
+    """Series with penalty coefficients that weigh every distance alike where the problems stand.
+
+    Their scale is the replicate's: of its total likelihood and number of distances. A distance that starts at 0 has none.
     """
-    def solve(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(s) == 0 or len(p) == 0:
-            return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
-        p = p.sort_values("param_idx")
-        block, theta = build_block(s, p, n_bins, settings)
-        block.start_penalty(theta, float(p["scale"].iloc[0]))
-        best, f, status, evals = minimise(
-            lambda t: block.value(t)[::2], theta, settings.ctol, settings.max_evals)
-        return pd.DataFrame({
-            "replicate": p["replicate"].to_numpy(), "child": p["child"].to_numpy(),
-            "param_idx": p["param_idx"].to_numpy(), "value": best, "status": status, "objective": f,
-            "neg_loglik": block.value(best)[1], "evals": evals})
-
-    return _cogrouped(series, params.join(scales, "replicate"), ["replicate", "child"], solve, FIT_SCHEMA)
-
-
-CHAIN_SCHEMA = ("chain int, child string, draw_id int, param_idx bigint, value double, objective double, "
-                "neg_loglik double, acceptance double, proposals bigint")
-# When a chain counts as stuck.
-STUCK_AFTER = 200
-STUCK_BELOW = 0.01
-MAX_RESTARTS = 50
-
-
-def _walk(block, theta, prior_on, steps, every, step_size, prior_sd, rng):
-    """Random walk from ``theta``; keeps every ``every``-th accepted position.
-
-    Step lengths are fixed by the start, so the proposal is symmetric.
+    at = materialize(objective.start_distances(p.series, p.points, p.n_bins, p.settings).drop("x"))
+    bare = at.withColumn("coefficients", F.transform("distances", lambda _: F.lit(None).cast("double")))
+    nll = objective.penalised(bare, p.points.withColumn("trial", F.lit(0)), p.n_bins, p.settings, [*PROBLEM, "trial"], gradient=False)
+    sizes = at.groupBy("replicate").agg(F.sum(F.size("distances")).alias("n"))
+    scales = nll.groupBy("replicate").agg(F.least(F.sum("neg_loglik"), F.lit(objective.BAD_OBJECTIVE)).alias("nll")).join(sizes, "replicate") \
+        .select("replicate", F.sqrt(F.col("n") / (F.col("nll") * p.settings.max_penalty_at_distance_factor)).alias("scale"))
+    charged = at.join(scales, "replicate").withColumn(
+        "coefficients", F.transform("distances", lambda d: F.try_divide(F.col("scale"), d))).drop("distances", "scale")
+    return replace(p, series=materialize(charged))
+
+
+def value_and_gradient(p: Problems) -> DataFrame:
+    """Objective, likelihood, smallest distance and gradient where the problems stand: a row per parameter."""
+    found = objective.penalised(p.series, p.points.withColumn("trial", F.lit(0)), p.n_bins, p.settings, [*PROBLEM, "trial"])
+    opened = found.select(*PROBLEM, "value", "neg_loglik", "least", F.explode("g").alias("e")).select(
+        *PROBLEM, F.col("value").alias("objective"), "neg_loglik", F.col("least").alias("min_distance"), "e.place", F.col("e.share").alias("slope"))
+    return p.params.drop("value").join(opened, [*PROBLEM, "place"]).drop("place")
+
+
+def fit(p: Problems) -> DataFrame:
+    """Minimise the penalised objective of every problem (see :func:`with_penalty`).
+
+    One row per problem: x, value, neg_loglik, least, status, evals.
     """
-    penalty = block.value(theta)[0] - block.value(theta)[1]
-    length = step_size * (np.abs(theta) + 1.0) / (max(penalty, 0.0) + 1.0)
-
-    def posterior(t):
-        f, nll, _ = block.value(t)
-        return -f - 0.5 * np.sum((t[prior_on] / prior_sd) ** 2), f, nll
-
-    here, now = theta.copy(), posterior(theta)
-    kept, accepted, proposals, since, safe, restarts = [], 0, 0, 0, (0, theta.copy()), 0
-    while len(kept) < steps:
-        there = here + rng.normal(size=len(theta)) * length
-        then = posterior(there)
-        ratio = float(np.exp(min(0.0, then[0] - now[0])))
-        if rng.random() < ratio and then[1] < curve.BAD_OBJECTIVE:
-            here, now, accepted = there, then, accepted + 1
-            if accepted % every == 0:
-                kept.append((here, now[1], now[2], ratio, proposals))
-        proposals, since = proposals + 1, since + 1
-        if since > STUCK_AFTER:
-            since = 0
-            if len(kept) / proposals * every < STUCK_BELOW:
-                restarts += 1
-                if restarts > MAX_RESTARTS:
-                    raise RuntimeError("the chain does not move; lower step_size")
-                kept, here = kept[:safe[0]], safe[1].copy()
-                now = posterior(here)
-            else:
-                safe = (len(kept), here.copy())
-    return kept
-
-
-def chains(series: DataFrame, params: DataFrame, scales: DataFrame, n_bins: int, settings: ModelSettings,
-           steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1) -> DataFrame:
-    """Draws of independent chains, one task per (chain, child).
-
-    ``params`` holds the starting point (usually the full-data fit). Children
-    walk separately: the posterior is a product over them.
+    def on(series: DataFrame) -> descent.Evaluate:
+        return lambda trials, ids: objective.penalised(series, trials, p.n_bins, p.settings, ids)
+
+    state = descent.begin(p.points.select(*PROBLEM, "x"), on(p.series))
+    return descent.descend(state, on, p.series, p.settings.ctol, p.settings.max_evals).select(
+        *PROBLEM, "x", "value", "neg_loglik", "least", "status", "evals")
+
+
+def fitted_params(p: Problems, fits: DataFrame) -> DataFrame:
+    """Fits as one row per parameter: replicate, child, param_idx, value, status, objective, neg_loglik, evals."""
+    opened = fits.select(*PROBLEM, "status", F.col("value").alias("objective"), "neg_loglik", "evals", F.posexplode("x").alias("place", "at"))
+    return p.params.select(*PROBLEM, "place", "param_idx").join(opened, [*PROBLEM, "place"]).select(
+        *PROBLEM, "param_idx", F.col("at").alias("value"), "status", "objective", "neg_loglik", "evals")
+
+
+def chains(p: Problems, steps: int, every: int, step_size: float, prior_sd: float, n_chains: int = 1) -> DataFrame:
+    """Draws of independent chains from where the problems stand (usually the full-data fit), one row per parameter.
+
+    Children walk separately: the posterior is a product over them. Step lengths are set by the start.
     """
-    names = [c.split()[0] for c in CHAIN_SCHEMA.split(", ")]
-
-    def draw(block, theta, chain, child, p: pd.DataFrame) -> pd.DataFrame:
-        prior_on = ~((p["kind"] == "baseline") & (p["component"] == "tpoint")).to_numpy()
-        rng = np.random.default_rng([settings.rng_seed, int(chain), *str(child).encode()])
-        kept = _walk(block, theta, prior_on, steps, every, step_size, prior_sd, rng)
-        return pd.concat([pd.DataFrame({
-            "chain": chain, "child": child, "draw_id": i, "param_idx": p["param_idx"].to_numpy(), "value": t,
-            "objective": f, "neg_loglik": nll, "acceptance": a, "proposals": n,
-        }) for i, (t, f, nll, a, n) in enumerate(kept)])[names]
-
-    def sample(key, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(s) == 0 or len(p) == 0:
-            return pd.DataFrame({c: [] for c in names})
-        p = p.sort_values("param_idx")
-        block, theta = build_block(s, p, n_bins, settings)
-        block.start_penalty(theta, float(p["scale"].iloc[0]))
-        return draw(block, theta, key[0], key[1], p)
-
-    copies = F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1))).alias("chain")
-    return _cogrouped(series.select(copies, "*"), params.join(scales, "replicate").select(copies, "*"),
-                      ["chain", "child"], sample, CHAIN_SCHEMA)
+    def on(trials: DataFrame, ids: list[str]) -> DataFrame:
+        return objective.penalised(p.series, trials, p.n_bins, p.settings, ids, gradient=False)
+
+    at = on(p.points.withColumn("trial", F.lit(0)), [*PROBLEM, "trial"]).select(*PROBLEM, (F.col("value") - F.col("neg_loglik")).alias("penalty"))
+    length = F.transform("x", lambda v: step_size * (F.abs(v) + 1.0) / (F.greatest("penalty", F.lit(0.0)) + 1.0))
+    starts = p.points.join(at, PROBLEM).select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1))).alias("chain"), *PROBLEM, "x", length.alias("length"), "prior_on")
+    draws = walk.walk(materialize(starts), on, p.settings.rng_seed, steps, every, prior_sd)
+    opened = draws.select("chain", "child", "draw_id", F.posexplode("x").alias("place", "at"), F.col("value").alias("objective"),
+                          "neg_loglik", "acceptance", "proposals")
+    return p.params.select("child", "place", "param_idx").join(opened, ["child", "place"]).select(
+        "chain", "child", "draw_id", "param_idx", F.col("at").alias("value"), "objective", "neg_loglik", "acceptance", "proposals")

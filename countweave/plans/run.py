@@ -54,19 +54,18 @@ def settings_table(spark: SparkSession, settings: ModelSettings, n_bins: int) ->
     return spark.createDataFrame(rows, "name string, value string")
 
 
-def _fit_start(start: initial.InitialModel, series: DataFrame, dispersion: DataFrame, params: DataFrame,
-               replicate: bool):
-    ready = materialize(fit.series_for_fit(series, dispersion, replicate))
-    begin = fit.params_for_fit(params, start.pairs, replicate)
-    begin = materialize(fit.make_feasible(ready, begin, start.n_bins, start.settings))
-    scales = materialize(fit.penalty_scales(ready, begin, start.pairs, start.n_bins, start.settings))
-    return ready, begin, scales
+def _prepared(start: initial.InitialModel, series: DataFrame, dispersion: DataFrame, params: DataFrame,
+              replicate: bool = False) -> fit.Problems:
+    """Problems at feasible starts, with their penalty."""
+    return fit.with_penalty(fit.make_feasible(fit.problems(
+        series, dispersion, params, start.pairs, start.n_bins, start.settings, replicate)))
 
 
-def full_fit(start: initial.InitialModel) -> tuple[DataFrame, tuple]:
-    """Fit of the full data, and the tables it started from."""
-    parts = _fit_start(start, start.series, start.dispersion, start.params, False)
-    return materialize(fit.fit(*parts, start.n_bins, start.settings)), parts
+def full_fit(start: initial.InitialModel) -> tuple[DataFrame, fit.Problems]:
+    """Fit of the full data, one row per parameter, and its problems at the fit."""
+    ready = _prepared(start, start.series, start.dispersion, start.params)
+    fits = fit.fit(ready)
+    return materialize(fit.fitted_params(ready, fits)), ready.at(fits)
 
 
 def bootstrap_fits(tokens: DataFrame, start: initial.InitialModel, replicates: int) -> DataFrame:
@@ -76,8 +75,8 @@ def bootstrap_fits(tokens: DataFrame, start: initial.InitialModel, replicates: i
     series = materialize(
         resample.bootstrap_series(resampled, start.levels, fixed, start.n_bins, replicates))
     params, dispersion = reestimate(start, series)
-    parts = _fit_start(start, series, dispersion, params, True)
-    return materialize(fit.fit(*parts, start.n_bins, start.settings))
+    ready = _prepared(start, series, dispersion, params, True)
+    return materialize(fit.fitted_params(ready, fit.fit(ready)))
 
 
 def reestimate(start: initial.InitialModel, series: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,14 +138,11 @@ def run(data: DataFrame, variables: Variables | dict | None = None, settings: Mo
         raise ValueError("ask for bootstraps, a chain, or both")
     tokens = select_model_columns(data, variables)
     start = initial.build(tokens, settings, n_bins)
-    fits, parts = full_fit(start)
+    fits, at_fit = full_fit(start)
     chain_draws = chain_diag = None
     if chain is not None:
-        ready, begin, scales = parts
-        at_fit = begin.drop("value").join(fits.select("param_idx", "value"), "param_idx")
         walk = materialize(fit.chains(
-            ready, at_fit, scales, start.n_bins, settings, chain.steps + chain.burnin, chain.neighbor_filter,
-            chain.step_size, chain.prior, n_chains))
+            at_fit, chain.steps + chain.burnin, chain.neighbor_filter, chain.step_size, chain.prior, n_chains))
         chain_draws, chain_diag = chain_tables(walk, fits, chain.burnin)
     if bootstraps > 0:
         boot = bootstrap_fits(tokens, start, bootstraps)

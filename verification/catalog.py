@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from countweave.functions import model
 from countweave.functions.special import log_gamma, normal_quantile
 from countweave.operators import (
-    cells, changepoints, curve, design, diagnostics, effects, masks, ordering, resample, stats, windows,
+    cells, changepoints, curve, design, diagnostics, effects, fit, masks, objective, ordering, resample, stats, walk, windows,
 )
 from countweave.plans import initial
 from countweave.plans import run as run_plan
@@ -687,6 +687,74 @@ def m19(spark, d):
 
 # --- resampling and fitting ----------------------------------------------------------------------
 
+PROBLEM_KEYS = "child, parent, ran, treatment, component, k"
+
+
+@check("r3_value_gradient", q.query([*COEF, PENALTY, q.gradient()], f"""SELECT {PROBLEM_KEYS}, {r('neg_loglik + penalty', 5)} AS objective, {r('slope', 5)} AS slope
+  FROM slopes JOIN nll USING (child) JOIN pen USING (child)"""))
+def r3_gradient(spark, d):
+    m = fx.SimpleModel(spark, d).ready()
+    p = fit.with_penalty(fit.problems(m.series, m.dispersion, m.held, m.pairs, fx.N_BINS, fx.SETTINGS))
+    out = fit.value_and_gradient(p).select(*PROBLEM_KEYS.split(", "), "objective", "slope")
+    return rounded(out, ["objective", "slope"], 5)
+
+
+@check("r3_full_fit")
+def r3_fit(spark, d):
+    """Fits of all children in few steps: where each started, where it is, and why it stopped."""
+    m = fx.SimpleModel(spark, d).ready()
+    p = fit.with_penalty(fit.problems(m.series, m.dispersion, m.held, m.pairs, fx.N_BINS, replace(fx.SETTINGS, max_evals=8)))
+    start = fit.value_and_gradient(p).select("child", F.col("objective").alias("start")).distinct()
+    return rounded(fit.fit(p).join(start, "child").select("child", "start", F.col("value").alias("objective"), "status", "evals"), ["start", "objective"], 2)
+
+
+@check("r4_feasible_start", q.query([*q.base(), q.RATIO, q.POINTS, q.LOG_MEANS, q.DISPERSION, q.CROWDED, q.WARPS, q.predicted()], f"""
+  SELECT child, {r('min(distance)', 5)} AS start_distance, count(*) AS n_distances, true AS reached FROM dist GROUP BY ALL"""))
+def r4(spark, d):
+    """First transition points moved past the second ones, and back into the feasible region."""
+    m = fx.SimpleModel(spark, d).ready()
+    first = (F.col("kind") == "baseline") & (F.col("component") == "tpoint") & (F.col("k") == 0)
+    held = m.held.withColumn("value", F.when(first, 38.0).otherwise(F.col("value")))
+    p = fit.problems(m.series, m.dispersion, held, m.pairs, fx.N_BINS, fx.SETTINGS)
+    distances = lambda p: objective.start_distances(p.series, p.points, fx.N_BINS, fx.SETTINGS).select("child", F.explode("distances").alias("x"))
+    start = distances(p).groupBy("child").agg(F.min("x").alias("start_distance"), F.count("x").alias("n_distances"))
+    end = distances(fit.make_feasible(p)).groupBy("child").agg((F.min("x") >= fit.FEASIBLE_AT).alias("reached"))
+    return rounded(start.join(end, "child"), ["start_distance"], 5)
+
+
+@check("r5_replicate_fits")
+def r5(spark, d):
+    """Status, objective and evaluations of every replicate's children, fitted together."""
+    t = fx.tokens(spark, d)
+    start = initial.build(t, replace(fx.SETTINGS, max_evals=4), fx.N_BINS)
+    fits = run_plan.bootstrap_fits(t, start, REPLICATES)
+    return rounded(fits.select("replicate", "child", "status", "evals", "objective", "neg_loglik").distinct(), ["objective", "neg_loglik"], 2)
+
+
+BOWL = "bowl AS (SELECT l_returnflag AS child, avg(l_discount) * 10 AS m, 4.0::DOUBLE AS c FROM lineitem GROUP BY ALL)"
+BOWL_STEP = "(-0.5 * c * ((x0 - m) * (x0 - m) + (x1 + m) * (x1 + m)) - 0.5 * x0 * x0)"
+
+
+@check("r6_metropolis", q.query([BOWL, q.walk(BOWL_STEP, "SELECT child, 1.0::DOUBLE AS x0, 0.5::DOUBLE AS x1, m, c FROM bowl", 150)], f"""
+  SELECT child, CAST(accepted // 2 - 1 AS INT) AS draw_id, {r('x0')} AS x0, {r('x1')} AS x1, {r('ratio')} AS acceptance, n - 1 AS proposals FROM walk
+  WHERE went AND accepted % 2 = 0 AND accepted <= 10"""))
+def r6(spark, d):
+    """Walks over a bowl around each group's mean, of the same keys as in SQL; every second accepted place is a draw."""
+    bowl = fx.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("child")).agg((F.avg("l_discount") * 10).alias("m"))
+    bowl = materialize(bowl)
+
+    def evaluate(trials, ids):
+        x0, x1, m = F.get("x", F.lit(0)), F.get("x", F.lit(1)), F.col("m")
+        value = 0.5 * 4.0 * ((x0 - m) * (x0 - m) + (x1 + m) * (x1 + m))
+        return trials.join(bowl, "child").select(*ids, value.alias("value"), value.alias("neg_loglik"))
+
+    arr = lambda *v: F.array(*[F.lit(x) for x in v])
+    starts = bowl.select(F.lit(0).alias("chain"), "child", arr(1.0, 0.5).alias("x"), arr(0.4, 0.4).alias("length"), arr(True, False).alias("prior_on"))
+    draws = walk.walk(starts, evaluate, 42, steps=5, every=2, prior_sd=1.0)
+    out = draws.select("child", "draw_id", F.get("x", F.lit(0)).alias("x0"), F.get("x", F.lit(1)).alias("x1"), "acceptance", "proposals")
+    return rounded(out, ["x0", "x1", "acceptance"])
+
+
 REPLICATES = 3
 
 

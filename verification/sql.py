@@ -287,3 +287,69 @@ SORTED = "sorted AS (SELECT param_idx, list(value ORDER BY value) AS xs FROM boo
 
 def query(ctes: list[str], select: str) -> str:
     return f"WITH RECURSIVE {', '.join(ctes)} {select}"
+
+
+def digamma(x: str) -> str:
+    """The shifted Stirling series of the library; DuckDB has no such function."""
+    from countweave.functions.special import STIRLING
+
+    inv = f"(1 / (({x}) + 8))"
+    series = f"{inv} * {inv} * {poly(f'{inv} * {inv}', [(2 * i + 1) * c for i, c in enumerate(STIRLING)])}"
+    return f"(ln(({x}) + 8) - 0.5 * {inv} - {series} - ({' + '.join(f'1 / (({x}) + {k})' for k in range(8))}))"
+
+
+def _warp_slopes() -> str:
+    grown = "exp(CASE WHEN w > 0 THEN -w * w / b * v ELSE -w * w / b * (b - v) END)"
+    return (f"{grown} + w * w / b * {grown} * CASE WHEN w > 0 THEN b - v ELSE v END AS dv, "
+            f"2 * w / b * v * (b - v) * {grown} * CASE WHEN w > 0 THEN 1 ELSE -1 END AS dw")
+
+
+def gradient() -> str:
+    """Derivatives of the penalised objective by every parameter (slopes), after model_ctes and coef."""
+    s = SERIES
+    return f"""
+vals7 AS (SELECT {s}, unnest(['Rt', 'Rt', 'Rt', 'tslope', 'tslope', 'tpoint', 'tpoint']) AS component, unnest([0, 1, 2, 0, 1, 0, 1]) AS k,
+  unnest([Rt0, Rt1, Rt2, tslope0, tslope1, tpoint0, tpoint1]) AS v, unnest([wr, wr, wr, ws, ws, wp, wp]) AS w,
+  unnest([{UNBOUNDED}, {UNBOUNDED}, {UNBOUNDED}, {UNBOUNDED}, {UNBOUNDED}, {float(N_BINS)}, {float(N_BINS)}]) AS b FROM unwarped),
+bent AS (SELECT {s}, component, k, {_warp_slopes()} FROM vals7),
+g0 AS (SELECT {s}, bin, count_log AS y, pred_log AS r, dispersion AS d, exp(pred_log) - 1 AS p FROM pred JOIN dispersion USING (parent, child)
+  WHERE observed AND count IS NOT NULL),
+g1 AS (SELECT {s}, bin, y, r, (p + d * p * p) / ((p + 1) * (p + 1)) AS v, (1 - p + 2 * d * p) / ((p + 1) * (p + 1)) AS dv FROM g0),
+g2 AS (SELECT {s}, bin, y, r * r / v AS s, r / v AS q, 2 * r / v - r * r * dv / (v * v) AS ds, 1 / v - r * dv / (v * v) AS dq FROM g1),
+g3 AS (SELECT {s}, bin, -((ln(q) + {digamma('y + s')} - {digamma('s')} - ln(1 + q)) * ds + (s / q - (y + s) / (q + 1)) * dq) AS slope FROM g2),
+g4 AS (SELECT {s}, bin, slope, R0, R1, R2, S0, S1, P0, P1, {logistic('(S0 * (bin - P0))')} AS a0, {logistic('(S1 * (bin - P1))')} AS a1
+  FROM g3 JOIN warped USING ({s})),
+fitted AS (SELECT {s}, sum(slope * (1 - a0)) AS r0, sum(slope * (a0 - a1)) AS r1, sum(slope * a1) AS r2,
+  sum(slope * (R1 - R0) * a0 * (1 - a0) * (bin - P0)) AS s0, sum(slope * (R2 - R1) * a1 * (1 - a1) * (bin - P1)) AS s1,
+  -sum(slope * (R1 - R0) * a0 * (1 - a0) * S0) AS p0, -sum(slope * (R2 - R1) * a1 * (1 - a1) * S1) AS p1 FROM g4 GROUP BY ALL),
+pushed AS (SELECT {s}, what, k, CASE WHEN distance > 0 THEN -2 / (coefficient * coefficient * distance * distance * distance) ELSE 0 END AS g
+  FROM dist JOIN coef USING ({s}, what, k)),
+pulls AS (SELECT {s}, {', '.join(f"sum(g) FILTER (what = '{w}' AND k = {k}) AS {w}{k}" for w, n in (('slope', 2), ('gap', 3), ('rate', 3)) for k in range(n))}
+  FROM pushed GROUP BY ALL),
+by_value AS (SELECT {s}, unnest(['Rt', 'Rt', 'Rt', 'tslope', 'tslope', 'tpoint', 'tpoint']) AS component, unnest([0, 1, 2, 0, 1, 0, 1]) AS k,
+  unnest([r0 + rate0, r1 + rate1, r2 + rate2, s0 + slope0, s1 + slope1, p0 + gap0 - gap1, p1 + gap1 - gap2]) AS g FROM fitted JOIN pulls USING ({s})),
+shares AS (SELECT {s}, component, k, g * dv AS by_value, g * dw AS by_warp FROM by_value JOIN bent USING ({s}, component, k)),
+slopes AS (SELECT h.child, h.parent, CAST(NULL AS VARCHAR) AS ran, p.effect AS treatment, h.component, CAST(h.k AS INT) AS k, sum(by_value) AS slope
+  FROM shares h JOIN pairs p ON p.treatment = h.treatment GROUP BY ALL
+  UNION ALL SELECT child, NULL, ran, NULL, CASE component WHEN 'Rt' THEN 'rate' WHEN 'tslope' THEN 'slope' ELSE 'point' END, NULL, sum(by_warp)
+  FROM shares WHERE ran <> 'none' GROUP BY ALL)"""
+
+
+# the same model with every first transition point moved so that its reference value is 38: points crowd and cross
+CROWDED = VALUES.replace("vals AS (SELECT", "vals0 AS (SELECT").replace("effects AS (SELECT", """vals AS (SELECT a.parent, a.child, a.treatment, a.component, a.k,
+  CASE WHEN a.component = 'tpoint' AND a.k = 0 THEN a.value - b.value + 38 ELSE a.value END AS value FROM vals0 a
+  JOIN (SELECT parent, child, value FROM vals0 WHERE treatment = 'ref' AND component = 'tpoint' AND k = 0) b USING (parent, child)),
+effects AS (SELECT""")
+
+
+def walk(step_sql: str, start_sql: str, proposals: int) -> str:
+    """A random walk of two places, one proposal a row, as a recursive table."""
+    z = lambda i: normal_quantile(f"(({hash32('42', '0', 'child', 'n', str(i))} + 0.5) / 4294967296.0)")
+    u = f"(({hash32('42', '0', 'child', 'n', chr(39) + 'accept' + chr(39))} + 0.5) / 4294967296.0)"
+    return f"""
+walk AS (SELECT child, 0::BIGINT AS n, x0, x1, {step_sql} AS lp, 0::BIGINT AS accepted, false AS went, 1.0::DOUBLE AS ratio FROM ({start_sql})
+  UNION ALL SELECT child, n + 1, CASE WHEN yes THEN y0 ELSE x0 END, CASE WHEN yes THEN y1 ELSE x1 END, CASE WHEN yes THEN lp1 ELSE lp END,
+    accepted + yes::INT, yes, p FROM (SELECT *, {u} < p AS yes FROM (SELECT *, exp(least(0, lp1 - lp)) AS p FROM
+    (SELECT child, n, x0, x1, lp, accepted, y0, y1, {step_sql.replace('x0', 'y0').replace('x1', 'y1')} AS lp1 FROM
+     (SELECT w.child, n, x0, x1, lp, accepted, m, c, x0 + 0.4 * {z(0)} AS y0, x1 + 0.4 * {z(1)} AS y1 FROM walk w JOIN bowl USING (child) WHERE n < {proposals}))))
+)"""
