@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,11 +57,45 @@ def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return column_means(spark.read.option("header", True).option("nullValue", "NA").csv(path))
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table under its name."""
+MANIFEST = "number long, version string, names array<string>"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest rows of a bundle, one for every version written to its end; None where there is no bundle yet."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest(spark: SparkSession, path: str) -> Row | None:
+    rows = _manifest(spark, path)
+    return None if rows is None else rows.orderBy(F.desc("number"), "version").first()
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> str:
+    """A new version of a bundle: each table under its name, then the row of the manifest that makes it the one to read.
+
+    A write that stops before the end leaves the version before as it was. Returns the version.
+    """
+    version = uuid.uuid4().hex
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/version-{version}/{name}")
+    last = _latest(spark, path)
+    row = [(1 if last is None else last.number + 1, version, list(tables))]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
 
 
-def read_bundle(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def read_bundle(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of the last version that was written to its end; all of them where no names are given."""
+    last = _latest(spark, path)
+    if last is None:
+        raise ValueError(f"no bundle at {path}")
+    missing = sorted(set(names or []) - set(last.names))
+    if missing:
+        raise ValueError(f"tables not in the bundle: {missing}")
+    return {name: spark.read.parquet(f"{path}/version-{last.version}/{name}") for name in names or last.names}

@@ -98,9 +98,20 @@ def test_csv_boundaries_and_bundle(spark, tmp_path):
         f.write('"V1","V2"\nNA,78\nNA,81\n')
     got = {r["name"]: r["mean"] for r in tables.read_boundaries(spark, edges).collect()}
     assert got == {"V1": None, "V2": 79.5}
-    tables.write_bundle({"tokens": t}, str(tmp_path / "out"))
+    version = tables.write_bundle({"tokens": t}, str(tmp_path / "out"))
     assert tables.read_bundle(spark, str(tmp_path / "out"), ["tokens"])["tokens"].count() == 2
-    assert tables.read_tokens(spark, str(tmp_path / "out" / "tokens"), Variables(fixed_effects=("side",)), "parquet").count() == 2
+    # a write that stops in the middle leaves the version before; a whole one takes its place
+    fails = t.select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_bundle({"tokens": t.limit(1), "broken": fails}, str(tmp_path / "out"))
+    assert {k: v.count() for k, v in tables.read_bundle(spark, str(tmp_path / "out")).items()} == {"tokens": 2}
+    tables.write_bundle({"tokens": t.limit(1), "more": t}, str(tmp_path / "out"))
+    assert {k: v.count() for k, v in tables.read_bundle(spark, str(tmp_path / "out")).items()} == {"tokens": 1, "more": 2}
+    with pytest.raises(ValueError, match="other"):
+        tables.read_bundle(spark, str(tmp_path / "out"), ["other"])
+    with pytest.raises(ValueError, match="no bundle"):
+        tables.read_bundle(spark, str(tmp_path / "none"))
+    assert tables.read_tokens(spark, str(tmp_path / "out" / f"version-{version}" / "tokens"), Variables(fixed_effects=("side",)), "parquet").count() == 2
 
 
 def test_three_factors_and_colliding_names(spark):
