@@ -163,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: s
     """The machine, from labelled rows that are not held out.
 
     Null ids and labels are left out; of an id labelled twice the larger label counts, and of one with
-    several rows each is a row. The rows come in the order of their ids, so the fit can be repeated.
+    several rows each is a row, up to max_rows rows in all. The rows come in the order of their ids and features, so the fit
+    can be repeated.
     """
     told = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column))) \
-        .groupBy(F.col(id_column).cast("long").alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y")) \
-        .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    texts = docs.join(F.broadcast(told), docs[id_column].cast("long") == F.col("__id")) \
-        .select("__id", "__y", F.col(text_column).cast("string").alias("__text"))
+        .groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(F.col(label)).cast("int").alias("y")) \
+        .orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(id_column).cast("long").alias("own"), F.col(text_column).cast("string").alias("text")) \
+        .join(F.broadcast(told), F.col("own") == F.col("id")).select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: s
                     pa.array([f.value[a:b].astype("<f4").tobytes() for a, b in zip(f.first[:-1], f.first[1:])])],
                     names=["id", "y", "place", "value"])
 
-    rows = texts.mapInArrow(run, "id long, y int, place binary, value binary").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r.id, bytes(r.value)))
+    rows = texts.mapInArrow(run, "id long, y int, place binary, value binary") \
+        .orderBy("id", "value", "place").limit(max_rows).collect()
     if not rows:
         return fit_machine(Features(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)), np.zeros(0))
     place = [np.frombuffer(r.place, "<u2").astype(np.int64) for r in rows]

@@ -195,12 +195,13 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """docs with one row of each text, all its columns as they are."""
     found = keep(exact_duplicates(docs, id_column=id_column, text_column=text_column))
     stays = found.groupBy("id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")) \
-        .where("stays").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("n").alias("__n"))
-    named = docs.withColumn("__own", F.sha2(normalised(F.col(text_column)), 256))
-    left = named.join(stays, F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
-    single = left.where("__n = 1").select(*docs.columns)
-    folded = left.where("__n > 1").groupBy("__id", "__digest").agg(F.first(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return single.unionByName(folded)
+        .where("stays").select("id", "digest", "n")
+    # a row travels as one struct, so no column of docs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("of"), F.sha2(normalised(F.col(text_column)), 256).alias("own"))
+    left = rows.join(stays, F.col("of").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
+    single = left.where("n = 1").select("row")
+    folded = left.where("n > 1").groupBy("id", "digest").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(folded).select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

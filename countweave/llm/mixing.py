@@ -119,9 +119,11 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], b
 def take(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as it was chosen, all its columns as they are; ids must be unique."""
     name = options.get("id_column", "doc_id")
-    chosen = mixed(docs, **options).where("copies > 0").select(F.col("id").alias("__id"), "copies")
-    left = docs.join(chosen, docs[name].cast("long").eqNullSafe(F.col("__id")))
-    return left.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    chosen = mixed(docs, **options).where("copies > 0").select("id", "copies")
+    # a row travels as one struct, so no column of docs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), docs[name].cast("long").alias("own"))
+    left = rows.join(chosen, F.col("own").eqNullSafe(F.col("id")))
+    return left.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 #: The tree of the given documents: sources belong to domains.

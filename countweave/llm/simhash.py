@@ -172,8 +172,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs whose id names their component: one document of each near-duplicate group."""
     found = near_duplicates(docs, id_column, text_column)
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    # a row travels as one struct, so no column of docs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), docs[id_column].cast("long").alias("own"))
+    return rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left_anti").select("row.*")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
