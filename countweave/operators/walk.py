@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SPAN, hash01, hash32
+from ..functions.hashing import SPAN, hash32
 from ..functions.special import normal_quantile
-from ..functions.vectors import empty, let
+from ..functions.vectors import let
 from ..sources.storage import materialize
 from .curve import BAD_OBJECTIVE
 

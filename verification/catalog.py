@@ -1005,6 +1005,52 @@ def p7(spark, d):
     return out
 
 
+# the summary of child A's cells and child c0's parameters, a query a table
+P6_SQL = ORACLE["p6_parameter_rows"]
+CHILD_A = [c.replace("FROM mp", "FROM (SELECT * FROM mp WHERE child = 'A')") if c.strip().startswith("resid AS") else c for c in RESID]
+CHILD_QQ = [*CHILD_A, QQ[-1]]
+# as in P1, bins are compared on rounded values, so that no value falls either way of an edge by its last bit
+CHILD_BINS = [c.replace("pred_log - count_log", "round(pred_log, 7) - round(count_log, 7)") for c in CHILD_A]
+FAMILY_C0 = FAMILY.replace("JOIN params USING (param_idx)", "JOIN params USING (param_idx) WHERE child = 'c0'")
+
+
+def _child_summary(spark, d, name):
+    b, params = fx.boot_draws(spark, d)
+    summary = stats.summary(b, params, stats.full_fit_values(b))
+    predicted = fx.mean_predicted(spark, d)
+    if "histogram" in name:
+        b = b.withColumn("value", F.round("value", 7))
+        predicted = predicted.withColumns({c: F.round(c, 7) for c in ("pred_log", "count_log")})
+    return diagnostics.child_summary(predicted, params, summary, b, children=["A", "c0"])[name]
+
+
+@check("p7_rate_count", q.query(MP, f"SELECT parent, child, treatment, ran, bin, {r('count_log')} AS count, {r('pred_log')} AS pred FROM mp WHERE child = 'A'"))
+def p7_rate_count(spark, d):
+    return rounded(_child_summary(spark, d, "rate_count"), ["count", "pred"])
+
+
+@check("p7_parameters", P6_SQL + " WHERE p.child = 'c0'")
+def p7_parameters(spark, d):
+    return rounded(_child_summary(spark, d, "parameters"), ["estimate", "ci_low", "ci_high", "value"])
+
+
+@check("p7_residual_histogram", q.query([*CHILD_BINS, hist_sql("grouping", "residual_log", "resid", 50)], f"SELECT grouping, bucket, {r('mid')} AS mid, n FROM hg"))
+def p7_residual_histogram(spark, d):
+    return rounded(_child_summary(spark, d, "residual_histogram"), ["mid"])
+
+
+@check("p7_effect_histogram", q.query([*DRAWS, FAMILY_C0, hist_sql("family", "value", "fam", 75)], f"SELECT family, bucket, {r('mid')} AS mid, n, {r('n / max(n) OVER (PARTITION BY family)')} AS density FROM hg"))
+def p7_effect_histogram(spark, d):
+    return rounded(_child_summary(spark, d, "effect_histogram"), ["mid", "density"])
+
+
+@check("p7_quantile_pairs", q.query(CHILD_QQ, f"""SELECT grouping, i, {r('residual_log')} AS sample, {r(q.normal_quantile(f'((i - {A}) / (n + 1 - 2 * {A}))'))} AS normal,
+  {r(q.normal_quantile('((i - 0.5) / n)') + ' * sd')} AS convolved FROM qq"""))
+def p7_quantile_pairs(spark, d):
+    out = _child_summary(spark, d, "quantile_pairs").withColumn("i", F.col("i").cast("bigint"))
+    return rounded(out, ["sample", "normal", "convolved"])
+
+
 @check("p8_draw_traces", q.query([*DRAWS, f"""
 walk AS (SELECT param_idx, draw_id, value * (1 + 30 * (param_idx % 4)) AS value FROM boot WHERE NOT is_full_fit),
 pos AS (SELECT *, row_number() OVER (PARTITION BY param_idx ORDER BY draw_id) AS at FROM walk),
