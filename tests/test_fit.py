@@ -175,12 +175,12 @@ def test_hot_child_is_spread(spark, ready):
 def test_whole_run(spark, sf_dir):
     with pytest.warns(UserWarning):  # few steps: no fit settles, and the chain is short
         out = plan.run(fx.raw_tokens(spark, sf_dir).drop("l_orderkey", "l_quantity", "l_discount"), fx.VARIABLES, replace(fx.SETTINGS, max_evals=2),
-                       bootstraps=2, chain=ChainSettings(steps=2, step_size=0.002, burnin=1, neighbor_filter=1), n_bins=fx.N_BINS)
+                       bootstraps=2, chain=ChainSettings(steps=4, step_size=0.002, burnin=1, neighbor_filter=1), n_bins=fx.N_BINS)
     n = out.params.count()
     assert out.stats.count() == n and out.draws.count() == 3 * n
     d = out.draw_diagnostics.toPandas()
     assert len(d) == 3 and d.is_full_fit.sum() == 1 and (d.objective >= d.neg_loglik).all()
-    assert out.chain_draws.where("not is_full_fit").count() == 2 * n
+    assert out.chain_draws.where("not is_full_fit").count() == 4 * n
     assert out.residuals.count() == 1 + 4 + 4 + 6
     bundle = out.tables()
     assert set(bundle) >= {"cells", "params", "draws", "stats", "chain_draws", "reference_pools", "settings",
