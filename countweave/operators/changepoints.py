@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from .design import SERIES
 
 GROUP = ["parent", "child"]
 SCALES = ("r1", "r2", "r4")
-ALIGN_BYTES = 16_000_000
 
 
 def complete_series(cell_table: DataFrame, n_bins: int) -> DataFrame:
@@ -99,102 +96,94 @@ def peaks(curves: DataFrame, keys: list[str], columns: list[str], ws: int, cutof
     )
 
 
-def _align_batch(curves: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Best slope-limited alignment (symmetric, P = 1/2) of each curve to its target.
+#: Steps of a slope-limited alignment (symmetric, P = 1/2): rows and columns moved. Of equal costs the first step wins.
+STEPS = [(1, 3), (1, 2), (1, 1), (2, 1), (3, 1)]
 
-    Returns, per (curve, target position), the sum and the number of matched
-    curve positions as an array [2, curves, n].
+
+def _cost_rows(curve: Column, target: Column) -> Column:
+    """Cheapest way to every (curve position, target position): rows of structs (cost, move), null where none leads.
+
+    A step matches one cell for each row or column that it moves, the first at double weight. Cells that no
+    path from corner to corner can visit are skipped.
     """
-    s, n = curves.shape
-    step = np.full((s, n, n), -1, dtype=np.int8)
-    nowhere = np.full((s, n), np.inf)
-
-    def shifted(row, by):
-        """row[j - by] for all j, infinite before the start."""
-        if by == 0:
-            return row
-        out = np.full((s, n), np.inf)
-        out[:, by:] = row[:, :n - by]
-        return out
-
-    # only the last rows of cost and distance are kept: index 0 is one row back, 1 two, 2 three
-    start = nowhere.copy()
-    start[:, 0] = np.abs(curves[:, 0] - targets[:, 0])
-    cost = [start, nowhere, nowhere]
-    near = [np.abs(curves[:, :1] - targets), nowhere]
-    for i in range(1, n):
-        here = np.abs(curves[:, i:i + 1] - targets)
-        left, left2 = shifted(here, 1), shifted(here, 2)
-        options = np.stack([
-            shifted(cost[0], 3) + 2 * left2 + left + here,
-            shifted(cost[0], 2) + 2 * left + here,
-            shifted(cost[0], 1) + 2 * here,
-            shifted(cost[1], 1) + 2 * near[0] + here,
-            shifted(cost[2], 1) + 2 * near[1] + near[0] + here,
-        ])
-        best = options.argmin(axis=0)
-        row = np.take_along_axis(options, best[None], axis=0)[0]
-        step[:, i] = np.where(np.isfinite(row), best, -1)
-        cost, near = [row, *cost[:2]], [here, near[0]]
-
-    # cells each step passes through, relative to its end, newest first; then the jump
-    trails = [
-        [(0, 0), (0, 1), (0, 2)], [(0, 0), (0, 1)], [(0, 0)], [(0, 0), (1, 0)], [(0, 0), (1, 0), (2, 0)],
-    ]
-    jumps = [(1, 3), (1, 2), (1, 1), (2, 1), (3, 1)]
-    hits = np.zeros((2, s, n))
-    for k in range(s):
-        i = j = n - 1
-        while (i, j) != (0, 0):
-            move = step[k, i, j]
-            if move < 0:
-                hits[:, k] = np.nan
-                break
-            for di, dj in trails[move]:
-                hits[0, k, j - dj] += i - di
-                hits[1, k, j - dj] += 1
-            i, j = i - jumps[move][0], j - jumps[move][1]
-        else:
-            hits[1, k, 0] += 1
-    return hits
-
-
-def project_points(curves: list, targets: list, points: list) -> list:
-    """Matched positions (1-based, rounded half to even) of each target's points on its curve."""
-    x, y = np.array(curves, dtype=float), np.array(targets, dtype=float)
-    x[np.isnan(x)] = 1.0
-    out = []
-    limit = max(1, ALIGN_BYTES // (x.shape[1] ** 2))
-    for a in range(0, len(x), limit):
-        total, number = _align_batch(x[a:a + limit], y[a:a + limit])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            at = np.round(total / number + 1)
-        for row, cps in zip(at, points[a:a + limit]):
-            out.append([None if np.isnan(row[int(c) - 1]) else int(row[int(c) - 1]) for c in cps])
-    return out
+    last = F.size(target) - 1
+
+    def gap(i, j):
+        return F.abs(F.get(curve, i) - F.get(target, j))
+
+    def cheapest(rows, i, j):
+        options = []
+        for move, (di, dj) in enumerate(STEPS):
+            cost = F.get(F.get(rows, i - di), j - dj)["cost"]
+            for t in reversed(range(max(di, dj))):
+                g = gap(i - min(t, di - 1), j - min(t, dj - 1))
+                cost = cost + (2 * g if t == max(di, dj) - 1 else g)
+            options.append(F.struct(cost.alias("cost"), F.lit(move).alias("move")))
+        return F.array_min(F.filter(F.array(*options), lambda o: o["cost"].isNotNull()))
+
+    def next_row(rows, i):
+        def cell(j):
+            inside = (j <= 3 * i) & (i <= 3 * j) & (last - j <= 3 * (last - i)) & (last - i <= 3 * (last - j))
+            return F.when(inside, cheapest(rows, i, j))
+
+        return F.concat(rows, F.array(F.transform(F.sequence(F.lit(0), last), cell)))
+
+    first = F.transform(F.sequence(F.lit(0), last), lambda j: F.when(
+        j == 0, F.struct(gap(F.lit(0), F.lit(0)).alias("cost"), F.lit(None).cast("int").alias("move"))))
+    after_first = F.slice(F.sequence(F.lit(0), last), F.lit(2), last + 1)
+    return F.aggregate(after_first, F.array(first), next_row)
+
+
+def matched_points(curve: Column, target: Column, points: Column) -> Column:
+    """Mean positions (1-based, rounded half to even) on the curve that the target's points (1-based) are matched with.
+
+    Curve and target are arrays of one length; a null of the curve counts as 1. Without a path, as with
+    a null at a corner of the target, all are null. Two folds over the rows: one for the costs, one back along the moves.
+    """
+    last = F.size(target) - 1
+    filled = F.transform(curve, lambda v: F.coalesce(F.nanvl(v, F.lit(1.0)), F.lit(1.0)))
+    rows_moved, columns_moved = (F.array(*[F.lit(s[side]) for s in STEPS]) for side in (0, 1))
+    start = F.struct(_cost_rows(filled, target).alias("rows"), last.alias("i"), last.alias("j"),
+                     F.array().cast("array<struct<i:int,j:int>>").alias("cells"))
+
+    def back(s, _):
+        move = F.get(F.get(s["rows"], s["i"]), s["j"])["move"]
+        di, dj = F.get(rows_moved, move), F.get(columns_moved, move)
+        passed = F.transform(F.sequence(F.lit(0), F.greatest(di, dj) - 1), lambda t: F.struct(
+            (s["i"] - F.least(t, di - 1)).alias("i"), (s["j"] - F.least(t, dj - 1)).alias("j")))
+        return F.when(move.isNull(), s).otherwise(F.struct(
+            s["rows"].alias("rows"), (s["i"] - di).alias("i"), (s["j"] - dj).alias("j"),
+            F.concat(s["cells"], passed).alias("cells")))
+
+    def means(s):
+        corner = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
+        cells = F.when((s["i"] == 0) & (s["j"] == 0), F.concat(s["cells"], F.array(corner)))
+
+        def mean(p):
+            at = F.transform(F.filter(cells, lambda c: c["j"] == p - 1), lambda c: c["i"])
+            total = F.aggregate(at, F.lit(0), lambda acc, i: acc + i)
+            return F.when(F.size(at) > 0, F.rint(total / F.size(at) + 1)).cast("int")
+
+        return F.transform(points, mean)
+
+    return F.aggregate(F.sequence(F.lit(0), last), start, back, means)
 
 
 def project(ratios: DataFrame, curves: DataFrame, points: DataFrame, n_bins: int, ws: int) -> DataFrame:
     """Consensus change points carried to every series, 0-based and clamped to [ws, n_bins - ws].
 
-    The middle scale is aligned. One row per series crosses to Python, in Arrow
-    batches; groups without change points never do.
+    The middle scale is aligned, a series at a time.
     """
     def along(df, keys, name):
         return df.groupBy(*keys).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("bin", "r2"))), lambda e: e["r2"]).alias(name)
         )
 
-    @F.pandas_udf("array<int>")
-    def aligned(curve: pd.Series, target: pd.Series, cps: pd.Series) -> pd.Series:
-        if len(curve) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(project_points(list(curve), list(target), list(cps)))
-
     consensus = along(curves, GROUP, "target").join(points, GROUP)
     moved = along(ratios, SERIES, "curve").join(consensus, GROUP)
+    matched = matched_points(F.col("curve"), F.col("target"), F.col("points"))
     return (
-        moved.select(*SERIES, F.posexplode(aligned("curve", "target", "points")).alias("k", "at"))
+        moved.select(*SERIES, F.posexplode(matched).alias("k", "at"))
         .select(*SERIES, "k", clamp(F.col("at"), n_bins, ws).alias("bin0"))
     )
 

@@ -106,18 +106,36 @@ def naive_alignment(x, y):
     return cells + [(0, 0)]
 
 
-def test_alignment_equals_the_naive_programme():
-    for _ in range(6):
-        x, y = RNG.normal(size=18).cumsum(), RNG.normal(size=18).cumsum()
-        path = naive_alignment(x, y)
-        points = [3, 9, 15]
-        want = [int(np.round(np.mean([i + 1 for i, j in path if j == p - 1]))) for p in points]
-        assert changepoints.project_points([x], [y], [points])[0] == want
-
-
-def test_alignment_of_equal_curves_is_the_identity():
-    x = RNG.normal(size=30)
-    assert changepoints.project_points([x, x], [x, x], [[5, 20], [7]]) == [[5, 20], [7]]
+def matched(spark, rows):
+    df = spark.createDataFrame([(k, [None if v is None else float(v) for v in x], [None if v is None else float(v) for v in y], p)
+                                for k, (x, y, p) in enumerate(rows)], "k int, x array<double>, y array<double>, p array<int>")
+    got = df.select("k", changepoints.matched_points(F.col("x"), F.col("y"), F.col("p")).alias("at")).collect()
+    return [r["at"] for r in sorted(got)]
+
+
+def wanted(x, y, points):
+    path = naive_alignment(x, y)
+    return [int(np.round(np.mean([i + 1 for i, j in path if j == p - 1]))) for p in points]
+
+
+def test_alignment_equals_the_naive_programme(spark):
+    rows = [(RNG.normal(size=18).cumsum(), RNG.normal(size=18).cumsum(), [3, 9, 15]) for _ in range(6)]
+    rows += [(RNG.normal(size=n), RNG.normal(size=n), list(range(1, n + 1))) for n in (1, 2, 3, 4, 7, 40)]
+    assert matched(spark, rows) == [wanted(*r) for r in rows]
+
+
+def test_alignment_takes_the_first_of_equally_cheap_steps(spark):
+    """Curves of few whole numbers: sums are exact, so most cells have several cheapest steps."""
+    rows = [(RNG.integers(0, 2, 16).astype(float), RNG.integers(0, 2, 16).astype(float), list(range(1, 17))) for _ in range(12)]
+    rows.append((np.zeros(12), np.zeros(12), list(range(1, 13))))
+    assert matched(spark, rows) == [wanted(*r) for r in rows]
+
+
+def test_alignment_of_equal_curves_is_the_identity(spark):
+    x = list(RNG.normal(size=30))
+    hole = [*x[:4], None, float("nan"), *x[6:]]
+    assert matched(spark, [(x, x, [5, 20]), (x, x, [7]), (hole, [*x[:4], 1.0, 1.0, *x[6:]], [5, 6, 30]), (x, x, []), (x, [None, *x[1:]], [5])]) == [
+        [5, 20], [7], [5, 6, 30], [], [None]]
 
 
 def test_planted_change_points_are_found(start):

@@ -408,7 +408,10 @@ def c5(spark, d):
     return _peaks(spark, d, ["r1", "r2", "r4"])
 
 
-@check("c6_projected_points")
+FOUND = [*RATIO, q.tops(), q.peaks("pk", ["r1", "r2", "r4"]), q.ALIGNED]
+
+
+@check("c6_projected_points", q.query(FOUND, f"SELECT {S}, k, bin0 FROM points"))
 def c6(spark, d):
     return changepoints.change_points(fx.cells(spark, d), fx.N_BINS, fx.WS, 2.0)
 
@@ -497,7 +500,7 @@ def e5(spark, d):
     return back.select(*keys, "treatment", rd("mean_log").alias("value"))
 
 
-@check("e6_parameters", q.query(MODEL, f"""
+PARAMETERS = f"""
   SELECT CAST(row_number() OVER (ORDER BY section, parent, child, o1, o2) - 1 AS BIGINT) AS param_idx, kind, component, nullif(parent, '') AS parent, child, ran, treatment, k, name, {r('value')} AS value FROM (
   SELECT CASE WHEN treatment = 'ref' THEN 'baseline' ELSE 'beta' END AS kind, component, parent, child, NULL AS ran, treatment, CAST(k AS INT) AS k,
     CASE WHEN treatment = 'ref' THEN concat('baseline_', parent, '_', component, '_', child, '_Tns/Blk', k + 1)
@@ -505,7 +508,10 @@ def e5(spark, d):
     CASE component WHEN 'Rt' THEN 0 WHEN 'tslope' THEN 1 ELSE 2 END AS section, lpad(k::VARCHAR, 9, '0') AS o1, treatment_idx AS o2
   FROM effects JOIN treatments USING (treatment)
   UNION ALL SELECT 'wfactor', component, '', child, ran, NULL, NULL, concat('wfactor_', component, '_', ran, '_X_', child), value, 3, ran,
-    CASE component WHEN 'point' THEN 0 WHEN 'rate' THEN 1 ELSE 2 END FROM warps)"""))
+    CASE component WHEN 'point' THEN 0 WHEN 'rate' THEN 1 ELSE 2 END FROM warps)"""
+
+
+@check("e6_parameters", q.query(MODEL, PARAMETERS))
 def e6(spark, d):
     p = fx.SimpleModel(spark, d).params
     return rounded(p.withColumn("param_idx", F.col("param_idx").cast("bigint")), ["value"])
@@ -517,9 +523,10 @@ def e7(spark, d):
     return rounded(effects.initial_warps(pairs, fx.SETTINGS.rng_seed), ["value"], 9)
 
 
-@check("e8_initial_model")
+@check("e8_initial_model", q.query([*FOUND, q.TREATMENT_POINTS, q.LOG_MEANS, q.ANY_BLOCKS, q.RUNS, q.FOUND_VALUES, q.WARPS], PARAMETERS))
 def e8(spark, d):
-    return initial.build(fx.tokens(spark, d), fx.SETTINGS, fx.N_BINS).params
+    p = initial.build(fx.tokens(spark, d), fx.SETTINGS, fx.N_BINS).params
+    return rounded(p.withColumn("param_idx", F.col("param_idx").cast("bigint")), ["value"])
 
 
 # --- model evaluation ----------------------------------------------------------------------------

@@ -165,7 +165,30 @@ def peaks(name: str, columns: list[str], ws: int = WS) -> str:
   FROM (SELECT parent, child, arg_max(found, rn) AS f FROM {name}_r GROUP BY ALL))"""
 
 
-# change points that SQL can state: the best bin of each half of every complete series
+# the alignment cell by cell: costs row by row (three rows kept), then back along the moves
+ALIGNED = f"""
+pairs_of AS (SELECT dense_rank() OVER (ORDER BY {SERIES}) AS sid, {SERIES}, bin - 1 AS at, coalesce(ratio.r2, 1.0) AS x, curves.r2 AS y
+  FROM ratio JOIN curves USING (parent, child, bin) WHERE (parent, child) IN (SELECT (parent, child) FROM pk)),
+gaps AS (SELECT a.sid, a.at AS i, b.at AS j, abs(a.x - b.y) AS d FROM pairs_of a JOIN pairs_of b ON a.sid = b.sid),
+near AS (SELECT *, lag(d, 1) OVER row_ AS l1, lag(d, 2) OVER row_ AS l2, lag(d, 1) OVER col_ AS u1, lag(d, 2) OVER col_ AS u2
+  FROM gaps WINDOW row_ AS (PARTITION BY sid, i ORDER BY j), col_ AS (PARTITION BY sid, j ORDER BY i)),
+costs AS (SELECT sid, i, j, CASE WHEN j = 0 THEN d END AS c1, NULL::DOUBLE AS c2, NULL::DOUBLE AS c3, NULL::INT AS move FROM near WHERE i = 0
+  UNION ALL SELECT sid, i, j, least(o0, o1, o2, o3, o4), c1, c2,
+    CASE least(o0, o1, o2, o3, o4) WHEN o0 THEN 0 WHEN o1 THEN 1 WHEN o2 THEN 2 WHEN o3 THEN 3 WHEN o4 THEN 4 END
+  FROM (SELECT n.sid, n.i, n.j, c.c1, c.c2, lag(c1, 3) OVER w + 2 * l2 + l1 + d AS o0, lag(c1, 2) OVER w + 2 * l1 + d AS o1,
+      lag(c1, 1) OVER w + 2 * d AS o2, lag(c2, 1) OVER w + 2 * u1 + d AS o3, lag(c3, 1) OVER w + 2 * u2 + u1 + d AS o4
+    FROM costs c JOIN near n ON n.sid = c.sid AND n.i = c.i + 1 AND n.j = c.j WINDOW w AS (PARTITION BY c.sid ORDER BY c.j))),
+trail AS (SELECT DISTINCT sid, {N_BINS - 1} AS i, {N_BINS - 1} AS j FROM pairs_of
+  UNION ALL SELECT t.sid, CAST(t.i - [1, 1, 1, 2, 3][c.move + 1] AS INT), CAST(t.j - [3, 2, 1, 1, 1][c.move + 1] AS INT)
+  FROM trail t JOIN costs c ON c.sid = t.sid AND c.i = t.i AND c.j = t.j WHERE c.move IS NOT NULL),
+visited AS (SELECT t.sid, t.i - least(s, [1, 1, 1, 2, 3][c.move + 1] - 1) AS i, t.j - least(s, [3, 2, 1, 1, 1][c.move + 1] - 1) AS j
+  FROM trail t JOIN costs c USING (sid, i, j), unnest([0, 1, 2]) u(s) WHERE s < [3, 2, 1, 2, 3][c.move + 1]
+  UNION ALL SELECT DISTINCT sid, 0, 0 FROM pairs_of),
+points AS (SELECT {SERIES}, pk.k, CAST(least(greatest(round_even(avg(v.i) + 1, 0) - 1, {WS}), {N_BINS - WS}) AS INT) AS bin0
+  FROM (SELECT DISTINCT sid, {SERIES} FROM pairs_of) JOIN pk USING (parent, child) JOIN visited v USING (sid) WHERE v.j = pk.point - 1 GROUP BY ALL)"""
+TREATMENT_POINTS = """tpoints AS (SELECT parent, child, treatment, k, avg(bin0) AS point, CAST(round(avg(bin0)) AS INT) AS bin0 FROM points GROUP BY ALL)"""
+
+# change points for the steps after them: the best bin of each half of every complete series
 POINTS = f"""
 points AS (SELECT {SERIES}, 0 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN {WS // 2 + 2} AND {N_BINS // 2} GROUP BY ALL
   UNION ALL SELECT {SERIES}, 1 AS k, arg_max(bin, r1) - 1 AS bin0 FROM ratio WHERE bin BETWEEN {N_BINS // 2 + 1} AND {N_BINS - WS // 2} GROUP BY ALL),
@@ -203,6 +226,22 @@ steps AS (SELECT parent, child, treatment, k, 0 AS turn, 0 AS bb, 0 AS bf, 0.0::
   FROM steps s JOIN tr ON tr.parent = s.parent AND tr.child = s.child AND tr.treatment = s.treatment AND tr.k = s.k
   WHERE found * sgn < need * sgn AND (bb < szp OR bf < szc))"""
 
+# blocks between any number of change points, slopes from the runs
+ANY_BLOCKS = f"""
+blocks AS (SELECT parent, child, treatment, k, CASE WHEN k = 0 THEN 0 ELSE ps[k] - 1 END AS start,
+    CASE WHEN k = len(ps) THEN {N_BINS - 1} ELSE ps[k + 1] END AS stop
+  FROM (SELECT parent, child, treatment, coalesce(ps, []) AS ps, unnest(range(coalesce(len(ps), 0) + 1)) AS k
+    FROM (SELECT DISTINCT parent, child, treatment FROM log_means)
+    LEFT JOIN (SELECT parent, child, treatment, list(bin0 ORDER BY k) AS ps FROM tpoints GROUP BY ALL) USING (parent, child, treatment))),
+rates AS (SELECT b.parent, b.child, b.treatment, b.k, avg(m.mean_log) AS value FROM blocks b JOIN log_means m
+  ON m.parent = b.parent AND m.child = b.child AND m.treatment = b.treatment AND m.bin - 1 >= b.start AND m.bin - 1 < b.stop GROUP BY ALL)"""
+FOUND_VALUES = """
+vals AS (SELECT parent, child, treatment, 'Rt' AS component, k, value FROM rates
+  UNION ALL SELECT parent, child, treatment, 'tpoint', k, point FROM tpoints
+  UNION ALL SELECT parent, child, treatment, 'tslope', k - 1, greatest(4.0 / greatest(arg_max(bb + bf, turn), 1), 0.25) FROM steps GROUP BY parent, child, treatment, k),
+effects AS (SELECT y.parent, y.child, y.component, y.k, p.treatment, sum(p.sign * y.value) AS value
+  FROM vals y JOIN pairs p ON y.treatment = p.effect GROUP BY ALL)"""
+
 WARPS = f"""
 warps AS (SELECT ran, child, component, -0.1 + 0.2 * ({hash32('42', 'ran', 'child', 'component')} / 4294967296.0) AS value
   FROM (SELECT DISTINCT ran FROM tokens), (SELECT DISTINCT child FROM tokens), (SELECT unnest(['point', 'rate', 'slope']) AS component))"""
