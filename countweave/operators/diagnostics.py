@@ -5,10 +5,10 @@ Only data; nothing is drawn.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,10 +292,10 @@ def bandwidths(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def density(df: DataFrame, keys: list[str], value: str, points: int = 512) -> DataFrame:
     """Gaussian kernel density on ``points`` positions, peak moved to 0, as log(density + 1).
 
-    Values are first spread linearly onto a fine grid by aggregation, so a
-    group brings at most 2 x ``points`` weights to the smoothing step.
+    Values are first spread linearly onto a grid of ``points`` positions by
+    aggregation; each weight then adds to every output position, summed before
+    and after the shuffle.
     """
-    grid = 2 * points
     wide = bandwidths(df, keys, value).select(
         *keys, F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("bw").alias("_bw"))
     # grid reaches 7 bandwidths beyond the data, output 3
@@ -308,26 +308,24 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = 512) -> Da
     )).alias("_e"))
     weights = spread.groupBy(*keys, F.col("_e.at").alias("_at")).agg(
         F.sum("_e.w").alias("_w"), *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi", "_bw")])
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, lo, hi, bw = (float(pdf[c].iloc[0]) for c in ("_n", "_lo", "_hi", "_bw"))
-        y = np.zeros(grid)
-        y[pdf["_at"].to_numpy(dtype=int)] = pdf["_w"].to_numpy(dtype=float) / n
-        start, stop = lo - 7 * bw, hi + 7 * bw
-        lag = np.arange(grid)
-        lag = np.minimum(lag, grid - lag) * (stop - start) / (points - 1)
-        kernel = np.exp(-0.5 * (lag / bw) ** 2) / (bw * np.sqrt(2 * np.pi))
-        smoothed = np.fft.irfft(np.fft.rfft(y) * np.fft.rfft(kernel), grid)[:points]
-        x = np.linspace(lo - 3 * bw, hi + 3 * bw, points)
-        d = np.interp(x, np.linspace(start, stop, points), np.maximum(smoothed, 0))
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * points for k in keys})
-        out["i"] = np.arange(1, points + 1)
-        out["x"], out["log_density"] = x - x[d.argmax()], np.log1p(d)
-        return out
-
-    schema = ", ".join([*fields, "i int", "x double", "log_density double"])
-    return weights.groupBy(*keys).applyInPandas(smooth, schema)
+    step = (F.col("_hi") - F.col("_lo") + 14 * F.col("_bw")) / (points - 1)
+    x = F.col("_lo") - 3 * F.col("_bw") + F.col("i") * (F.col("_hi") - F.col("_lo") + 6 * F.col("_bw")) / (points - 1)
+
+    def kernel(lag: Column) -> Column:
+        z = lag * F.col("_step") / F.col("_bw")
+        return F.exp(-0.5 * z * z) / (F.col("_bw") * math.sqrt(2 * math.pi))
+
+    # a weight's share of every output position, between the two grid positions beside it
+    opened = (
+        weights.withColumn("_step", step).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("x", x).withColumn("_p", (F.col("x") - F.col("_lo") + 7 * F.col("_bw")) / F.col("_step"))
+    )
+    near, part = F.floor("_p"), F.col("_p") - F.floor("_p")
+    share = (1 - part) * kernel(near - F.col("_at")) + part * kernel(near + 1 - F.col("_at"))
+    smoothed = opened.groupBy(*keys, "i").agg(
+        F.first("x").alias("x"), F.sum(F.col("_w") / F.col("_n") * share).alias("_d"))
+    peak = F.max_by("x", F.struct("_d", -F.col("i"))).over(Window.partitionBy(*keys))
+    return smoothed.select(*keys, (F.col("i") + 1).alias("i"), (F.col("x") - peak).alias("x"), F.log1p("_d").alias("log_density"))
 
 
 COMPARED = ("autocorrelation", "normality", "parameters")
