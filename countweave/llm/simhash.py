@@ -2,7 +2,7 @@
 
 Fingerprints that differ in at most 3 of 64 bits agree on one of 4 sixteen-bit parts, so a
 shard is one part with one value and every link lies in some shard. A shard above SPLIT
-fingerprints is dealt again by a quarter of its other 48 bits, which loses no link. Each shard
+fingerprints is dealt again by quarters of the bits it has left, until none is, which loses no link. Each shard
 has a BK-tree: the children of a node are keyed by their distance to it, and a search follows
 only edges within the radius of the distance met. A tree is sent to the fingerprints of its
 shard by the shuffle, in place of a broadcast of all trees to all rows: that would be the
@@ -12,6 +12,7 @@ square of the corpus. Equal fingerprints are one tree node, whatever their numbe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (shard, part, fp); one shard at a time is held."""
+    """Rows come sorted by (shard, fp); one shard at a time is held."""
     key, held = None, []
 
     def closed() -> list[tuple[int, int]]:
@@ -116,11 +117,12 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         found = []
-        for shard, part, fp in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if (shard, part) != key:
+        for shard, fp in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            if shard != key:
                 found += closed()
-                key, held = (shard, part), []
-            held.append(fp)
+                key, held = shard, []
+            if not held or held[-1] != fp:
+                held.append(fp)
         if found:
             yield _pairs(found)
     if last := closed():
@@ -132,23 +134,45 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def _opened(rows: DataFrame, width: int) -> DataFrame:
+    """Each row (fp, shard, rest) once for each of four parts of its `width` bits left, in the shard of that part's value.
+
+    Fingerprints of a shard that differ in 3 bits or fewer agree in one of the parts, and so meet in one of its shards.
+    The fixed part is left out of the new rest. Shards of equal hashes only become one larger shard.
+    """
+    each, over = divmod(width, 4)
+    parts, at = [], 0
+    for j in range(4):
+        size = each + (j < over)
+        value = F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << size) - 1))
+        below = F.col("rest").bitwiseAND(F.lit((1 << at) - 1))
+        at += size
+        above = F.lit(0).cast("long") if at == 64 else F.shiftleft(F.shiftrightunsigned("rest", at), at - size)
+        parts.append(F.struct(F.xxhash64("shard", F.lit(j), value).alias("shard"), below.bitwiseOR(above).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*parts)).alias("s")).select("fp", "s.shard", "s.rest")
+
+
 def links(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of fingerprints fp within the radius."""
-    part = lambda width, k: F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1)
-    level1 = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), (part(16, k) + F.lit(k << 16)).alias("shard")) for k in range(4)])).alias("s"),
-    ).select("fp", "s.k", "s.shard")
-    large = level1.groupBy("shard").count().where(F.col("count") > split).select("shard", F.lit(True).alias("large"))
-    # The other 48 bits, the fixed part left out, in four parts of 12 bits.
-    low = F.col("fp").bitwiseAND(F.expr("shiftleft(1L, 16 * k) - 1L"))
-    high = F.when(F.col("k") == 3, F.lit(0).cast("long")).otherwise(
-        F.expr("shiftleft(shiftrightunsigned(fp, 16 * (k + 1)), 16 * k)"))
-    level2 = level1.join(large, "shard", "left").withColumn("rest", low.bitwiseOR(high)).select(
-        "shard", "fp", F.explode(F.expr(
-            "CASE WHEN large THEN transform(sequence(0, 3),"
-            " j -> 1 + j * 4096 + (shiftrightunsigned(rest, 12 * j) & 4095)) ELSE array(0L) END")).alias("part"))
-    dealt = level2.repartition(shuffle_partitions(distinct.sparkSession), "shard", "part") \
-        .sortWithinPartitions("shard", "part", "fp").select("shard", "part", "fp")
+    """Links (a, b) whose components are those of all pairs of fingerprints fp within the radius.
+
+    Shards of more than `split` fingerprints are opened again by the bits they have left, until none is larger or three
+    bits are left, where a shard has eight fingerprints at most.
+    """
+    width = 64
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"))
+    small = []
+    while True:
+        rows, width = _opened(rows, width), width - width // 4
+        if width <= RADIUS:
+            break
+        large = keep(rows.groupBy("shard").count().where(F.col("count") > split).select("shard"))
+        if large.isEmpty():
+            break
+        small.append(rows.join(large, "shard", "left_anti").select("fp", "shard"))
+        rows = keep(rows.join(large, "shard", "left_semi").select("fp", "shard", "rest"))
+    final = reduce(DataFrame.unionByName, small, rows.select("fp", "shard"))
+    dealt = final.repartition(shuffle_partitions(distinct.sparkSession), "shard") \
+        .sortWithinPartitions("shard", "fp").select("shard", "fp")
     return dealt.mapInArrow(_shard_links, "a long, b long")
 
 

@@ -58,6 +58,35 @@ def test_tree_finds_every_link():
     assert {v: found.get(v, v) for v in values} == label
 
 
+def test_shards_are_split_until_they_are_small(spark, monkeypatch):
+    """Fingerprints that share 40 bits fall in one shard again and again; no link is lost and no shard stays large."""
+    rnd = random.Random(3)
+    fixed = rnd.getrandbits(40) << 24
+    values = {fixed | rnd.getrandbits(24) for _ in range(1500)}
+    values = sorted(values | {v ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(1, 4))) for v in list(values)[:300]})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    monkeypatch.setattr(simhash, "_shard_links", lambda batches: batches)
+    seen = simhash.links(df, 64).groupBy("a").agg({"b": "count"}).collect()
+    dealt = [r[1] for r in seen]
+    assert max(dealt) <= 64 and len(dealt) > 64
+    monkeypatch.undo()
+
+    def groups(pairs):
+        label = {v: v for v in signed}
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            label[b] = a
+        return {v: root(v) for v in signed}
+
+    near = [(signed[i], signed[k]) for i in range(len(values)) for k in range(i) if (values[i] ^ values[k]).bit_count() <= 3]
+    assert near and groups((r.a, r.b) for r in simhash.links(df, 64).collect()) == groups(near)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
