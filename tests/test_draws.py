@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countweave.operators import diagnostics, ordering, resample, stats
+from countweave.operators import cells, diagnostics, ordering, resample, stats
 
 RNG = np.random.default_rng(11)
 
@@ -95,6 +95,56 @@ def test_bootstrap_of_small_and_large_cells_agrees_and_stays_in_range(spark, mon
         resample.bootstrap_sums(t.drop("token_id"), 1, 1)
 
 
+def test_places_and_draws_of_large_cells_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share of the draws follows TASK_ROWS and not the tokens or the session's partitions."""
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(resample, "RANGE_TARGET", 13)
+    t = bootstrap_tokens(spark)
+    keys = ["ran", "parent", "child", "side", "bin"]
+    large = resample.large_cells(cells.cell_sums(t), keys, 0)
+    places = resample.token_places(t, large, keys, 5).toPandas()
+    assert sorted(places.place) == list(range(900)) and (places["_first"] <= places.place).all()
+    draws = resample.draw_places(large, 4, 9, 30)
+    assert draws.rdd.getNumPartitions() == 30
+    shares = [len(p) for p in draws.rdd.glom().collect()]
+    assert sum(shares) == 3600 and max(shares) < 600
+    monkeypatch.setattr(resample, "TASK_ROWS", 100)
+    out = resample.bootstrap_sums(t, 4, 9, array_limit=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(place") == 2 and "(place#" in plan and ", 36)" in plan
+    assert out.agg(F.sum("n_tokens")).first()[0] == 3600
+
+
+def test_tokens_without_an_id_are_drawn_in_large_cells_too(spark):
+    t = bootstrap_tokens(spark).withColumn("token_id", F.when(F.col("token_id") != "t3", F.col("token_id")))
+    keys = ["replicate", "ran", "parent", "child", "side", "bin"]
+    arrays, rows = [resample.bootstrap_sums(t, 4, 9, array_limit=limit).toPandas().sort_values(keys).reset_index(drop=True)[
+        keys + ["total", "n_tokens"]] for limit in (4096, 0)]
+    assert rows.n_tokens.sum() == 3600 and rows.equals(arrays)
+
+
+def test_equal_ids_are_drawn_alike_in_small_and_large_cells(spark):
+    t = bootstrap_tokens(spark).withColumn("token_id", F.lit("same"))
+    keys = ["replicate", "ran", "parent", "child", "side", "bin"]
+    arrays, rows = [resample.bootstrap_sums(t, 2, 9, array_limit=limit).toPandas().sort_values(keys).reset_index(drop=True)[
+        keys + ["total", "n_tokens"]] for limit in (4096, 0)]
+    assert rows.equals(arrays)
+
+
+def test_few_small_cells_go_with_the_large_ones(spark):
+    keys = ["ran", "parent", "child", "side", "bin"]
+
+    def chosen(n_small, empty=3):
+        rows = [("m", "p", "c", "L", 1, 1.0, 360)] + [("m", "p", "c", "R", i, 1.0, 60) for i in range(n_small)]
+        rows += [("n", "p", "c", "R", i, None, 0) for i in range(empty)] + [("m", "p", "c", "R", None, 1.0, 500)]
+        sums = spark.createDataFrame(rows, "ran string, parent string, child string, side string, bin int, total double, n_tokens bigint")
+        got = resample.large_cells(sums, keys, 60).orderBy("_first").toPandas()
+        assert list(got["_first"]) == [0, *got.cell_size.cumsum()[:-1]] or got.empty
+        return len(got)
+
+    assert [chosen(0), chosen(6), chosen(7)] == [1, 7, 1]
+
+
 def draws_table(spark, n=400):
     rows = [(i, i == n - 1, p, float(v)) for p in range(3)
             for i, v in enumerate(RNG.normal(loc=[0.0, 0.8, 3.0][p], size=n))]
