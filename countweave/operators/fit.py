@@ -39,7 +39,7 @@ def problems(series: DataFrame, dispersion: DataFrame, params: DataFrame, pairs:
              replicate: bool = False) -> Problems:
     """The tables of a fit, from a model's series, dispersion and parameters."""
     own = materialize(objective.problem_params(params, replicate))
-    data = materialize(objective.problem_series(series, dispersion, own, pairs, replicate))
+    data = materialize(objective.spread(objective.problem_series(series, dispersion, own, pairs, replicate)))
     points = objective.vectors(own, warp=F.col("kind") == "wfactor",
                                prior_on=~((F.col("kind") == "baseline") & (F.col("component") == "tpoint")))
     return Problems(own, data, materialize(points), n_bins, settings)
@@ -89,7 +89,7 @@ def with_penalty(p: Problems) -> Problems:
         .select("replicate", F.sqrt(F.col("n") / (F.col("nll") * p.settings.max_penalty_at_distance_factor)).alias("scale"))
     charged = at.join(scales, "replicate").withColumn(
         "coefficients", F.transform("distances", lambda d: F.try_divide(F.col("scale"), d))).drop("distances", "scale")
-    return replace(p, series=materialize(charged))
+    return replace(p, series=materialize(objective.spread(charged)))
 
 
 def value_and_gradient(p: Problems) -> DataFrame:

@@ -63,6 +63,14 @@ def problem_series(series: DataFrame, dispersion: DataFrame, params: DataFrame,
     return own.join(at, [*PROBLEM, "parent", "treatment"]).join(warps, [*PROBLEM, "ran"], "left")
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """Series dealt evenly over the cores, for an evaluation costs some milliseconds a series but reads few bytes of it:
+    partitions made by size would leave a whole fit to one task."""
+    spark = series.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return series.repartition(n, *PROBLEM, "parent", "treatment", "ran")
+
+
 @lru_cache(8)
 def _components(n_bins: int, settings: ModelSettings) -> list[tuple[str, Column]]:
     """``e_<component>``: a series' warped values with their derivatives at its problem's x; ``d``: its distances."""

@@ -1,10 +1,13 @@
+from dataclasses import replace
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from countweave.operators import cells
+from countweave.operators import cells, descent
 from verification import catalog, compare
+from verification import fixtures as fx
 
 QUICK = [
     "a3_fill_log", "a11_residuals", "w6_ratio_scales", "c5_peaks_three_scales", "e6_parameters", "m17_objective",
@@ -68,3 +71,12 @@ def test_replicate_effects_sum_the_tokens_once(spark, made_dir, passes):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{made_dir}/lineitem.parquet/*.parquet'")
     assert compare.differs(got, c.sql(catalog.ORACLE["r2_replicate_effects"]).df()) is None
+
+
+def test_replicate_fits_go_on_until_they_settle(spark, made_dir, monkeypatch):
+    """The evaluations of the query's fits are the model's own, so none is cut off. A coarser tolerance and one replicate make it short."""
+    monkeypatch.setattr(catalog, "REPLICATES", 1)
+    monkeypatch.setattr(fx, "SETTINGS", replace(fx.SETTINGS, ctol=1e-4))
+    out = catalog.QUERIES["r5_replicate_fits"](spark, made_dir).collect()
+    assert len(out) == 3 and {r["status"] for r in out} <= {descent.SETTLED, descent.STUCK}
+    assert all(r["objective"] >= r["neg_loglik"] for r in out)

@@ -172,6 +172,12 @@ def test_hot_child_is_spread(spark, ready):
     assert "MapInPandas" not in text and "FlatMap" not in text and "PythonUDF" not in text
 
 
+def test_few_series_are_spread_over_the_cores(spark, ready):
+    """A fit's series are some kilobytes, yet no task evaluates them all."""
+    series = ready.series.withColumn("task", F.spark_partition_id()).groupBy("task").count().toPandas()
+    assert len(series) > 1 and series["count"].max() < series["count"].sum() / 2 and series["count"].sum() == 96
+
+
 def test_whole_run(spark, sf_dir):
     with pytest.warns(UserWarning):  # few steps: no fit settles, and the chain is short
         out = plan.run(fx.raw_tokens(spark, sf_dir).drop("l_orderkey", "l_quantity", "l_discount"), fx.VARIABLES, replace(fx.SETTINGS, max_evals=2),
